@@ -69,6 +69,7 @@ def multi_hot(active: Column, size: int) -> Column:
     """0/1 vector of length ``size`` with ones at the ``active`` ordinals."""
     if size == 0:
         return F.array().cast("array<double>")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(active, i).cast("double")
+    return bind(
+        active,
+        lambda a: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(a, i).cast("double")),
     )

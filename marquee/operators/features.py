@@ -51,7 +51,7 @@ def _clusters(vocab: int, dim: int, per_cluster: int, cfg: FeatureConfig) -> Col
 
 def subcluster_plan(points: DataFrame, vocab: int, dim: int, per_cluster: int, cfg: FeatureConfig) -> DataFrame:
     """Members and number of sub-clusters of each combination ``grp``."""
-    return group_plan(points, _clusters(vocab, dim, per_cluster, cfg)).select("grp", "members", "k")
+    return group_plan(points, _clusters(vocab, dim, per_cluster, cfg))
 
 
 def _subclusters(

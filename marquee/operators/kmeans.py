@@ -1,12 +1,15 @@
 """K-means within every group at once, and over a whole table.
 
 Groups may be tiny or hold a third of all rows. A group larger than ``block_rows`` is salted into blocks of about that
-size; a task holds one block of vectors and the group's few centres, and hands on one partial sum per centre. Vectors
-are laid out by block once and stay put; each pass moves centres only.
+size, and blocks of all groups are packed into buckets of about that size too. A task holds one bucket of vectors and
+the few centres of the groups in it, and hands on one partial sum per centre. Vectors are laid out by bucket once and
+stay put; each pass moves centres only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -20,7 +23,6 @@ from ..config import BLOCK_ROWS
 from ..session import cut_lineage
 
 PASSES = 10
-KEYS = ["grp", "salt"]
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,40 +33,44 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
     return label, squares[np.arange(len(points)), label]
 
 
-def _sorted_centres(centres: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    centres = centres.sort_values("cluster")
-    return centres["cluster"].to_numpy(), np.vstack(centres["centre"].to_numpy())
+def _assigned(points: pd.DataFrame, centres: pd.DataFrame) -> Iterator[tuple]:
+    """``(gid, keys, vectors, clusters, centre index, distance)`` of every group of a bucket."""
+    if points.empty or centres.empty:
+        return
+    points = points.sort_values(["gid", "tid"], kind="stable")
+    centres = centres.sort_values(["gid", "cluster"], kind="stable")
+    vectors = np.vstack(points["v"].to_numpy()).astype(np.float64)
+    matrix = np.vstack(centres["centre"].to_numpy())
+    keys, clusters = points["tid"].to_numpy(), centres["cluster"].to_numpy()
+    of_point, of_centre = points["gid"].to_numpy(), centres["gid"].to_numpy()
+    groups, starts = np.unique(of_point, return_index=True)
+    ends = np.append(starts[1:], len(of_point))
+    first, last = np.searchsorted(of_centre, groups, "left"), np.searchsorted(of_centre, groups, "right")
+    for gid, a, b, c, d in zip(groups, starts, ends, first, last):
+        label, distance = _nearest(vectors[a:b], matrix[c:d])
+        yield gid, keys[a:b], vectors[a:b], clusters[c:d], label, distance
 
 
 def _partial_sums(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-    columns = ["grp", "cluster", "n", "total", "inertia"]
-    if points.empty or centres.empty:
-        return pd.DataFrame(columns=columns)
-    names, matrix = _sorted_centres(centres)
-    vectors = np.vstack(points["v"].to_numpy()).astype(np.float64)
-    label, distance = _nearest(vectors, matrix)
     rows = []
-    for i in np.unique(label):
-        mine = label == i
-        rows.append(
-            (centres["grp"].iloc[0], int(names[i]), int(mine.sum()), vectors[mine].sum(0), float(distance[mine].sum()))
-        )
-    return pd.DataFrame(rows, columns=columns)
+    for gid, _, vectors, clusters, label, distance in _assigned(points, centres):
+        for i in np.unique(label):
+            mine = label == i
+            rows.append((gid, clusters[i], mine.sum(), vectors[mine].sum(0), distance[mine].sum()))
+    return pd.DataFrame(rows, columns=["gid", "cluster", "n", "total", "inertia"])
 
 
 def _labels(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-    if points.empty or centres.empty:
-        return pd.DataFrame(columns=["tid", "cluster", "distance"])
-    names, matrix = _sorted_centres(centres)
-    label, distance = _nearest(np.vstack(points["v"].to_numpy()).astype(np.float64), matrix)
-    return pd.DataFrame({"tid": points["tid"].to_numpy(), "cluster": names[label], "distance": distance})
+    parts = [
+        pd.DataFrame({"tid": keys, "gid": gid, "cluster": clusters[label], "distance": distance})
+        for gid, keys, _, clusters, label, distance in _assigned(points, centres)
+    ]
+    return pd.concat(parts) if parts else pd.DataFrame(columns=["tid", "gid", "cluster", "distance"])
 
 
-def group_plan(points: DataFrame, clusters: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(grp, members, k, salts)`` of every group; ``clusters`` is an expression over ``members``."""
-    sizes = points.groupBy("grp").agg(F.count("*").alias("members"))
-    salts = F.ceil(F.col("members") / block_rows).cast("int")
-    return sizes.withColumn("k", clusters.cast("int")).withColumn("salts", salts)
+def group_plan(points: DataFrame, clusters: Column) -> DataFrame:
+    """``(grp, members, k)`` of every group; ``clusters`` is an expression over ``members``."""
+    return points.groupBy("grp").agg(F.count("*").alias("members")).withColumn("k", clusters.cast("int"))
 
 
 def grouped_kmeans(
@@ -79,55 +85,67 @@ def grouped_kmeans(
     Groups whose ``clusters`` is 1 or less are left out. Starting centres are the members with the smallest key hashes,
     so results do not depend on partitioning. A centre that loses all members stays where it is.
     """
-    plan = cut_lineage(group_plan(points, clusters, block_rows).filter(F.col("k") > 1))
+    spark = points.sparkSession
+    sized = group_plan(points, clusters).filter(F.col("k") > 1)
+    plan = cut_lineage(
+        sized.withColumns(
+            {
+                "salts": F.ceil(F.col("members") / block_rows).cast("int"),
+                "gid": F.monotonically_increasing_id(),  # fixed by the checkpoint
+            }
+        )
+    )
+    total = plan.agg(F.sum("members")).first()[0] or 0
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shuffles, -(-total // block_rows))
+    bucket = F.pmod(F.xxhash64("gid", "salt"), F.lit(buckets)).cast("int")
     salt = F.pmod(F.xxhash64("tid"), F.col("salts")).cast("int")
-    chosen = points.join(plan, "grp").select("grp", "tid", "v", "k", "salts", salt.alias("salt"))
-    # Laid out by (group, salt) once and kept: a fixed partition count lets every pass reuse the layout, and a lost
-    # executor's part is recomputed from the lineage.
-    count = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = chosen.select("grp", "salt", "tid", "v").repartition(count, *KEYS).persist(StorageLevel.DISK_ONLY)
-
-    by_hash = Window.partitionBy("grp").orderBy(F.xxhash64("tid"), "tid")
+    chosen = points.join(plan.drop("members"), "grp").select("gid", "tid", "v", "k", salt.alias("salt"))
+    # A fixed partition count lets every pass reuse this layout; a lost executor's part is recomputed from the lineage.
+    blocks = (
+        chosen.select(bucket.alias("bucket"), F.col("gid").alias("gid"), "tid", "v")
+        .repartition(shuffles, "bucket")
+        .persist(StorageLevel.DISK_ONLY)
+    )
+    by_hash = Window.partitionBy("gid").orderBy(F.xxhash64("tid"), "tid")
     seeds = (
         chosen.withColumn("place", F.row_number().over(by_hash))
         .filter((F.col("place") <= most_clusters) & (F.col("place") <= F.col("k")))
-        .select("grp", (F.col("place") - 1).alias("cluster"), F.col("v").cast("array<double>").alias("centre"))
+        .select("gid", (F.col("place") - 1).alias("cluster"), F.col("v").cast("array<double>").alias("centre"))
     )
     centres = cut_lineage(seeds)
-    salts = plan.select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    where = (
+        plan.select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        .select(F.col("gid").alias("gid"), bucket.alias("bucket"))
+        .distinct()
+    )
 
     def against_blocks(current: DataFrame, fn, schema: str) -> DataFrame:
-        spread = current.join(salts, "grp")
-        return blocks.groupBy(*KEYS).cogroup(spread.groupBy(*KEYS)).applyInPandas(fn, schema)
+        spread = current.join(where, "gid").groupBy("bucket")
+        return blocks.groupBy("bucket").cogroup(spread).applyInPandas(fn, schema)
 
-    group_type = points.schema["grp"].dataType.simpleString()
     previous = None
     for _ in range(passes):
         sums = against_blocks(
-            centres, _partial_sums, f"grp {group_type}, cluster int, n long, total array<double>, inertia double"
+            centres, _partial_sums, "gid long, cluster int, n long, total array<double>, inertia double"
         )
-        moved = sums.groupBy("grp", "cluster").agg(
+        moved = sums.groupBy("gid", "cluster").agg(
             F.sum("n").alias("n"),
             vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
             F.sum("inertia").alias("inertia"),
         )
-        update = centres.join(moved, ["grp", "cluster"], "left").select(
-            "grp",
-            "cluster",
-            F.when(F.col("n") > 0, F.transform("total", lambda x: x / F.col("n")))
-            .otherwise(F.col("centre"))
-            .alias("centre"),
-            "inertia",
+        mean = F.transform("total", lambda x: x / F.col("n"))
+        centre = F.when(F.col("n") > 0, mean).otherwise(F.col("centre"))
+        update = cut_lineage(
+            centres.join(moved, ["gid", "cluster"], "left").select("gid", "cluster", centre.alias("centre"), "inertia")
         )
-        update = cut_lineage(update)
         inertia = update.agg(F.sum("inertia")).first()[0]
         if previous is not None and inertia is not None and abs(previous - inertia) <= 1e-9 * max(1.0, abs(previous)):
             break
         centres, previous = update.drop("inertia"), inertia
-    labels = against_blocks(centres, _labels, "tid long, cluster int, distance double")
-    result = cut_lineage(labels)
+    labels = cut_lineage(against_blocks(centres, _labels, "tid long, gid long, cluster int, distance double"))
     blocks.unpersist()
-    return result.join(chosen.select("tid", "grp", "k"), "tid").select("tid", "grp", "cluster", "k", "distance")
+    return labels.join(plan, "gid").select("tid", "grp", "cluster", "k", "distance")
 
 
 def table_kmeans(points: DataFrame, ids: DataFrame, clusters: int, seed: int = 42, passes: int = 20) -> DataFrame | None:

@@ -96,12 +96,12 @@ def top_k(items: DataFrame, block: RequestBlock, parts: list[str], norms: list[s
     norms. Ties go to the smaller key. Many small input splits are merged, which bounds the rows handed to the shuffle.
     """
     context = items.sparkSession.sparkContext
-    shared = context.broadcast(block)
+    shared = context.broadcast((block.qid, block.vectors, block.part_weights, block.norms))
     slim = items.select("tid", *parts, *norms)
     tasks = TASKS_PER_CORE * max(context.defaultParallelism, 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _score_partition(batches, shared.value, parts, norms, k)
+        return _score_partition(batches, RequestBlock(*shared.value), parts, norms, k)
 
     local = slim.coalesce(tasks).mapInArrow(score, "qid long, tid long, similarity double")
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "tid")

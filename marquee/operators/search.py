@@ -21,6 +21,7 @@ from ..functions.ids import text_from_key
 from ..functions.parsing import list_from_array
 from ..functions.text import item_query, passage
 from ..functions.vectors import combine_components
+from ..session import cut_lineage
 from .encoders import Encoder
 from .features import NORMS, PARTS, Model
 from .requests import WEIGHT_NAMES, candidate_count, resolve_recommend, resolve_search
@@ -71,10 +72,11 @@ def encode_requests(requests: DataFrame, model: Model, encoder: Encoder) -> Data
 def request_passes(encoded: DataFrame, size: int = C.REQUESTS_PER_PASS):
     """Bounded slices of a request table, each as a pandas frame. Slices are hash classes of ``qid``.
 
-    ``qid`` is unique, so classes are even; half the bound is aimed at, and a class that exceeds it is an error, never cut.
+    ``qid`` is unique, so classes are even; they are planned a tenth below the bound, and a class that still exceeds it
+    is an error, never cut.
     """
     total = encoded.count()
-    classes = max(1, -(-2 * total // size)) if total > size else 1
+    classes = -(-11 * total // (10 * size)) if total > size else 1
     for number in range(classes):
         chosen = encoded.filter(F.pmod(F.xxhash64("qid"), F.lit(classes)) == number)
         rows = chosen.limit(size + 1).toPandas()
@@ -125,6 +127,7 @@ def rank_items(encoded: DataFrame, model: Model, most: int = C.CANDIDATE_CAP) ->
     The similarity is the inner product of the weighted, concatenated and normalised vectors. It is computed from the
     parts (weights squared, stored squared norms), so no weighted copy of the items is ever made.
     """
+    encoded = cut_lineage(encoded)  # read once per pass and once more for the limits
     results = []
     for rows in request_passes(encoded):
         near = neighbour_genres(rows, model).toPandas()  # one vector per request of the pass

@@ -23,8 +23,8 @@ from ..operators.encoders import HashEncoder, JoinEncoder
 from ..operators.kmeans import table_kmeans
 from ..operators.requests import resolve_recommend, resolve_search, validate_recommend, validate_search
 from ..operators.stats import catalog_stats
-from ..operators.vocab import active_features, build_vocab, feature_combos, list_column
-from ..session import scratch_path
+from ..operators.vocab import active_features, build_vocab, feature_combos, list_column, vocab_size
+from ..session import cut_lineage, scratch_path
 from ..sources import payloads as Y
 from ..sources.tables import RAW_RATINGS, RAW_TITLES, ModelStore, VersionedTable, read_delimited
 from ..streaming.jobs import encode_titles, ingest_payloads
@@ -50,7 +50,7 @@ def joined(c: Column) -> Column:
 
 def entries(df: DataFrame, vector: str, key: str = "tid") -> DataFrame:
     """Non-zero entries of a vector column as ``(key, pos, value)`` rows."""
-    exploded = df.select(key, F.posexplode(vector).alias("pos", "v"))
+    exploded = df.select(key, F.posexplode_outer(vector).alias("pos", "v"))
     return exploded.filter(F.col("v") != 0).select(key, "pos", fixed(F.col("v").cast("double")).alias("value"))
 
 
@@ -247,14 +247,14 @@ def vocab_genre(spark, sf_dir):
 @query
 def vocab_words(spark, sf_dir):
     """A large vocabulary: every whitespace-separated piece of every document."""
-    pieces = table(spark, sf_dir, "documents").select(F.split("text", r"\s+").alias("pieces"))
+    pieces = W.spread_table(spark, sf_dir, "documents").select(F.split("text", r"\s+").alias("pieces"))
     return build_vocab(pieces, {"piece": "pieces"}).select("value", "idx")
 
 
 def _active(spark, sf_dir, columns: dict[str, str]) -> tuple[DataFrame, dict[str, int]]:
     movies = _light(spark, sf_dir)
-    vocab = build_vocab(movies, columns)
-    sizes = {kind: vocab.filter(F.col("kind") == kind).count() for kind in columns}
+    vocab = cut_lineage(build_vocab(movies, columns))
+    sizes = {kind: vocab_size(vocab, kind) for kind in columns}
     return active_features(movies, vocab, columns, "active", sizes=sizes), sizes
 
 
@@ -268,7 +268,7 @@ def feature_combinations(spark, sf_dir):
 def feature_combinations_by_join(spark, sf_dir):
     """The route of vocabularies too large for a lookup gives the same result."""
     movies = _light(spark, sf_dir)
-    vocab = build_vocab(movies, LOC)
+    vocab = cut_lineage(build_vocab(movies, LOC))
     active = active_features(movies, vocab, LOC, "active", lookup_max=0)
     return feature_combos(active, "active").select(V.combo_text(F.col("active")).alias("combo"), "members")
 
@@ -300,7 +300,7 @@ def l2_unit(spark, sf_dir):
 def genre_vectors(spark, sf_dir):
     """Genre embeddings without plot correlation, truncated to 16 dimensions and normalised."""
     movies = _light(spark, sf_dir)
-    vocab = build_vocab(movies, {"genre": "genre"})
+    vocab = cut_lineage(build_vocab(movies, {"genre": "genre"}))
     cfg = C.FeatureConfig(genre_dim=16)
     return entries(A.genre_embeddings(movies, vocab, vocab.count(), None, cfg), "genre_embedding")
 
@@ -318,7 +318,7 @@ def full_join_embeddings(spark, sf_dir):
 @query
 def merge_weighted(spark, sf_dir):
     movies = _light(spark, sf_dir)
-    vocab = build_vocab(movies, {"genre": "genre"})
+    vocab = cut_lineage(build_vocab(movies, {"genre": "genre"}))
     genres = A.genre_embeddings(movies, vocab, vocab.count(), None, C.FeatureConfig(genre_dim=32))
     plots = W.given_vectors(spark, sf_dir).select("tid", l2_normalize(F.col("plot_embedding")).alias("plot_embedding"))
     merged = A.merged_embeddings(plots.join(genres, "tid"), 0.7, 0.5)
@@ -374,7 +374,7 @@ def cluster_signature(spark, sf_dir):
 
 @query
 def hash_encode(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents")
+    texts = W.spread_table(spark, sf_dir, "documents")
     return entries(HashEncoder(64).encode(texts, "doc_id", F.col("text"), "v"), "v", "doc_id")
 
 
@@ -423,7 +423,7 @@ def genre_diversity(spark, sf_dir):
 
 @query
 def genre_keywords(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select(
+    return W.spread_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", joined(keyword_genres(F.col("text"))).alias("genres")
     )
 

@@ -13,7 +13,7 @@ from ..operators.encoders import HashEncoder
 from ..operators.features import Model, build_model
 from ..operators.ratings import STAGE_COLUMNS, fuse_ratings, normalize_scalars
 from ..session import cut_lineage, scratch_path
-from ..sources.tables import ModelStore, read_parquet, write_parquet
+from ..sources.tables import ModelStore, read_parquet, read_spread, write_parquet
 from .build import plot_embeddings
 
 PLOT_DIM = 64
@@ -29,9 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
+
+
 def titles(spark: SparkSession, sf_dir: str, ratings: bool = True, locale: bool = True, plots: bool = True) -> DataFrame:
     """One title per part. Only the joins a caller needs are planned."""
-    parts = table(spark, sf_dir, "part").withColumn("tid", F.col("p_partkey"))
+    parts = spread_table(spark, sf_dir, "part").withColumn("tid", F.col("p_partkey"))
     columns = [
         "tid",
         F.col("p_name").alias("title"),
@@ -207,7 +211,7 @@ def benchmark_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation as a plain query."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread_table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("qid"), F.col("text").alias("query")
     )
 

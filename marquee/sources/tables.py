@@ -37,6 +37,17 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose rows feed costly per-row work.
+
+    A scan with fewer splits than cores is dealt out over all of them; that is at most some splits per core, so little
+    data moves. A scan with enough splits is left as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "snappy").parquet(path)
 
@@ -110,6 +121,6 @@ class ModelStore:
 
         meta = self.spark.read.parquet(f"{self.root}/model_meta").select("plot_dim", "genre_dim", "loc_dim").first()
         vocab = self.spark.read.parquet(f"{self.root}/vocab")
-        components = self.spark.read.parquet(f"{self.root}/components")
+        components = read_spread(self.spark, f"{self.root}/components")
         cfg = replace(config or FeatureConfig(), **meta.asDict())
         return Model(components, vocab, vocabulary_sizes(vocab), cfg)
