@@ -69,12 +69,13 @@ def encode_requests(requests: DataFrame, model: Model, encoder: Encoder) -> Data
     return requests.select("qid", "k", *WEIGHT_COLUMNS).join(cut, "qid").join(request_loc_vectors(requests, model), "qid")
 
 
-def request_passes(encoded: DataFrame, size: int = C.REQUESTS_PER_PASS):
+def request_passes(encoded: DataFrame, size: int | None = None):
     """Bounded slices of a request table, each as a pandas frame. Slices are hash classes of ``qid``.
 
     ``qid`` is unique, so classes are even; they are planned a tenth below the bound, and a class that still exceeds it
     is an error, never cut.
     """
+    size = size or C.REQUESTS_PER_PASS
     total = encoded.count()
     classes = -(-11 * total // (10 * size)) if total > size else 1
     for number in range(classes):
