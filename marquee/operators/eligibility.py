@@ -55,7 +55,3 @@ def not_done(ids: DataFrame, done: DataFrame) -> DataFrame:
     """Keys without a finished row."""
     return ids.join(done.select("tid"), "tid", "left_anti")
 
-
-def resume(ids: DataFrame, done: DataFrame, work) -> DataFrame:
-    """Finished rows plus ``work`` applied to the rest."""
-    return done.unionByName(work(not_done(ids, done)))

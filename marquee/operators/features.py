@@ -29,6 +29,7 @@ class Model:
     vocab: DataFrame
     sizes: dict[str, int]
     config: FeatureConfig
+    sample: DataFrame | None = None  # some of the components, to bound scores before the full scan
 
     @property
     def dimension(self) -> int:
@@ -65,53 +66,51 @@ def _subclusters(
     return grouped_kmeans(points, _clusters(vocab, dim, per_cluster, cfg), room).select("tid", "cluster", "k")
 
 
-def genre_embeddings(
-    movies: DataFrame,
-    vocab: DataFrame,
-    size: int,
-    plots: DataFrame | None = None,
-    cfg: FeatureConfig = FeatureConfig(),
-) -> DataFrame:
-    """``(tid, genre_embedding)``, normalised; with ``plots(tid, plot)`` combinations are split by plot similarity."""
-    active = active_features(
-        movies.filter(F.col("genre").isNotNull()).select("tid", "genre"),
-        vocab,
-        GENRE_COLUMNS,
-        "active",
-        sizes={"genre": size},
-    ).select("tid", "active")
-    plain = V.genre_vector(F.col("active"), size, cfg.genre_dim)
-    labels = None
-    if plots is not None:
-        labels = _subclusters(active, plots, size, cfg.genre_dim, cfg.genre_members_per_cluster, cfg)
+def _vectors(rows: DataFrame, labels: DataFrame | None, plain: Column, rich: Column, out: str) -> DataFrame:
+    """Add ``out``: the clustered vector of rows with a label, the plain one of the others."""
     if labels is None:
-        return active.select("tid", l2_normalize(plain).alias("genre_embedding"))
-    rich = V.clustered_genre_vector(F.col("active"), F.col("cluster"), size, cfg.genre_dim, cfg)
+        return rows.withColumn(out, plain)
+    labelled = rows.join(labels, "tid", "left")
     vector = F.when(F.col("cluster").isNotNull(), rich).otherwise(plain)
-    return active.join(labels, "tid", "left").select("tid", l2_normalize(vector).alias("genre_embedding"))
+    return labelled.withColumn(out, vector).drop("cluster", "k")
+
+
+def add_genre_vectors(rows: DataFrame, size: int, plots: DataFrame | None, cfg: FeatureConfig) -> DataFrame:
+    """Replace ``active_genre`` by the normalised ``genre_embedding``; ``plots(tid, plot)`` switch sub-clusters on."""
+    active = F.col("active_genre")
+    labels = None
+    if plots is not None:
+        sets = rows.select("tid", active.alias("active"))
+        labels = _subclusters(sets, plots, size, cfg.genre_dim, cfg.genre_members_per_cluster, cfg)
+    plain = V.genre_vector(active, size, cfg.genre_dim)
+    rich = V.clustered_genre_vector(active, F.col("cluster"), size, cfg.genre_dim, cfg)
+    vectors = _vectors(rows, labels, plain, rich, "genre_embedding")
+    return vectors.withColumn("genre_embedding", l2_normalize(F.col("genre_embedding"))).drop("active_genre")
 
 
-def loc_embeddings(
+def add_loc_vectors(rows: DataFrame, size: int, plots: DataFrame | None, cfg: FeatureConfig) -> DataFrame:
+    """Replace ``active_loc`` by ``loc`` (not normalised); ``plots(tid, plot)`` switch sub-clusters on."""
+    active = F.col("active_loc")
+    labels = None
+    if plots is not None:
+        sets = rows.select("tid", active.alias("active"))
+        labels = _subclusters(sets, plots, size, cfg.loc_dim, cfg.loc_members_per_cluster, cfg)
+    plain = V.loc_vector(active, cfg.loc_dim, cfg)
+    rich = V.clustered_loc_vector(active, F.col("cluster"), F.col("k"), cfg.loc_dim, cfg)
+    return _vectors(rows, labels, plain, rich, "loc").drop("active_loc")
+
+
+def genre_embeddings(
     movies: DataFrame,
     vocab: DataFrame,
-    sizes: dict[str, int],
+    size: int,
     plots: DataFrame | None = None,
     cfg: FeatureConfig = FeatureConfig(),
 ) -> DataFrame:
-    """``(tid, loc)``, not yet normalised; with ``plots(tid, plot)`` combinations are split by plot similarity."""
-    active = active_features(
-        movies.select("tid", *LOC_COLUMNS.values()), vocab, LOC_COLUMNS, "active", sizes=sizes
-    ).select("tid", "active")
-    plain = V.loc_vector(F.col("active"), cfg.loc_dim, cfg)
-    total = sizes["country"] + sizes["language"]
-    labels = None
-    if plots is not None:
-        labels = _subclusters(active, plots, total, cfg.loc_dim, cfg.loc_members_per_cluster, cfg)
-    if labels is None:
-        return active.select("tid", plain.alias("loc"))
-    rich = V.clustered_loc_vector(F.col("active"), F.col("cluster"), F.col("k"), cfg.loc_dim, cfg)
-    vector = F.when(F.col("cluster").isNotNull(), rich).otherwise(plain)
-    return active.join(labels, "tid", "left").select("tid", vector.alias("loc"))
+    """``(tid, genre_embedding)``, normalised; with ``plots(tid, plot)`` combinations are split by plot similarity."""
+    known = movies.filter(F.col("genre").isNotNull()).select("tid", "genre")
+    rows = active_features(known, vocab, GENRE_COLUMNS, "active_genre", sizes={"genre": size})
+    return add_genre_vectors(rows.select("tid", "active_genre"), size, plots, cfg)
 
 
 def join_embeddings(plots: DataFrame, genres: DataFrame) -> DataFrame:
@@ -133,25 +132,17 @@ def _stored(v: Column, dim: int) -> Column:
     return F.coalesce(l2_normalize(cut), F.array_repeat(F.lit(0.0), dim)).cast("array<float>")
 
 
-def component_table(
-    movies: DataFrame, plots: DataFrame, genres: DataFrame, locs: DataFrame, cfg: FeatureConfig
-) -> DataFrame:
-    """``(tid, plot, genre, loc, pop)`` with squared norms. ``pop`` keeps its magnitude on purpose.
+def component_table(rows: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """``(tid, plot, genre, loc, pop)`` with squared norms, from rows of ``plot_embedding, genre_embedding, loc, pop``.
 
-    All sides are keyed by ``tid``; a title needs a plot vector, a missing genre vector counts as zero.
+    ``pop`` keeps its magnitude on purpose; a missing genre vector counts as zero.
     """
-    joined = (
-        with_popularity(movies, cfg)
-        .select("tid", "pop")
-        .join(plots.select("tid", F.col("plot_embedding").alias("_plot")), "tid")
-        .join(genres.select("tid", F.col("genre_embedding").alias("_genre")), "tid", "left")
-        .join(locs.select("tid", F.col("loc").alias("_loc")), "tid", "left")
-    )
-    stored = joined.select(
+    genre = fit(F.coalesce("genre_embedding", F.array().cast("array<double>")), cfg.genre_dim)
+    stored = rows.select(
         "tid",
-        _stored(F.col("_plot"), cfg.plot_dim).alias("plot"),
-        _stored(fit(F.coalesce("_genre", F.array().cast("array<double>")), cfg.genre_dim), cfg.genre_dim).alias("genre"),
-        _stored(F.col("_loc"), cfg.loc_dim).alias("loc"),
+        _stored(F.col("plot_embedding"), cfg.plot_dim).alias("plot"),
+        _stored(genre, cfg.genre_dim).alias("genre"),
+        _stored(F.col("loc"), cfg.loc_dim).alias("loc"),
         "pop",
     )
     return stored.select(
@@ -202,8 +193,16 @@ def build_model(
     sizes = vocabulary_sizes(vocab)
     by_plot = plots.select("tid", F.col("plot_embedding").alias("plot")) if subclusters else None
     loc_sizes = {kind: sizes[kind] for kind in LOC_COLUMNS}
+    # Everything a title's own columns determine is computed in place; plots, labels and stored genre vectors are joined
+    # on the same key one after the other, so the titles are laid out by key once.
+    rows = with_popularity(movies, cfg)
+    rows = active_features(rows, vocab, LOC_COLUMNS, "active_loc", sizes=loc_sizes)
     if genres is None:
-        genres = genre_embeddings(movies, vocab, sizes["genre"], by_plot, cfg)
-    locs = loc_embeddings(movies, vocab, loc_sizes, by_plot, cfg)
-    return Model(component_table(movies, plots, genres, locs, cfg), vocab, sizes, cfg)
-
+        rows = active_features(rows, vocab, GENRE_COLUMNS, "active_genre", sizes={"genre": sizes["genre"]})
+        rows = rows.select("tid", "pop", "active_loc", "active_genre")
+        rows = add_genre_vectors(rows.join(plots.select("tid", "plot_embedding"), "tid"), sizes["genre"], by_plot, cfg)
+    else:
+        stored = plots.select("tid", "plot_embedding").join(genres.select("tid", "genre_embedding"), "tid", "left")
+        rows = rows.select("tid", "pop", "active_loc").join(stored, "tid")
+    rows = add_loc_vectors(rows, sum(loc_sizes.values()), by_plot, cfg)
+    return Model(component_table(rows, cfg), vocab, sizes, cfg)

@@ -23,6 +23,8 @@ from ..config import BLOCK_ROWS
 from ..session import cut_lineage
 
 PASSES = 10
+BROADCAST_GROUPS = 200_000  # rows of a few numbers each
+BUCKETS_PER_PART = 16
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,21 +97,28 @@ def grouped_kmeans(
             }
         )
     )
-    total = plan.agg(F.sum("members")).first()[0] or 0
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffles, -(-total // block_rows))
-    bucket = F.pmod(F.xxhash64("gid", "salt"), F.lit(buckets)).cast("int")
-    salt = F.pmod(F.xxhash64("tid"), F.col("salts")).cast("int")
-    chosen = points.join(plan.drop("members"), "grp").select("gid", "tid", "v", "k", salt.alias("salt"))
+    groups, total = plan.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
+    buckets = max(1, -(-total // block_rows))
     # A fixed partition count lets every pass reuse this layout; a lost executor's part is recomputed from the lineage.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS_PER_PART)
+    bucket = F.pmod(F.xxhash64("gid", "salt"), F.lit(max(buckets, parts))).cast("int")
+    salt = F.pmod(F.xxhash64("tid"), F.col("salts")).cast("int")
+    # Few groups are sent to the points; with many, the join is shuffled and the adaptive skew join splits a hot group.
+    known = F.broadcast(plan) if groups <= BROADCAST_GROUPS else plan
+    chosen = points.join(known, "grp").select("gid", "tid", "v", "k", "members", salt.alias("salt"))
     blocks = (
         chosen.select(bucket.alias("bucket"), F.col("gid").alias("gid"), "tid", "v")
-        .repartition(shuffles, "bucket")
+        .repartition(parts, "bucket")
         .persist(StorageLevel.DISK_ONLY)
     )
-    by_hash = Window.partitionBy("gid").orderBy(F.xxhash64("tid"), "tid")
+    # The k smallest of n uniform hashes lie below (2k + 128) / n but for a chance under e^-50: whatever the size of a
+    # group, only that many members are compared.
+    hashed = F.xxhash64("tid")
+    near_zero = (hashed.cast("double") + 2.0**63) / 2.0**64 * F.col("members") <= 2 * F.col("k") + 128
+    by_hash = Window.partitionBy("gid").orderBy(hashed, "tid")
     seeds = (
-        chosen.withColumn("place", F.row_number().over(by_hash))
+        chosen.filter(near_zero)
+        .withColumn("place", F.row_number().over(by_hash))
         .filter((F.col("place") <= most_clusters) & (F.col("place") <= F.col("k")))
         .select("gid", (F.col("place") - 1).alias("cluster"), F.col("v").cast("array<double>").alias("centre"))
     )

@@ -7,7 +7,7 @@ per request, and hands on ``requests x k`` rows. Only those are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 TINY = 1e-12
 SCORE_CELLS = 2_000_000  # item x request scores held at a time by a task
-TASKS_PER_CORE = 4
 
 
 @dataclass
@@ -27,6 +26,7 @@ class RequestBlock:
     vectors: np.ndarray  # (Q, total dims of the item parts)
     part_weights: np.ndarray  # (Q, parts): squared weight of each part in the item norm
     norms: np.ndarray  # (Q,): norm of the weighted request vector
+    bars: np.ndarray | None = None  # (Q,): similarity that k items are known to reach
 
 
 def _matrix(column: pa.Array, width: int | None) -> np.ndarray:
@@ -53,7 +53,7 @@ def _score_partition(
     requests = len(block.qid)
     query_matrix, weight_matrix = block.vectors.T, block.part_weights.T
     query_norms = np.maximum(block.norms, TINY)
-    floor = np.full(requests, -np.inf)
+    floor = np.full(requests, -np.inf) if block.bars is None else block.bars.copy()
     q = np.empty(0, dtype=np.int64)
     score = np.empty(0)
     tid = np.empty(0, dtype=np.int64)
@@ -79,7 +79,7 @@ def _score_partition(
                 q, score, tid = _best(q, score, tid, k)
                 counts = np.bincount(q, minlength=requests)
                 full = np.flatnonzero(counts == k)
-                floor[full] = score[np.cumsum(counts)[full] - 1]
+                floor[full] = np.maximum(floor[full], score[np.cumsum(counts)[full] - 1])
     q, score, tid = _best(q, score, tid, k)
     for start in range(0, len(q), 100_000):
         cut = slice(start, start + 100_000)
@@ -89,20 +89,44 @@ def _score_partition(
         )
 
 
-def top_k(items: DataFrame, block: RequestBlock, parts: list[str], norms: list[str], k: int) -> DataFrame:
-    """``(qid, tid, similarity, rank)``: the k most similar items of every request of the block, exactly.
-
-    ``parts`` are the item's vector (or number) columns in the order of the request vectors, ``norms`` their squared
-    norms. Ties go to the smaller key. Many small input splits are merged, which bounds the rows handed to the shuffle.
-    """
-    context = items.sparkSession.sparkContext
-    shared = context.broadcast((block.qid, block.vectors, block.part_weights, block.norms))
-    slim = items.select("tid", *parts, *norms)
-    tasks = TASKS_PER_CORE * max(context.defaultParallelism, 1)
+def _ranked(items: DataFrame, block: RequestBlock, parts: list[str], norms: list[str], k: int) -> DataFrame:
+    shared = items.sparkSession.sparkContext.broadcast(
+        (block.qid, block.vectors, block.part_weights, block.norms, block.bars)
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _score_partition(batches, RequestBlock(*shared.value), parts, norms, k)
 
-    local = slim.coalesce(tasks).mapInArrow(score, "qid long, tid long, similarity double")
+    local = items.select("tid", *parts, *norms).mapInArrow(score, "qid long, tid long, similarity double")
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "tid")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def sample_bars(sample: DataFrame, block: RequestBlock, parts: list[str], norms: list[str], k: int) -> np.ndarray:
+    """For each request the k-th best similarity within some of the items: its k best overall cannot lie below."""
+    kth = _ranked(sample, block, parts, norms, k).filter(F.col("rank") == k).select("qid", "similarity").toPandas()
+    bars = np.full(len(block.qid), -np.inf)
+    place = {qid: i for i, qid in enumerate(block.qid.tolist())}
+    for qid, similarity in zip(kth["qid"], kth["similarity"]):
+        bars[place[qid]] = similarity
+    return bars
+
+
+def top_k(
+    items: DataFrame,
+    block: RequestBlock,
+    parts: list[str],
+    norms: list[str],
+    k: int,
+    sample: DataFrame | None = None,
+) -> DataFrame:
+    """``(qid, tid, similarity, rank)``: the k most similar items of every request of the block, exactly.
+
+    ``parts`` are the item's vector (or number) columns in the order of the request vectors, ``norms`` their squared
+    norms. Ties go to the smaller key. Without ``sample`` every task hands on up to k rows per request. With it (any
+    part of ``items``), tasks leave out what cannot be among the k best, so the shuffled rows no longer grow with the
+    number of tasks; the result is the same.
+    """
+    if sample is not None:
+        block = replace(block, bars=sample_bars(sample, block, parts, norms, k))
+    return _ranked(items, block, parts, norms, k)

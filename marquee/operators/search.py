@@ -99,7 +99,7 @@ def _plot_block(rows) -> RequestBlock:
 def neighbour_genres(rows, model: Model) -> DataFrame:
     """``(qid, genre)``: softmax-weighted mean genre vector of the nearest plots, for one pass of requests."""
     cfg = model.config
-    near = top_k(model.components, _plot_block(rows), ["plot"], ["plot_n2"], cfg.neighbours)
+    near = top_k(model.components, _plot_block(rows), ["plot"], ["plot_n2"], cfg.neighbours, model.sample)
     # At most REQUESTS_PER_PASS x neighbours rows of three numbers: a bounded broadcast.
     gathered = model.components.select("tid", "genre").join(F.broadcast(near), "tid")
     weight = F.exp(F.col("similarity") * cfg.neighbour_sharpness)
@@ -122,25 +122,31 @@ def _weighted_block(rows, genres: dict[int, np.ndarray], model: Model) -> Reques
     return RequestBlock(rows["qid"].to_numpy(), vectors, squared, length)
 
 
-def rank_items(encoded: DataFrame, model: Model, most: int = C.CANDIDATE_CAP) -> DataFrame:
-    """``(qid, tid, similarity, rank)``: the ``k`` best items of every encoded request.
-
-    The similarity is the inner product of the weighted, concatenated and normalised vectors. It is computed from the
-    parts (weights squared, stored squared norms), so no weighted copy of the items is ever made.
-    """
+def _rank(encoded: DataFrame, model: Model, most: int) -> tuple[DataFrame, int]:
+    """Ranked items and the number of rows they can have at most."""
     encoded = cut_lineage(encoded)  # read once per pass and once more for the limits
-    results = []
+    results, bound = [], 0
     for rows in request_passes(encoded):
         near = neighbour_genres(rows, model).toPandas()  # one vector per request of the pass
         genres = dict(zip(near["qid"], near["genre"]))
         block = _weighted_block(rows, genres, model)
-        results.append(top_k(model.components, block, PARTS, NORMS, min(most, int(rows["k"].max()))))
+        k = min(most, int(rows["k"].max()))
+        results.append(top_k(model.components, block, PARTS, NORMS, k, model.sample))
+        bound += len(rows) * k
     if not results:
-        return encoded.select("qid").limit(0).selectExpr(
-            "qid", "cast(null as long) tid", "cast(null as double) similarity", "cast(null as int) rank"
-        )
+        nothing = "qid", "cast(null as long) tid", "cast(null as double) similarity", "cast(null as int) rank"
+        return encoded.limit(0).selectExpr(*nothing), 0
     ranked = reduce(DataFrame.unionByName, results)
-    return ranked.join(encoded.select("qid", "k"), "qid").filter(F.col("rank") <= F.col("k")).drop("k")
+    return ranked.join(encoded.select("qid", "k"), "qid").filter(F.col("rank") <= F.col("k")).drop("k"), bound
+
+
+def rank_items(encoded: DataFrame, model: Model, most: int = C.CANDIDATE_CAP) -> DataFrame:
+    """``(qid, tid, similarity, rank)``: the ``k`` best items of every encoded request.
+
+    The similarity is the inner product of the weighted, concatenated and normalised vectors. It is computed from the
+    parts (weights squared, stored squared norms), so no weighted copy of the items is ever made.
+    """
+    return _rank(encoded, model, most)[0]
 
 
 # --- results ---------------------------------------------------------------------------------------------------------
@@ -172,7 +178,9 @@ def weighted_search(requests: DataFrame, movies: DataFrame, model: Model, encode
 
     Returns the title's columns with ``qid, rank, similarity, cultural_match``, without filters.
     """
-    ranked = rank_items(encode_requests(requests, model, encoder), model)
+    ranked, rows = _rank(encode_requests(requests, model, encoder), model, C.CANDIDATE_CAP)
+    if rows <= C.BROADCAST_RESULTS:
+        ranked = F.broadcast(ranked)  # the titles are scanned, not shuffled
     wanted = requests.select("qid", F.col("countries").alias("_countries"))
     return (
         ranked.join(movies, "tid")

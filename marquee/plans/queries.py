@@ -18,7 +18,7 @@ from ..operators import features as A
 from ..operators import locale as L
 from ..operators import ratings as R
 from ..operators import search as S
-from ..operators.eligibility import eligible_ids, first_keys, resume, searchable, with_genre, with_plot
+from ..operators.eligibility import eligible_ids, first_keys, not_done, searchable, with_genre, with_plot
 from ..operators.encoders import HashEncoder, JoinEncoder
 from ..operators.kmeans import table_kmeans
 from ..operators.requests import resolve_recommend, resolve_search, validate_recommend, validate_search
@@ -486,7 +486,7 @@ def resume_embedding(spark, sf_dir):
 def resume_union(spark, sf_dir):
     ids = _rated(spark, sf_dir).select("tid")
     labels = W.given_vectors(spark, sf_dir).select("tid", "label")
-    return resume(ids, labels, lambda todo: todo.withColumn("label", F.lit(-1)))
+    return labels.unionByName(not_done(ids, labels).withColumn("label", F.lit(-1)))
 
 
 @query

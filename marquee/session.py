@@ -46,8 +46,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="marquee-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
     return configured
 
 
@@ -57,6 +55,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back.
+
+    Like a reliable checkpoint it survives the loss of any executor; being a Parquet table, it is also read by column and
+    has known statistics.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import SAMPLE_MIN, SAMPLE_ONE_IN
+
 RAW_TITLES = "tconst string, titleType string, startYear int"
 RAW_RATINGS = "tconst string, averageRating double, numVotes long"
 
@@ -55,43 +57,61 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 class VersionedTable:
     """A table kept as numbered versions below ``root``.
 
-    A version is written first and published by one appended pointer row, so readers see the last complete version
-    whatever happens to a running write. Earlier versions stay readable.
+    The rows of a version are written first and published by one appended pointer row, so readers see the last complete
+    version whatever happens to a running write. A version that adds rows writes only those and refers to the folders
+    before it. Earlier versions stay readable.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _latest(self) -> int | None:
+    def _pointer(self, back: int = 0):
+        """``(version, first)``: the version and the first folder it consists of; None if there is no such version."""
         try:
-            pointers = self.spark.read.schema("version long").parquet(f"{self.root}/versions")
-        except AnalysisException:
+            pointers = self.spark.read.schema("version long, first long").parquet(f"{self.root}/versions")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        return pointers.agg(F.max("version")).first()[0]
+        newest = pointers.agg(F.max("version")).first()[0]
+        return pointers.filter(F.col("version") == newest - back).first()
 
     def exists(self) -> bool:
-        return self._latest() is not None
+        return self._pointer() is not None
 
-    def publish(self, df: DataFrame) -> int:
-        version = (self._latest() or 0) + 1
+    def _write(self, df: DataFrame, version: int, first: int) -> int:
         write_parquet(df, f"{self.root}/v={version}")
-        pointer = self.spark.range(version, version + 1).select(F.col("id").alias("version")).coalesce(1)
+        pointer = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(first).alias("first"))
+        pointer = pointer.select(F.col("version").cast("long"), F.col("first").cast("long")).coalesce(1)
         write_parquet(pointer, f"{self.root}/versions", mode="append")
         return version
 
+    def publish(self, df: DataFrame) -> int:
+        """A version that consists of ``df`` alone."""
+        newest = self._pointer()
+        version = newest["version"] + 1 if newest else 1
+        return self._write(df, version, version)
+
+    def append(self, df: DataFrame) -> int:
+        """A version that adds ``df`` to the one before it."""
+        newest = self._pointer()
+        return self._write(df, newest["version"] + 1, newest["first"]) if newest else self.publish(df)
+
     def load(self, back: int = 0) -> DataFrame:
         """The latest version, or the one ``back`` steps before it."""
-        latest = self._latest()
-        if latest is None or latest - back < 1:
+        chosen = self._pointer(back)
+        if chosen is None:
             raise FileNotFoundError(f"no version of {self.root} to load")
-        return self.spark.read.parquet(f"{self.root}/v={latest - back}")
+        folders = [f"{self.root}/v={n}" for n in range(chosen["first"], chosen["version"] + 1)]
+        return self.spark.read.parquet(*folders)
 
     def resume(self, ids: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Run ``work`` on keys without a finished row, publish old and new rows together, return them."""
-        from ..operators.eligibility import resume
-
-        self.publish(resume(ids, self.load(), work) if self.exists() else work(ids))
+        """Run ``work`` on keys without a stored row, add its rows, return the whole table."""
+        if self.exists():
+            self.append(work(ids.join(self.load().select("tid"), "tid", "left_anti")))
+        else:
+            self.publish(work(ids))
         return self.load()
 
 
@@ -105,6 +125,9 @@ class ModelStore:
     def save(self, model) -> None:
         """Components are written sorted by key within files, so key lookups skip row groups."""
         write_parquet(model.components.sortWithinPartitions("tid"), f"{self.root}/components")
+        stored = self.spark.read.parquet(f"{self.root}/components")
+        some = stored.filter(F.pmod(F.xxhash64("tid"), F.lit(SAMPLE_ONE_IN)) == 0)
+        write_parquet(some, f"{self.root}/components_sample")
         write_parquet(model.vocab, f"{self.root}/vocab")
         cfg = model.config
         meta = self.spark.range(1).select(
@@ -122,5 +145,7 @@ class ModelStore:
         meta = self.spark.read.parquet(f"{self.root}/model_meta").select("plot_dim", "genre_dim", "loc_dim").first()
         vocab = self.spark.read.parquet(f"{self.root}/vocab")
         components = read_spread(self.spark, f"{self.root}/components")
+        sample = self.spark.read.parquet(f"{self.root}/components_sample")
         cfg = replace(config or FeatureConfig(), **meta.asDict())
-        return Model(components, vocab, vocabulary_sizes(vocab), cfg)
+        useful = sample.count() >= SAMPLE_MIN
+        return Model(components, vocab, vocabulary_sizes(vocab), cfg, sample if useful else None)

@@ -7,7 +7,7 @@ keys already stored and adds nothing, so every key is written once.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,19 +17,23 @@ from ..operators.encoders import Encoder
 from ..sources.payloads import good_rows, parse_payloads, quarantine
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def _unseen(batch: DataFrame, path: str) -> DataFrame:
+    """Rows of ``batch`` whose key the table at ``path`` lacks, one row per key.
+
+    Stored keys are first cut down to those of the batch, so a small batch never shuffles the stored table.
+    """
+    once = batch.dropDuplicates(["tid"])
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
+        stored = batch.sparkSession.read.schema("tid long").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return once
+    return once.join(stored.join(once.select("tid"), "tid", "left_semi"), "tid", "left_anti")
 
 
-def append_new(batch: DataFrame, path: str) -> None:
-    """Append the rows of ``batch`` whose key the table at ``path`` lacks, one row per key."""
-    once = batch.dropDuplicates(["tid"])
-    done = _stored(batch.sparkSession, path, batch.schema)
-    fresh = once if done is None else once.join(done.select("tid"), "tid", "left_anti")
-    fresh.write.mode("append").option("compression", "snappy").parquet(path)
+def _append(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").option("compression", "snappy").parquet(path)
 
 
 def ingest_payloads(payloads: DataFrame, movies_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
@@ -37,8 +41,8 @@ def ingest_payloads(payloads: DataFrame, movies_path: str, rejected_path: str, c
 
     def store(batch: DataFrame, _: int) -> None:
         parsed = parse_payloads(batch).persist()
-        append_new(good_rows(parsed), movies_path)
-        append_new(quarantine(parsed), rejected_path)
+        _append(_unseen(good_rows(parsed), movies_path), movies_path)
+        _append(_unseen(quarantine(parsed), rejected_path), rejected_path)
         parsed.unpersist()
 
     return (
@@ -53,12 +57,8 @@ def encode_titles(movies: DataFrame, encoder: Encoder, path: str, checkpoint: st
     """Encode the plots of a stream of titles into ``(tid, plot_embedding)``; stored titles are not encoded again."""
 
     def store(batch: DataFrame, _: int) -> None:
-        todo = with_plot(batch).dropDuplicates(["tid"])
-        done = _stored(batch.sparkSession, path, "tid long, plot_embedding array<double>")
-        if done is not None:
-            todo = todo.join(done.select("tid"), "tid", "left_anti")
-        vectors = encoder.encode(todo, "tid", passage(F.col("plot")), "plot_embedding")
-        vectors.write.mode("append").option("compression", "snappy").parquet(path)
+        todo = _unseen(with_plot(batch), path)
+        _append(encoder.encode(todo, "tid", passage(F.col("plot")), "plot_embedding"), path)
 
     return (
         movies.writeStream.foreachBatch(store)

@@ -150,3 +150,28 @@ def test_empty_batch(spark, sf_dir):
     films, model = W.stored_model(spark, sf_dir)
     none = W.benchmark_requests(spark, sf_dir).withColumn("query", F.lit(""))
     assert S.batch_search(none, films, model, W.ENCODER).count() == 0
+
+
+def test_sample_bars_do_not_change_the_result(spark):
+    rng = np.random.default_rng(8)
+    items = item_table(spark, rng.integers(-1, 2, (300, 4)).astype(float), 5)
+    block = cosine_block(rng.normal(size=(6, 4)))
+
+    def run(sample):
+        return sorted(map(tuple, top_k(items, block, ["plot"], ["n2"], 9, sample).collect()))
+
+    assert run(items.filter("tid % 7 = 0")) == run(None)
+    assert run(items.filter("tid < 4")) == run(None)
+
+
+def test_search_with_sample_is_the_same(spark, sf_dir):
+    from dataclasses import replace
+
+    films, model = W.stored_model(spark, sf_dir)
+    bounded = replace(model, sample=model.components.filter("tid % 2 = 0"))
+    asked = W.benchmark_requests(spark, sf_dir)
+
+    def run(m):
+        return sorted((r["qid"], r["rank"], r["tid"]) for r in S.batch_search(asked, films, m, W.ENCODER).collect())
+
+    assert run(bounded) == run(model)

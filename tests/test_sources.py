@@ -42,6 +42,10 @@ def test_versions(spark):
     store.publish(spark.range(3))
     store.publish(store.load().union(spark.range(3, 5)))
     assert store.exists() and store.load().count() == 5 and store.load(back=1).count() == 3
+    store.append(spark.range(5, 6))
+    assert store.load().count() == 6 and store.load(back=1).count() == 5 and store.load(back=2).count() == 3
+    with pytest.raises(FileNotFoundError):
+        store.load(back=3)
 
 
 def test_resumed_ingest_equals_one_run(spark, sf_dir):
