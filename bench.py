@@ -15,7 +15,7 @@ from marquee.plans.queries import QUERIES
 from marquee.session import local_session
 
 HEADLINE = [
-    "rating_fusion", "scalar_norm", "top_titles", "payload_parse", "vocab_words", "feature_combinations", "loc_vector_128",
+    "rating_fusion", "scalar_norm", "top_titles", "payload_parse", "vocab_words", "feature_combos", "loc_vector_128",
     "hash_encode", "components", "grouped_kmeans", "weighted_search", "search_filtered", "batch_search", "recommend",
     "recommend_by_title", "weight_sweep", "locale_preferences",
 ]

@@ -120,6 +120,7 @@ ERROR_INVALID_PARAMETERS = 4
 # ---------------------------------------------------------------------------------------------------------------------
 
 REQUESTS_PER_PASS = 4096  # request vectors broadcast to the scoring tasks at a time
+BROADCAST_REQUESTS = 200_000  # resolved requests, a few numbers each, sent to the titles they name
 BROADCAST_RESULTS = 1_000_000  # ranked rows of four numbers sent to the titles; beyond, both sides are shuffled
 SAMPLE_ONE_IN = 256  # share of the components that bounds the scores of a large catalogue
 SAMPLE_MIN = 10_000  # rows the sample needs to be worth a pass of its own

@@ -218,6 +218,9 @@ def item_requests(sources: DataFrame, movies: DataFrame) -> DataFrame:
     the catalogue drop out.
     """
     titles = movies.select(F.col("tid").alias("source"), "genre", "plot", "country", "language")
+    sources = sources.select("qid", "source", "error_code", "use_cultural_weights", "max_results", *WEIGHT_COLUMNS)
+    if sources.limit(C.BROADCAST_REQUESTS + 1).count() <= C.BROADCAST_REQUESTS:
+        sources = F.broadcast(sources)  # the titles are scanned, not shuffled
     cultural = F.col("use_cultural_weights")
     none = F.array().cast("array<string>")
     wanted = F.col("max_results") + 1
@@ -241,7 +244,8 @@ _NO_FILTERS = {"min_rating": "double", "min_votes": "long", "year_from": "int",
 def recommend(requests: DataFrame, movies: DataFrame, model: Model, encoder: Encoder) -> DataFrame:
     """Titles similar to the title named by each request (``item_id``), without that title itself."""
     resolved = resolve_recommend(requests)
-    asked = item_requests(resolved.filter(F.col("error_code") == C.ERROR_NONE), movies)
+    # Written once: the requests are read several times below, and each reading would scan the titles again.
+    asked = cut_lineage(item_requests(resolved.filter(F.col("error_code") == C.ERROR_NONE), movies))
     found = search(asked, movies, model, encoder)
     limits = asked.select("qid", "source", (F.col("max_results") - 1).alias("_limit"))
     others = found.join(limits, "qid").filter(F.col("tid") != F.col("source"))

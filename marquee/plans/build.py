@@ -12,6 +12,7 @@ from ..operators.encoders import Encoder, encode_new
 from ..operators.features import Model, build_model, genre_embeddings, join_embeddings, merged_embeddings
 from ..operators.ratings import STAGE_COLUMNS, fuse_ratings, normalize_scalars
 from ..operators.vocab import build_vocab
+from ..session import cut_lineage
 from ..sources.payloads import good_rows, parse_payloads, quarantine, require_good
 from ..sources.tables import ModelStore, VersionedTable, write_parquet
 
@@ -35,10 +36,10 @@ def embed(
 ) -> DataFrame:
     """Plot and genre embeddings side by side, and their weighted merge if asked for."""
     require_columns(movies)
-    plots = plot_embeddings(movies, encoder)
+    plots = cut_lineage(plot_embeddings(movies, encoder))  # an expensive model runs once
     if plots.isEmpty():
         raise ValueError("no titles with a plot")
-    vocab = build_vocab(movies, {"genre": "genre"})
+    vocab = cut_lineage(build_vocab(movies, {"genre": "genre"}))
     size = vocab.count()
     by_plot = plots.select("tid", F.col("plot_embedding").alias("plot")) if correlate else None
     both = join_embeddings(plots, genre_embeddings(movies, vocab, size, by_plot, cfg))

@@ -159,7 +159,7 @@ def as_text(column: str) -> str:
 
 
 ORACLES["delimited_scan"] = with_(TITLES, RAW, select='select tconst, "titleType", "startYear" from raw')
-ORACLES["eligible_titles"] = with_(
+ORACLES["eligible_ids"] = with_(
     TITLES,
     RAW,
     select="""select tid from raw where "titleType" in ('movie', 'tvMovie') and "startYear" >= 1970
@@ -278,10 +278,10 @@ ORACLES["vocab_words"] = f"""
 select value, (row_number() over (order by value) - 1)::int as idx from (
   select distinct {STRIP.format("piece")} as value from (select unnest(regexp_split_to_array(text, '\\s+')) as piece from documents)
   where {STRIP.format("piece")} <> '')"""
-ORACLES["feature_combinations"] = with_(
+ORACLES["feature_combos"] = with_(
     TITLES, features(), select=f"select {COMBO} as combo, count(*) as members from la group by a"
 )
-ORACLES["feature_combinations_by_join"] = ORACLES["feature_combinations"]
+ORACLES["feature_combos_by_join"] = ORACLES["feature_combos"]
 ORACLES["multi_hot_genre"] = with_(
     TITLES, features(), select="select tid, unnest(a)::int as pos, 1.0::double as value from ga"
 )
@@ -303,7 +303,7 @@ def spread(source: str, vector: str, dim: int, key: str = "tid") -> str:
        from {source} cross join (select unnest(range({dim})) as pos) where {vector}[pos + 1] <> 0"""
 
 
-ORACLES["l2_unit"] = with_(UNIT, select=spread("units", "u", 64))
+ORACLES["l2_normalize"] = with_(UNIT, select=spread("units", "u", 64))
 ORACLES["join_encode"] = with_(
     UNIT, select=spread("(select units.* from units join documents on doc_id = tid)", "u", 64)
 )
@@ -316,7 +316,7 @@ ORACLES["genre_vectors"] = with_(
 ORACLES["full_join_embeddings"] = with_(
     TITLES,
     select="""select coalesce(tid, vec_id)::bigint as tid, vec_id is not null as has_plot, tid is not null as has_genre
-       from embeddings full join (select tid from titles where tid % 3 <> 0) on tid = vec_id""",
+       from embeddings full join (select tid from titles where country is not null) on tid = vec_id""",
 )
 ORACLES["merge_weighted"] = with_(
     TITLES,
@@ -470,7 +470,7 @@ weighed as (select tid, list_concat(list_transform(p, lambda x: x::double * 0.5)
 combined as (select tid, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) as c from weighed)""",
     select=spread("combined", "c", 225),
 )
-ORACLES["catalog_statistics"] = with_(
+ORACLES["catalog_stats"] = with_(
     CATALOGUE,
     select=f"""select count(*) as total_titles, min(year) as year_min, max(year) as year_max, {fixed("avg(rating)")} as avg_rating,
        (select count(*) from cv) as total_countries, (select count(*) from lv) as total_languages, 225 as embedding_dimension,

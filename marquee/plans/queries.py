@@ -40,7 +40,8 @@ LOC = {"country": "country", "language": "language"}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register ``fn`` under its name; a trailing underscore only keeps it apart from an operator."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -66,7 +67,7 @@ def delimited_scan(spark, sf_dir):
 
 
 @query
-def eligible_titles(spark, sf_dir):
+def eligible_ids_(spark, sf_dir):
     path = scratch_path(spark, "ratings") + ".tsv.gz"
     raw = W.raw_titles(spark, sf_dir)
     kept = raw.select("tconst", "averageRating", "numVotes").filter("averageRating is not null")
@@ -259,13 +260,13 @@ def _active(spark, sf_dir, columns: dict[str, str]) -> tuple[DataFrame, dict[str
 
 
 @query
-def feature_combinations(spark, sf_dir):
+def feature_combos_(spark, sf_dir):
     active, _ = _active(spark, sf_dir, LOC)
     return feature_combos(active, "active").select(V.combo_text(F.col("active")).alias("combo"), "members")
 
 
 @query
-def feature_combinations_by_join(spark, sf_dir):
+def feature_combos_by_join(spark, sf_dir):
     """The route of vocabularies too large for a lookup gives the same result."""
     movies = _light(spark, sf_dir)
     vocab = cut_lineage(build_vocab(movies, LOC))
@@ -291,7 +292,7 @@ def pad_truncate(spark, sf_dir):
 
 
 @query
-def l2_unit(spark, sf_dir):
+def l2_normalize_(spark, sf_dir):
     vectors = W.given_vectors(spark, sf_dir)
     return entries(vectors.select("tid", l2_normalize(F.col("plot_embedding")).alias("v")), "v")
 
@@ -308,7 +309,7 @@ def genre_vectors(spark, sf_dir):
 @query
 def full_join_embeddings(spark, sf_dir):
     plots = W.given_vectors(spark, sf_dir).select("tid", "plot_embedding")
-    genres = _light(spark, sf_dir).filter(F.col("tid") % 3 != 0).select("tid", F.col("genre").alias("genre_embedding"))
+    genres = _light(spark, sf_dir).filter("country is not null").select("tid", F.col("genre").alias("genre_embedding"))
     both = A.join_embeddings(plots, genres)
     return both.select(
         "tid", F.col("plot_embedding").isNotNull().alias("has_plot"), F.col("genre_embedding").isNotNull().alias("has_genre")
@@ -440,15 +441,15 @@ def semi_searchable(spark, sf_dir):
 @query
 def anti_resume(spark, sf_dir):
     """Payloads in two instalments: the second run parses only what the first has not stored."""
-    ids = _rated(spark, sf_dir).select("tid")
+    rated = _rated(spark, sf_dir)
     parts = W.payloads(spark, sf_dir)
 
     def work(todo):
         return Y.good_rows(Y.parse_payloads(parts.join(todo, "tid", "left_semi")))
 
     store = VersionedTable(spark, scratch_path(spark, "movies"))
-    store.resume(ids.filter(F.col("tid") % 2 == 0), work)
-    stored = store.resume(ids, work)
+    store.resume(rated.filter("votes > 25").select("tid"), work)
+    stored = store.resume(rated.select("tid"), work)
     return stored.select("tid", "title", "votes")
 
 
@@ -478,7 +479,7 @@ def model_store(spark, sf_dir):
 def resume_embedding(spark, sf_dir):
     """Encoding in two instalments equals encoding at once."""
     films = W.titles(spark, sf_dir, ratings=False, locale=False)
-    done = plot_embeddings(films.filter(F.col("tid") % 3 == 0), W.ENCODER)
+    done = plot_embeddings(films.filter("runtime < 20"), W.ENCODER)
     return entries(new_plot_embeddings(films, done, W.ENCODER), "plot_embedding")
 
 
@@ -494,8 +495,8 @@ def incremental_ingest(spark, sf_dir):
     """Payloads landed as files, taken in by a stream that runs twice."""
     root = scratch_path(spark, "ingest")
     landed = W.payloads(spark, sf_dir)
-    for half in (0, 1):
-        landed.filter(F.col("tid") % 2 == half).write.mode("append").parquet(f"{root}/landed")
+    for good in (True, False):
+        landed.filter(F.contains("raw", F.lit('"Response":"True"')) == good).write.mode("append").parquet(f"{root}/landed")
         stream = spark.readStream.schema("tid long, raw string").parquet(f"{root}/landed")
         job = ingest_payloads(stream, f"{root}/movies", f"{root}/rejected", f"{root}/checkpoint")
         job.awaitTermination()
@@ -685,7 +686,7 @@ def validate_requests(spark, sf_dir):
 
 
 @query
-def catalog_statistics(spark, sf_dir):
+def catalog_stats_(spark, sf_dir):
     films, model = W.stored_model(spark, sf_dir)
     return rounded(catalog_stats(films, model.vocab, model.dimension), "avg_rating")
 

@@ -291,7 +291,7 @@ def stored_model(spark: SparkSession, sf_dir: str, subclusters: bool = False) ->
         write_parquet(searchable(processed(spark, sf_dir)), f"{root}/films")
         films = read_parquet(spark, f"{root}/films")
         store = ModelStore(spark, root)
-        store.save(build_model(films, plot_embeddings(films, ENCODER), SEARCH_CONFIG, subclusters))
+        store.save(build_model(films, cut_lineage(plot_embeddings(films, ENCODER)), SEARCH_CONFIG, subclusters))
         _built[key] = (films, store.load(SEARCH_CONFIG))
     return _built[key]
 
