@@ -29,7 +29,7 @@ class RequestBlock:
     bars: np.ndarray | None = None  # (Q,): similarity that k items are known to reach
 
 
-def _matrix(column: pa.Array, width: int | None) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list (or number) column as a float64 matrix without per-row objects."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -51,8 +51,7 @@ def _score_partition(
     batches: Iterator[pa.RecordBatch], block: RequestBlock, parts: list[str], norms: list[str], k: int
 ) -> Iterator[pa.RecordBatch]:
     requests = len(block.qid)
-    query_matrix, weight_matrix = block.vectors.T, block.part_weights.T
-    query_norms = np.maximum(block.norms, TINY)
+    query_norms = np.maximum(block.norms, TINY)[:, None]
     floor = np.full(requests, -np.inf) if block.bars is None else block.bars.copy()
     q = np.empty(0, dtype=np.int64)
     score = np.empty(0)
@@ -62,20 +61,22 @@ def _score_partition(
         if batch.num_rows == 0:
             continue
         keys = batch.column("tid").to_numpy(zero_copy_only=False)
-        items = np.hstack([_matrix(batch.column(p), None) for p in parts])
+        items = np.hstack([_matrix(batch.column(p)) for p in parts])
         squares = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in norms])
         for start in range(0, len(keys), step):
             rows = slice(start, start + step)
-            length = np.sqrt(np.maximum(squares[rows] @ weight_matrix, 0.0)) * query_norms
-            cells = np.round(items[rows] @ query_matrix / np.maximum(length, TINY), 9) + 0.0
-            bar = floor
-            if len(cells) > k:
-                bar = np.maximum(bar, np.partition(cells, len(cells) - k, axis=0)[len(cells) - k])
-            row, request = np.nonzero(cells >= bar)
+            length = np.sqrt(np.maximum(block.part_weights @ squares[rows].T, 0.0)) * query_norms
+            cells = np.round(block.vectors @ items[rows].T / np.maximum(length, TINY), 9) + 0.0
+            width = cells.shape[1]
+            hits = cells >= floor[:, None]
+            if width > k and np.count_nonzero(hits) > 2 * k * requests:
+                kth = np.partition(cells, width - k, axis=1)[:, width - k]
+                hits = cells >= np.maximum(floor, kth)[:, None]
+            request, row = np.nonzero(hits)
             q = np.r_[q, request]
-            score = np.r_[score, cells[row, request]]
+            score = np.r_[score, cells[request, row]]
             tid = np.r_[tid, keys[rows][row]]
-            if len(q) > 4 * k * requests:
+            if len(q) > 2 * k * requests:
                 q, score, tid = _best(q, score, tid, k)
                 counts = np.bincount(q, minlength=requests)
                 full = np.flatnonzero(counts == k)
