@@ -38,11 +38,6 @@ def l2_normalize(v: Column) -> Column:
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def merge_weighted(a: Column, b: Column, weight_a: float, weight_b: float) -> Column:
     """Two vectors, scaled by weights that are made to sum to one, concatenated and normalised."""
     if weight_a < 0 or weight_b < 0:

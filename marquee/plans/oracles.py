@@ -411,15 +411,13 @@ ORACLES["resume_union"] = with_(
     select="""select vec_id::bigint as tid, label from embeddings union all
        select tid, -1 from titles where tid not in (select vec_id from embeddings)""",
 )
+REJECTED = f"""select tid, case when tid % 17 = 0 then 'malformed payload' when tid % 26 = 0 then 'Incorrect id.'
+       else 'Unknown error' end as error from loose where not ({GOOD})"""
 ORACLES["incremental_ingest"] = with_(
     TITLES,
     LOOSE,
     select=f"""select tid, {as_text("title_text")} as title, {as_int("votes_text")} as votes, null as error from loose where {GOOD}
-       union all select tid, null, null, error from ({"{}"})""".replace(
-        "{}",
-        """select tid, case when tid % 17 = 0 then 'malformed payload' when tid % 26 = 0 then 'Incorrect id.'
-       else 'Unknown error' end as error from loose where not (tid % 13 <> 0 and tid % 17 <> 0)""",
-    ),
+       union all select tid, null, null, error from ({REJECTED})""",
 )
 PLOT_VECTORS = hashed("titles", "tid", "plot", "hv", "passage: ")
 ORACLES["resume_embedding"] = with_(TITLES, PLOT_VECTORS, select=spread("hv", "p", 64))
@@ -490,7 +488,7 @@ DEFAULT = {"plot": 0.5, "genre": 0.25, "localization": 0.1, "popularity": 0.15}
 ITEM_DEFAULT = {"plot": 0.44, "genre": 0.13, "localization": 0.1, "popularity": 0.33}
 SHORT = {"plot": "wp", "genre": "wg", "localization": "wl", "popularity": "wo"}
 
-BENCH = f"""
+BENCH_ROWS = f"""
 bench as (select item_id::bigint as qid, text as query,
          case when item_id % 4 <> 0 then ['NATION_' || (item_id % 30), 'NATION_7'] end as countries,
          case when item_id % 3 <> 0 then ['ASIA', 'Klingon'] end as languages,
@@ -501,7 +499,8 @@ bench as (select item_id::bigint as qid, text as query,
          case when item_id % 7 = 3 then 1990 when item_id % 5 = 2 then 2030 end as y1,
          {pick([*PRESETS, ""], "item_id")} as preset,
          case when item_id % 6 = 1 then 0.9::double end as plot_weight,
-         case when item_id % 6 = 2 then 0.0::double end as popularity_weight from benchmark),
+         case when item_id % 6 = 2 then 0.0::double end as popularity_weight from benchmark)"""
+BENCH = f"""{BENCH_ROWS},
 asked as (select *, least(2 * m, 100) as k, {weight("plot", 0.5, "plot_weight")} as wp, {weight("genre", 0.25, None)} as wg,
          {weight("localization", 0.1, None)} as wl, {weight("popularity", 0.15, "popularity_weight")} as wo from bench)"""
 
@@ -552,11 +551,12 @@ ORACLES["query_loc_vector"] = with_(CATALOGUE, BENCH, QUERY_VECTORS, select=spre
 ORACLES["query_genre_vector"] = with_(CATALOGUE, BENCH, QUERY_VECTORS, select=spread("qg", "g", 32, "qid"))
 
 MATCH = "coalesce(list_has_any(country, countries), false) as cultural_match"
+LOW_LEVEL = """
+asked as (select *, 10 as k, 0.5::double as wp, 0.25::double as wg, 0.05::double as wl, 0.2::double as wo from bench)"""
 ORACLES["weighted_search"] = searched(
-    BENCH + """,
-low as (select qid, query, countries, languages from asked)""",
+    BENCH_ROWS + "," + LOW_LEVEL,
     select=f"select {HIT}, {MATCH} from ranked join films using (tid) join asked using (qid)",
-).replace(BENCH, BENCH.replace("asked as (select *, least(2 * m, 100) as k,", "asked as (select *, 10 as k, 0.5::double as wp, 0.25::double as wg, 0.05::double as wl, 0.2::double as wo from bench),\nunused as (select *, least(2 * m, 100) as k,"))
+)
 
 FILTERED = """
 kept as (select ranked.*, countries, m, row_number() over (partition by qid order by rank) as place

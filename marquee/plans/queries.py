@@ -12,7 +12,7 @@ from ..functions import features as V
 from ..functions import parsing as P
 from ..functions.core import fixed, one_row
 from ..functions.ids import key_from_text, text_from_key, try_key_from_text
-from ..functions.text import diversity_bucket, keyword_genres, passage
+from ..functions.text import diversity_bucket, keyword_genres
 from ..functions.vectors import fit, l2_normalize, multi_hot
 from ..operators import features as A
 from ..operators import locale as L
@@ -26,7 +26,7 @@ from ..operators.stats import catalog_stats
 from ..operators.vocab import active_features, build_vocab, feature_combos, list_column, vocab_size
 from ..session import cut_lineage, scratch_path
 from ..sources import payloads as Y
-from ..sources.tables import RAW_RATINGS, RAW_TITLES, ModelStore, VersionedTable, read_delimited
+from ..sources.tables import RAW_RATINGS, RAW_TITLES, VersionedTable, read_delimited
 from ..streaming.jobs import encode_titles, ingest_payloads
 from . import views as W
 from .build import new_plot_embeddings, plot_embeddings
@@ -693,7 +693,7 @@ def catalog_stats_(spark, sf_dir):
 
 @query
 def cultural_match(spark, sf_dir):
-    """Match of every title with the nations of the supplier that ships most of it by name order."""
+    """Whether any country of each title is among those wanted."""
     wanted = F.array(F.lit("NATION_1"), F.lit("NATION_12"), F.lit("Nowhere"))
     return _light(spark, sf_dir).select("tid", S.cultural_match(F.col("country"), wanted).alias("match"))
 
@@ -732,5 +732,3 @@ def top_titles(spark, sf_dir):
     ranked = fused.select("tid", "title", "year", score.alias("score")).withColumn("place", F.row_number().over(order))
     return ranked.filter(F.col("place") <= 10)
 
-
-__all__ = ["QUERIES", "passage"]
