@@ -33,6 +33,15 @@ def crc_fold(doc_id, parts: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def sampled(df: DataFrame, key, bound: int, salt: str) -> DataFrame:
+    """About ``bound`` rows chosen by a hash of ``key``, all of them if there are fewer: the bounded sample of a fit."""
+    n = df.count()
+    if n <= bound:
+        return df
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+    return df.filter(u < int((1 << 52) * bound / n))
+
+
 def parts_for(df: DataFrame, rows: int, rows_each: int) -> int:
     """Partitions for ``rows`` rows, at least the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
@@ -77,10 +86,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of the words ``[^\\x20\\x09-\\x0D]+``; a word never spans two rows."""
+def words_of(data: np.ndarray, offsets: np.ndarray, breaks=SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the runs of bytes outside ``breaks``; a run never spans two rows.
+
+    By default these are the words ``[^\\x20\\x09-\\x0D]+``.
+    """
     space = np.zeros(256, bool)
-    space[list(SPACES)] = True
+    space[list(breaks)] = True
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~space[data]
     first = np.zeros(len(data) + 1, bool)

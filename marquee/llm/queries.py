@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import language, toxicity
+from .common import crc_fold, documents
 from .exact_dedup import exact_groups
 from .mixing import poisson_mix
+from .secrets import find_secrets, joined
 from .shards import shard_rows
 from .tokens import count_tokens, utf8_bytes
 
@@ -80,3 +82,32 @@ with texts as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x
 groups as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from texts group by text_sha256)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from texts join groups using (text_sha256)
 """
+
+
+@query
+def op1_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: fixed patterns, and keys that pass the randomness battery."""
+    found = find_secrets(documents(spark, sf_dir))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "random")).alias("spans"), F.size("random").cast("long").alias("n_random"),
+    )
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from three of four folds of the labels."""
+    docs, fold = documents(spark, sf_dir), crc_fold(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold != 2, fold == 3)
+    scored = toxicity.score_toxicity(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from four of five folds."""
+    docs, fold = documents(spark, sf_dir), crc_fold(F.col("doc_id"), 5)
+    model = language.fit(docs, fold != 0)
+    found = language.identify(docs, model, carry=["doc_id"])
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
