@@ -11,6 +11,7 @@ from . import language, toxicity
 from .common import crc_fold, documents
 from .exact_dedup import exact_groups
 from .mixing import poisson_mix
+from .ngram_join import similar_components
 from .secrets import find_secrets, joined
 from .shards import shard_rows
 from .tokens import count_tokens, utf8_bytes
@@ -111,3 +112,29 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs, fold != 0)
     found = language.identify(docs, model, carry=["doc_id"])
     return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles have a similarity of 0.75 or more."""
+    return similar_components(documents(spark, sf_dir))
+
+
+ORACLES["op4_parity_sketch_join"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+shingles as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * pairs.n >= 75 * (x.n + y.n - pairs.n)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select a as doc_id, a as root from ways union select ways.b, reach.root from reach join ways on ways.a = reach.doc_id)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(r.root, d.doc_id) as component_id
+from documents d left join sizes s using (doc_id) left join (select doc_id, min(root) as root from reach group by doc_id) r using (doc_id)
+"""
