@@ -10,8 +10,9 @@ with fewer gives all of them, and its first ``d + 1`` shingles as parts of their
 last in that order, so a passage that many documents share brings no candidates. No link is lost, whatever is frequent.
 
 *Verification.* Candidates of one part are tied to its smallest set first (linear in the part). Pairs that pass the sketch test are
-decided on the sets themselves. Parts that then still hold several components are completed: all their pairs across components
-pass the sketch test, in blocks, and the survivors are verified too. Components are therefore those of all links.
+decided on the sets themselves. Parts that then still hold several components are completed: members outside the largest
+component meet all others of their part in blocks, and their nearest partners that pass the sketch test are verified, in each step
+eight times as many, until no untried pair across components passes. Components are therefore those of all links.
 
 Sets are identified by 128-bit hashes, so copies are one set. Nothing grows with a group in one task or on the driver.
 """
@@ -40,6 +41,7 @@ PIVOT_ROWS = 64
 BROADCAST_ROWS = 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MAX_BAND = 200
+STEPS = 24  # completion tries eight times as many partners in each step, so this is never reached
 
 
 class Bands:
@@ -108,8 +110,8 @@ def set_ids(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketch(value: np.ndarray) -> bytes:
-    """Parity sketch of one set: at least as many bits as shingles, a power of two."""
-    bits = max(64, 1 << (len(value) - 1).bit_length()) if len(value) else 64
+    """Parity sketch of one set: at least four bits for each shingle, a power of two."""
+    bits = max(64, 1 << (4 * len(value) - 1).bit_length()) if len(value) else 64
     place = (mix(value ^ np.uint64(0x51C0FFEE)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -263,14 +265,18 @@ def candidates(df: DataFrame, text: str, bands: Bands, frequent: np.ndarray) ->
         key, own = key[new], own[new]
         lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
         length = np.diff(np.append(lead, len(key)))
-        pivot = np.repeat(own[lead], length)
+        # a part's pivot is its member that meets most others: the text that near copies were made from
+        known, at, degree = np.unique(own, return_inverse=True, return_counts=True)
+        run = np.repeat(np.arange(len(lead)), length)
+        best = np.lexsort((own, -degree[at], run))[lead] if len(lead) else lead
+        pivot = np.repeat(own[best], length)
         rest = pivot != own
         star = np.unique(np.stack([pivot[rest], own[rest]], 1), axis=0)
         pairs = []
         for g in range(3, SMALL_RUN + 1):
             block = own[lead[length == g][:, None] + np.arange(g)]
-            i, j = np.triu_indices(g - 1, 1)
-            pairs.append(np.stack([block[:, 1:][:, i].ravel(), block[:, 1:][:, j].ravel()], 1))
+            i, j = np.triu_indices(g, 1)
+            pairs.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
         pairs = np.unique(np.concatenate(pairs), axis=0)
         large = {own[a : a + n].tobytes() for a, n in zip(lead[length > SMALL_RUN], length[length > SMALL_RUN], strict=True)}
         large = sorted(large)
@@ -340,12 +346,8 @@ def verify(df: DataFrame, key: str, text: str, pairs: DataFrame, similarity: tup
     return texts.groupBy("pivot", "salt").applyInArrow(decide, f"a {kind}, b {kind}").distinct()
 
 
-def complete(large: DataFrame, sets: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs ``a, b`` across components inside the large parts that pass the sketch test.
-
-    ``large``: members of each part. Members outside the part's largest component meet all others, in blocks of bounded size.
-    """
-    runs = large.withColumn("run", F.md5("members")).dropDuplicates(["run"])
+def part_members(large: DataFrame) -> DataFrame:
+    """``run, h1`` of each distinct large part."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,30 +355,46 @@ def complete(large: DataFrame, sets: DataFrame, labels: DataFrame, bands: Bands)
                 own = np.frombuffer(held, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([run] * len(own)), pa.array(own)], ["run", "h1"])
 
-    listed = runs.select("run", "members").mapInArrow(members, "run string, h1 long")
+    runs = large.withColumn("run", F.md5("members")).dropDuplicates(["run"])
+    return runs.select("run", "members").mapInArrow(members, "run string, h1 long")
+
+
+def complete(listed: DataFrame, sets: DataFrame, labels: DataFrame, failed: DataFrame, bands: Bands, nearest: int) -> DataFrame:
+    """Pairs ``a, b`` across components inside the large parts: for each member outside its part's largest component, the
+    ``nearest`` members of other components that pass the sketch test and were not tried before, in blocks of bounded size."""
     known = sets.select("h1", "k", "n", "sketch").join(labels, F.col("k") == F.col("node"), "left")
+    tried = failed.select(F.col("a").alias("h1"), F.col("b").alias("o")).union(failed.select("b", "a")).groupBy("h1").agg(F.collect_set("o").alias("tried"))
     known = known.select("h1", "n", "sketch", F.coalesce("component", "k").alias("c"))
-    rows = stored(listed.join(known, "h1"), "large-parts")
-    share = rows.groupBy("run", "c").agg(F.count(F.lit(1)).alias("n"))
+    labelled = listed.join(known.select("h1", "c"), "h1")
+    share = labelled.groupBy("run", "c").agg(F.count(F.lit(1)).alias("n"))
     most = share.groupBy("run").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     plan = most.select("run", F.col("m.c").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / 256).cast("int").alias("i"), F.ceil(F.col("all") / 4096).cast("int").alias("j"))
-    rows = rows.join(plan, "run")
+    rows = stored(listed.join(plan, "run").join(known, "h1").join(tried, "h1", "left"), "large-parts")
     number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("h1"), F.col(n)).cast("int")
-    asks = rows.filter("c <> main").select("run", F.lit(0).alias("side"), place("i").alias("x"), F.explode(number("j")).alias("y"), "h1", "n", "sketch", "c")
-    told = rows.select("run", F.lit(1).alias("side"), F.explode(number("i")).alias("x"), place("j").alias("y"), "h1", "n", "sketch", "c")
+    asks = rows.filter("c <> main").select("run", F.lit(0).alias("side"), place("i").alias("x"), F.explode(number("j")).alias("y"), "h1", "n", "sketch", "c", "tried")
+    told = rows.select("run", F.lit(1).alias("side"), F.explode(number("i")).alias("x"), place("j").alias("y"), "h1", "n", "sketch", "c", F.lit(None).cast("array<long>").alias("tried"))
 
     def meet(table: pa.Table) -> pa.Table:
         side, n, h1 = table["side"].to_numpy(), table["n"].to_numpy(), table["h1"].to_numpy()
-        held, c = table["sketch"].to_pylist(), np.array(table["c"].to_pylist(), object)
+        held, tried = table["sketch"].to_pylist(), table["tried"].to_pylist()
+        c = np.unique(np.array(table["c"].to_pylist(), object), return_inverse=True)[1]
+        size = min(map(len, held))  # sizes in a part differ by one band; a folded sketch is a sketch
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, size), 0) for s in held])
         others, out = np.flatnonzero(side == 1), ([], [])
+        theirs = folded[others]
         for i in np.flatnonzero(side == 0):
-            near = others[(c[others] != c[i]) & bands.possible(n[i], n[others])]
-            for j in near:
-                if bands.possible(n[i], n[j], distance(held[i], held[j])):
-                    out[0].append(min(h1[i], h1[j]))
-                    out[1].append(max(h1[i], h1[j]))
-        return pa.table([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            far = np.bitwise_count(theirs ^ folded[i]).sum(1, dtype=np.int64)
+            ok = (c[others] != c[i]) & bands.possible(n[i], n[others], far)
+            if tried[i]:
+                ok &= ~np.isin(h1[others], np.array(tried[i], np.int64))
+            near = np.flatnonzero(ok)
+            near = near[np.argsort(far[near], kind="stable")[:nearest]]
+            out[0].append(np.minimum(h1[i], h1[others[near]]))
+            out[1].append(np.maximum(h1[i], h1[others[near]]))
+        flat_out = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        pair = np.unique(np.stack(flat_out, 1), axis=0)
+        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     return asks.union(told).groupBy("run", "x", "y").applyInArrow(meet, "a long, b long").distinct()
 
@@ -400,17 +418,27 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     links = stored(verify(df, key, text, ties, similarity), "links")
     labels = stored(components(links), "labels")
 
-    tag = lambda x: labels.select(F.col("node").alias(f"k{x}"), F.col("component").alias(f"c{x}"))
-    more = found.filter("kind = 1").select("a", "b").distinct()
     large = found.filter("kind = 2")
-    if large.limit(1).count():
-        more = more.union(complete(large, sets, labels, bands)).distinct()
-    more = pass_sketch(more, sets, bands).join(tag("a"), "ka", "left").join(tag("b"), "kb", "left")
-    more = more.filter(F.coalesce("ca", "ka") != F.coalesce("cb", "kb")).select("ka", "a", "h2a", "kb", "b", "h2b")
-    more = stored(more, "open-pairs")
-    if more.limit(1).count():
+    listed = stored(part_members(large), "part-members") if large.limit(1).count() else None
+    failed = df.sparkSession.createDataFrame([], "a long, b long")
+    for step in range(STEPS):
+        more = found.filter("kind = 1").select("a", "b").distinct() if step == 0 else None
+        if listed is not None:
+            wider = complete(listed, sets, labels, failed, bands, 4 * 8**step)
+            more = wider if more is None else more.union(wider).distinct()
+        if more is None:
+            break
+        tag = lambda x: labels.select(F.col("node").alias(f"k{x}"), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
+        more = pass_sketch(more, sets, bands).join(tag("a"), "ka", "left").join(tag("b"), "kb", "left")
+        more = more.filter(F.coalesce("ca", "ka") != F.coalesce("cb", "kb")).select("ka", "a", "h2a", "kb", "b", "h2b")
+        more = stored(more, "open-pairs")
+        if not more.limit(1).count():
+            break
         links = stored(links.union(verify(df, key, text, more, similarity)), "links")
         labels = stored(components(links), "labels")
+        failed = stored(failed.union(more.select("a", "b")), "tried-pairs")  # linked ones are in one component now
+    else:
+        raise RuntimeError(f"parts were not complete after {STEPS} steps")
 
     named = sets.join(labels, sets["k"] == labels["node"], "left").select("h1", "h2", "n", F.coalesce("component", "k").alias("component_id"))
     told = per_salt.select("h1", "h2", "n", "salt").join(named, ["h1", "h2", "n"])
