@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, toxicity, tree_search
 from .common import crc_fold, documents
 from .exact_dedup import exact_groups
 from .mixing import poisson_mix
 from .ngram_join import similar_components
+from .packing import pack, piece_rows
 from .secrets import find_secrets, joined
 from .shards import shard_rows
 from .tokens import count_tokens, utf8_bytes
@@ -138,3 +139,18 @@ reach as (select a as doc_id, a as root from ways union select ways.b, reach.roo
 select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(r.root, d.doc_id) as component_id
 from documents d left join sizes s using (doc_id) left join (select doc_id, min(root) as root from reach group by doc_id) r using (doc_id)
 """
+
+
+@query
+def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50, against all rows."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = tree_search.TreeIndex(vectors)
+    queries = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    return index.search(queries, k=5)
+
+
+@query
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return piece_rows(pack(documents(spark, sf_dir), *vocabulary()))
