@@ -30,7 +30,7 @@ def virtual_slot(*keys: Column, slots: int = SLOTS) -> Column:
 
 
 def rebalanced(owner: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
-    """``owner`` with as few slots moved as bring the shards near the mean weight.
+    """``owner`` with about as little weight moved as brings the shards near the mean weight.
 
     Each shard keeps its heaviest slots while they fit below the mean and releases the others (those of shards that no longer
     exist too); released slots go, heaviest first, to the lightest shard. Ties go to the smaller slot and shard.
