@@ -43,8 +43,6 @@ FALLBACK_COUNTRY = "United States"
 
 PASSAGE_PREFIX = "passage: "
 QUERY_POPULARITY = 1.5
-CANDIDATE_CAP = 100
-SNIPPET_CHARS = 200
 SEARCH_RESULTS = 20
 RECOMMEND_RESULTS = 10
 YEAR_FROM_DEFAULT = 1900

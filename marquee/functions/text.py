@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import GENRE_KEYWORDS, PASSAGE_PREFIX, SNIPPET_CHARS
+from ..config import GENRE_KEYWORDS, PASSAGE_PREFIX
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -19,9 +19,9 @@ def passage(text: Column) -> Column:
     return F.concat(F.lit(PASSAGE_PREFIX), text)
 
 
-def item_query(genres: Column, plot: Column) -> Column:
-    """Query text that stands for an item: its genres, then the start of its plot."""
-    snippet = F.coalesce(F.substring(plot, 1, SNIPPET_CHARS), F.lit(""))
+def item_query(genres: Column, plot: Column, chars: int | None = None) -> Column:
+    """Query text that stands for an item: its genres, then its plot, or the first ``chars`` characters of it."""
+    snippet = F.coalesce(plot if chars is None else F.substring(plot, 1, chars), F.lit(""))
     return F.concat(F.lower(F.array_join(genres, " ")), F.lit(" "), snippet)
 
 

@@ -111,7 +111,7 @@ def validate_recommend(requests: DataFrame) -> DataFrame:
 
 
 def resolve_search(requests: DataFrame, zero_allowed: bool = False) -> DataFrame:
-    """Validated requests with every default filled in; ``k`` is the number of candidates to rank."""
+    """Validated requests with every default filled in; ``k`` is the number of titles to rank."""
     checked = validate_search(requests)
     some_year = (F.col("year_from") > 0) | (F.col("year_to") > 0)
     return checked.withColumns(
@@ -123,7 +123,7 @@ def resolve_search(requests: DataFrame, zero_allowed: bool = False) -> DataFrame
             "year_from": F.when(some_year, F.coalesce(_set("year_from"), F.lit(C.YEAR_FROM_DEFAULT))),
             "year_to": F.when(some_year, F.coalesce(_set("year_to"), F.lit(C.YEAR_TO_DEFAULT))),
         }
-    ).withColumn("k", candidate_count(F.col("max_results")))
+    ).withColumn("k", F.col("max_results").cast("int"))
 
 
 def resolve_recommend(requests: DataFrame, zero_allowed: bool = False) -> DataFrame:
@@ -141,8 +141,3 @@ def resolve_recommend(requests: DataFrame, zero_allowed: bool = False) -> DataFr
             "max_results": F.coalesce(_set("max_results"), F.lit(C.RECOMMEND_RESULTS)),
         }
     )
-
-
-def candidate_count(max_results: Column) -> Column:
-    """Candidates ranked before the filters."""
-    return F.least(max_results * 2, F.lit(C.CANDIDATE_CAP)).cast("int")

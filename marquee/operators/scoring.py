@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TINY = 1e-12
+FILTERED = ["final_rating", "votes", "year"]  # item columns that requests may set conditions on
 SCORE_CELLS = 2_000_000  # item x request scores held at a time by a task
 
 
@@ -27,6 +28,7 @@ class RequestBlock:
     part_weights: np.ndarray  # (Q, parts): squared weight of each part in the item norm
     norms: np.ndarray  # (Q,): norm of the weighted request vector
     bars: np.ndarray | None = None  # (Q,): similarity that k items are known to reach
+    limits: np.ndarray | None = None  # (Q, 4): least rating, least votes, first and last year; NaN where not asked for
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -47,6 +49,17 @@ def _best(q: np.ndarray, score: np.ndarray, tid: np.ndarray, k: int) -> tuple[np
     return q[keep], score[keep], tid[keep]
 
 
+def _passes(limits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(Q, items): whether an item meets the conditions of a request; an unknown value fails a condition that is set."""
+    rating, votes, year = (values[:, i][None, :] for i in range(3))
+    least_rating, least_votes, first, last = (limits[:, i][:, None] for i in range(4))
+    return (
+        (np.isnan(least_rating) | (rating >= least_rating))
+        & (np.isnan(least_votes) | (votes >= least_votes))
+        & (np.isnan(first) | ((year >= first) & (year <= last)))
+    )
+
+
 def _score_partition(
     batches: Iterator[pa.RecordBatch], block: RequestBlock, parts: list[str], norms: list[str], k: int
 ) -> Iterator[pa.RecordBatch]:
@@ -68,10 +81,16 @@ def _score_partition(
             length = np.sqrt(np.maximum(block.part_weights @ squares[rows].T, 0.0)) * query_norms
             cells = np.round(block.vectors @ items[rows].T / np.maximum(length, TINY), 9) + 0.0
             width = cells.shape[1]
-            hits = cells >= floor[:, None]
+            if block.limits is None:
+                allowed = True
+            else:
+                values = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False)[rows] for n in FILTERED])
+                allowed = _passes(block.limits, values.astype(np.float64))
+                cells = np.where(allowed, cells, -np.inf)
+            hits = (cells >= floor[:, None]) & allowed
             if width > k and np.count_nonzero(hits) > 2 * k * requests:
                 kth = np.partition(cells, width - k, axis=1)[:, width - k]
-                hits = cells >= np.maximum(floor, kth)[:, None]
+                hits = (cells >= np.maximum(floor, kth)[:, None]) & allowed
             request, row = np.nonzero(hits)
             q = np.r_[q, request]
             score = np.r_[score, cells[request, row]]
@@ -92,13 +111,14 @@ def _score_partition(
 
 def _ranked(items: DataFrame, block: RequestBlock, parts: list[str], norms: list[str], k: int) -> DataFrame:
     shared = items.sparkSession.sparkContext.broadcast(
-        (block.qid, block.vectors, block.part_weights, block.norms, block.bars)
+        (block.qid, block.vectors, block.part_weights, block.norms, block.bars, block.limits)
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _score_partition(batches, RequestBlock(*shared.value), parts, norms, k)
 
-    local = items.select("tid", *parts, *norms).mapInArrow(score, "qid long, tid long, similarity double")
+    filters = [] if block.limits is None else [F.col(c).cast("double").alias(c) for c in FILTERED]
+    local = items.select("tid", *parts, *norms, *filters).mapInArrow(score, "qid long, tid long, similarity double")
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "tid")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -124,7 +144,7 @@ def top_k(
     """``(qid, tid, similarity, rank)``: the k most similar items of every request of the block, exactly.
 
     ``parts`` are the item's vector (or number) columns in the order of the request vectors, ``norms`` their squared
-    norms. Ties go to the smaller key. Without ``sample`` every task hands on up to k rows per request. With it (any
+    norms. Ties go to the smaller key. Conditions of the block (``limits``) are applied before ranking. Without ``sample`` every task hands on up to k rows per request. With it (any
     part of ``items``), tasks leave out what cannot be among the k best, so the shuffled rows no longer grow with the
     number of tasks; the result is the same.
     """

@@ -24,14 +24,17 @@ from ..functions.vectors import combine_components
 from ..session import cut_lineage
 from .encoders import Encoder
 from .features import NORMS, PARTS, Model
-from .requests import WEIGHT_NAMES, candidate_count, resolve_recommend, resolve_search
-from .scoring import RequestBlock, top_k
+from .requests import WEIGHT_NAMES, resolve_recommend, resolve_search
+from .scoring import FILTERED, RequestBlock, top_k
 from .vocab import active_features
 
 WEIGHT_COLUMNS = [f"{name}_weight" for name in WEIGHT_NAMES]
 ANCHOR = 3  # leading characters of a title request used as join key
 
 
+LIMITS = ["min_rating", "min_votes", "year_from", "year_to"]  # conditions that a request may set
+
+
 # --- request vectors -------------------------------------------------------------------------------------------------
 
 
@@ -66,7 +69,9 @@ def encode_requests(requests: DataFrame, model: Model, encoder: Encoder) -> Data
     """``(qid, plot, loc, k, weights)`` of resolved requests."""
     plot = encoder.encode(requests, "qid", passage(F.col("query")), "plot")
     cut = plot.select("qid", F.slice("plot", 1, model.config.plot_dim).alias("plot"))
-    return requests.select("qid", "k", *WEIGHT_COLUMNS).join(cut, "qid").join(request_loc_vectors(requests, model), "qid")
+    limits = [F.col(c).cast("double").alias(c) for c in LIMITS if c in requests.columns]
+    kept = requests.select("qid", "k", *WEIGHT_COLUMNS, *limits)
+    return kept.join(cut, "qid").join(request_loc_vectors(requests, model), "qid")
 
 
 def request_passes(encoded: DataFrame, size: int | None = None):
@@ -82,7 +87,9 @@ def request_passes(encoded: DataFrame, size: int | None = None):
         chosen = encoded.filter(F.pmod(F.xxhash64("qid"), F.lit(classes)) == number)
         rows = chosen.limit(size + 1).toPandas()
         if len(rows) > size:
-            raise ValueError("qid must be unique in a request table")
+            if rows["qid"].duplicated().any():
+                raise ValueError("qid must be unique in a request table")
+            raise ValueError(f"a pass of {size} requests is exceeded; raise the size")
         if len(rows):
             yield rows.sort_values("qid")
 
@@ -119,19 +126,32 @@ def _weighted_block(rows, genres: dict[int, np.ndarray], model: Model) -> Reques
     parts = [plot, genre, loc, pop]
     length = np.sqrt(sum((part**2).sum(1) * squared[:, i] for i, part in enumerate(parts)))
     vectors = np.hstack([part * squared[:, i : i + 1] for i, part in enumerate(parts)])
-    return RequestBlock(rows["qid"].to_numpy(), vectors, squared, length)
+    limits = rows[LIMITS].to_numpy(dtype=np.float64) if LIMITS[0] in rows else None
+    if limits is not None and np.isnan(limits).all():
+        limits = None
+    return RequestBlock(rows["qid"].to_numpy(), vectors, squared, length, limits=limits)
+
+
+def _with_filtered(items: DataFrame | None, movies: DataFrame) -> DataFrame | None:
+    """Components beside the title's columns that conditions read, written once for all passes."""
+    return None if items is None else cut_lineage(items.join(movies.select("tid", *FILTERED), "tid"))
 
 
-def _rank(encoded: DataFrame, model: Model, most: int) -> tuple[DataFrame, int]:
-    """Ranked items and the number of rows they can have at most."""
+def _rank(encoded: DataFrame, model: Model, movies: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Ranked items and the number of rows they can have at most. Conditions of requests hold before the ranking."""
     encoded = cut_lineage(encoded)  # read once per pass and once more for the limits
+    items, sample = model.components, model.sample
+    if movies is None:
+        encoded = encoded.drop(*LIMITS)
+    elif encoded.filter(" or ".join(f"{c} is not null" for c in LIMITS)).limit(1).count():
+        items, sample = _with_filtered(items, movies), _with_filtered(sample, movies)
     results, bound = [], 0
     for rows in request_passes(encoded):
         near = neighbour_genres(rows, model).toPandas()  # one vector per request of the pass
         genres = dict(zip(near["qid"], near["genre"]))
         block = _weighted_block(rows, genres, model)
-        k = min(most, int(rows["k"].max()))
-        results.append(top_k(model.components, block, PARTS, NORMS, k, model.sample))
+        k = int(rows["k"].max())
+        results.append(top_k(items, block, PARTS, NORMS, k, sample))
         bound += len(rows) * k
     if not results:
         nothing = "qid", "cast(null as long) tid", "cast(null as double) similarity", "cast(null as int) rank"
@@ -140,13 +160,13 @@ def _rank(encoded: DataFrame, model: Model, most: int) -> tuple[DataFrame, int]:
     return ranked.join(encoded.select("qid", "k"), "qid").filter(F.col("rank") <= F.col("k")).drop("k"), bound
 
 
-def rank_items(encoded: DataFrame, model: Model, most: int = C.CANDIDATE_CAP) -> DataFrame:
+def rank_items(encoded: DataFrame, model: Model) -> DataFrame:
     """``(qid, tid, similarity, rank)``: the ``k`` best items of every encoded request.
 
     The similarity is the inner product of the weighted, concatenated and normalised vectors. It is computed from the
     parts (weights squared, stored squared norms), so no weighted copy of the items is ever made.
     """
-    return _rank(encoded, model, most)[0]
+    return _rank(encoded, model)[0]
 
 
 # --- results ---------------------------------------------------------------------------------------------------------
@@ -157,28 +177,22 @@ def cultural_match(countries: Column, wanted: Column) -> Column:
     return F.coalesce(F.arrays_overlap(list_from_array(countries), list_from_array(wanted)), F.lit(False))
 
 
-def passes_filters(df: DataFrame) -> DataFrame:
-    """Rating, votes and year conditions of the request; an unknown value fails a condition that is set."""
-    checks = [
-        F.col("min_rating").isNull() | (F.col("final_rating") >= F.col("min_rating")),
-        F.col("min_votes").isNull() | (F.col("votes") >= F.col("min_votes")),
-        F.col("year_from").isNull() | F.col("year").between(F.col("year_from"), F.col("year_to")),
-    ]
-    return df.filter(reduce(Column.__and__, checks))
-
-
 def _first_per_request(df: DataFrame, limit: str = "max_results") -> DataFrame:
-    """The best ranked rows of each request. ``rank`` keeps the gaps the filters left."""
+    """The best ranked rows of each request."""
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     return df.withColumn("_place", place).filter(F.col("_place") <= F.col(limit)).drop("_place")
 
 
-def weighted_search(requests: DataFrame, movies: DataFrame, model: Model, encoder: Encoder) -> DataFrame:
+def weighted_search(
+    requests: DataFrame, movies: DataFrame, model: Model, encoder: Encoder, filtered: bool = False
+) -> DataFrame:
     """Rank items for requests that carry ``qid, query, countries, languages, k`` and four weights.
 
-    Returns the title's columns with ``qid, rank, similarity, cultural_match``, without filters.
+    Returns the title's columns with ``qid, rank, similarity, cultural_match``. With ``filtered``, requests carry
+    conditions on rating, votes and year; only titles that meet them are ranked, and an unknown value fails a condition
+    that is set.
     """
-    ranked, rows = _rank(encode_requests(requests, model, encoder), model, C.CANDIDATE_CAP)
+    ranked, rows = _rank(encode_requests(requests, model, encoder), model, movies if filtered else None)
     if rows <= C.BROADCAST_RESULTS:
         ranked = F.broadcast(ranked)  # the titles are scanned, not shuffled
     wanted = requests.select("qid", F.col("countries").alias("_countries"))
@@ -191,12 +205,8 @@ def weighted_search(requests: DataFrame, movies: DataFrame, model: Model, encode
 
 
 def search(resolved: DataFrame, movies: DataFrame, model: Model, encoder: Encoder) -> DataFrame:
-    """Search for resolved requests: rank, then filter, then keep ``max_results``. Invalid requests give no rows."""
-    valid = resolved.filter(F.col("error_code") == C.ERROR_NONE)
-    found = weighted_search(valid, movies, model, encoder)
-    limits = valid.select("qid", "max_results", "min_rating", "min_votes", "year_from", "year_to")
-    kept = passes_filters(found.join(limits, "qid"))
-    return _first_per_request(kept).drop("max_results", "min_rating", "min_votes", "year_from", "year_to")
+    """Search for resolved requests: the ``max_results`` best of the titles that pass. Invalid requests give no rows."""
+    return weighted_search(resolved.filter(F.col("error_code") == C.ERROR_NONE), movies, model, encoder, filtered=True)
 
 
 def batch_search(
@@ -232,7 +242,7 @@ def item_requests(sources: DataFrame, movies: DataFrame) -> DataFrame:
         F.when(cultural, list_from_array(F.col("country"))).otherwise(none).alias("countries"),
         F.when(cultural, list_from_array(F.col("language"))).otherwise(none).alias("languages"),
         wanted.alias("max_results"),
-        candidate_count(wanted).alias("k"),
+        wanted.cast("int").alias("k"),
         *WEIGHT_COLUMNS,
         *[F.lit(None).cast(kind).alias(name) for name, kind in _NO_FILTERS.items()],
     )

@@ -501,7 +501,7 @@ bench as (select item_id::bigint as qid, text as query,
          case when item_id % 6 = 1 then 0.9::double end as plot_weight,
          case when item_id % 6 = 2 then 0.0::double end as popularity_weight from benchmark)"""
 BENCH = f"""{BENCH_ROWS},
-asked as (select *, least(2 * m, 100) as k, {weight("plot", 0.5, "plot_weight")} as wp, {weight("genre", 0.25, None)} as wg,
+asked as (select *, m as k, {weight("plot", 0.5, "plot_weight")} as wp, {weight("genre", 0.25, None)} as wg,
          {weight("localization", 0.1, None)} as wl, {weight("popularity", 0.15, "popularity_weight")} as wo from bench)"""
 
 # ``asked``: qid, query, countries, languages, k, wp, wg, wl, wo
@@ -559,11 +559,11 @@ ORACLES["weighted_search"] = searched(
 )
 
 FILTERED = """
-kept as (select ranked.*, countries, m, row_number() over (partition by qid order by rank) as place
-         from ranked join films using (tid) join asked using (qid)
+kept as (select scores.qid, scores.tid, sim, countries, m, row_number() over (partition by qid order by sim desc, tid) as rank
+         from scores join films using (tid) join asked using (qid)
          where (min_rating is null or final >= min_rating) and (min_votes is null or v >= min_votes)
          and (y0 is null or year between y0 and y1)),
-found as (select * from kept where place <= m)"""
+found as (select * from kept where rank <= m)"""
 ORACLES["search_filtered"] = searched(
     BENCH, FILTERED, select=f"select {HIT}, {MATCH} from found join films using (tid)"
 )
@@ -579,7 +579,7 @@ ORACLES["search_records"] = searched(
 
 def plain(source: str, m: int) -> str:
     return f"""
-asked as (select qid, query, null::varchar[] as countries, null::varchar[] as languages, {min(2 * m, 100)} as k, 0.5::double as wp,
+asked as (select qid, query, null::varchar[] as countries, null::varchar[] as languages, {m} as k, 0.5::double as wp,
          0.25::double as wg, 0.1::double as wl, 0.15::double as wo from ({source}))"""
 
 
@@ -600,8 +600,8 @@ def items(source: str) -> str:
     )
     return f"""
 sources as ({source}),
-asked as (select qid, tid as source, m, least(2 * (m + 1), 100) as k,
-         lower(array_to_string(genre, ' ')) || ' ' || coalesce(substr(plot, 1, 200), '') as query,
+asked as (select qid, tid as source, m, m + 1 as k,
+         lower(array_to_string(genre, ' ')) || ' ' || coalesce(plot, '') as query,
          case when cultural then country end as countries, case when cultural then language end as languages, {weights}
          from sources join films using (tid))"""
 
@@ -655,7 +655,7 @@ ORACLES["resolve_requests"] = with_(
     + """, case when max_results > 0 then max_results else 20 end as max_results, case when min_rating > 0 then min_rating end as min_rating,
        case when year_from is not null or year_to is not null then coalesce(year_from, 1900) end as year_from,
        case when year_from is not null or year_to is not null then coalesce(year_to, 2030) end as year_to,
-       least(2 * case when max_results > 0 then max_results else 20 end, 100)::int as k from odd""",
+       (case when max_results > 0 then max_results else 20 end)::int as k from odd""",
 )
 ORACLES["resolve_recommendations"] = with_(
     ODD,

@@ -33,6 +33,9 @@ def local_session(app: str = "marquee", cpus: int | str = "*", shuffle_partition
     return spark
 
 
+_OWN: dict[str, str] = {}  # the folder of a local session without a setting
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -44,8 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="marquee-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="marquee-"))
     return configured
 
 

@@ -55,8 +55,8 @@ def test_ids(spark):
 
 def test_query_texts(spark):
     df = spark.createDataFrame([(["Crime", "Drama"], "é" * 300), ([], None)], "g array<string>, p string")
-    rows = [r[0] for r in df.select(item_query(F.col("g"), F.col("p"))).collect()]
-    assert rows == ["crime drama " + "é" * 200, " "]
+    assert [r[0] for r in df.select(item_query(F.col("g"), F.col("p"))).collect()] == ["crime drama " + "é" * 300, " "]
+    assert [r[0] for r in df.select(item_query(F.col("g"), F.col("p"), 200)).collect()] == ["crime drama " + "é" * 200, " "]
     assert values(spark, keyword_genres, ["A MAFIA love story", "", "edge of Space"]) == [
         ["Crime", "Romance"],
         [],

@@ -79,15 +79,19 @@ def test_several_passes_equal_one(spark, sf_dir, monkeypatch):
     assert run(alone) == [r for r in whole if r[0] == whole[0][0]]
 
 
-def test_filters_leave_gaps_and_cap(spark, sf_dir):
+def test_filters_hold_before_the_ranking(spark, sf_dir):
     films, model = W.stored_model(spark, sf_dir)
     query = W.benchmark_requests(spark, sf_dir).select("qid", "query")
     wide = S.batch_search(query.withColumn("max_results", F.lit(200)), films, model, W.ENCODER)
-    assert wide.groupBy("qid").count().agg(F.max("count")).first()[0] == 100
+    assert wide.groupBy("qid").count().agg(F.min("count")).first()[0] == min(200, films.count())
+    old = query.select("*", F.lit(films.count()).alias("max_results"), F.lit(1990).alias("year_from"))
+    every = films.filter("year between 1990 and 2030").count()
+    assert {r["count"] for r in S.batch_search(old, films, model, W.ENCODER).groupBy("qid").count().collect()} == {every}
     some = query.select("*", F.lit(10).alias("max_results"), F.lit(30).cast("long").alias("min_votes"))
     found = S.batch_search(some, films, model, W.ENCODER).toPandas()
     assert (found["votes"] >= 30).all() and found.groupby("qid").size().max() <= 10
-    assert found["rank"].max() <= 20 and (found.groupby("qid")["rank"].max() > found.groupby("qid").size()).any()
+    assert (found.groupby("qid")["rank"].max() == found.groupby("qid").size()).all()
+    assert (found.groupby("qid").size() == min(10, films.filter("votes >= 30").count())).all()
 
 
 def test_top_k_is_limited_before_the_shuffle(spark, sf_dir):
@@ -108,8 +112,8 @@ def test_request_resolution(spark):
     ]
     schema = "qid long, query string, max_results int, preset string, plot_weight double, year_from int, year_to int"
     got = {r["qid"]: r for r in resolve_search(spark.createDataFrame(rows, schema)).collect()}
-    assert (got[1]["max_results"], got[1]["k"], got[1]["plot_weight"], got[1]["year_from"]) == (20, 40, 0.5, None)
-    assert (got[2]["k"], got[2]["plot_weight"], got[2]["genre_weight"]) == (100, 0.9, 0.1)
+    assert (got[1]["max_results"], got[1]["k"], got[1]["plot_weight"], got[1]["year_from"]) == (20, 20, 0.5, None)
+    assert (got[2]["k"], got[2]["plot_weight"], got[2]["genre_weight"]) == (200, 0.9, 0.1)
     assert (got[3]["localization_weight"], got[3]["year_from"], got[3]["year_to"]) == (0.1, 1950, 2030)
     assert got[4]["error_code"] == C.ERROR_INVALID_QUERY and got[5]["error_code"] == C.ERROR_INVALID_PARAMETERS
     assert (got[5]["year_from"], got[5]["year_to"]) == (1900, 1999)
