@@ -34,8 +34,8 @@ SIMILARITY = (75, 100)  # a link needs 100 * intersection >= 75 * union
 SALTS = 16
 SAMPLE_ROWS = 20_000  # rows searched for frequent shingles; they only decide the order of the parts
 FREQUENT_IN, FREQUENT_MAX = 4, 500_000
-SLOT_SIGNATURES = 3_000_000
-FLUSH = 1_000_000
+SLOT_SIGNATURES = 1_500_000
+FLUSH = 500_000
 SMALL_RUN = 8
 PIVOT_ROWS = 64
 BROADCAST_ROWS = 200_000

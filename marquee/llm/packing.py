@@ -23,8 +23,8 @@ from .tokens import ENCODE_BYTES, codec, encode_rows
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 4_000_000
-SHARD_DOCUMENTS = 8192
+SHARD_TOKENS = 1_000_000
+SHARD_DOCUMENTS = 4096
 QUERY_TERMS = 32  # terms of a seed that ask the index: those of the largest weight
 K1, B = 1.2, 0.75
 TRIES = 8  # neighbours that are tried before one is cut

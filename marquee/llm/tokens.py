@@ -15,6 +15,7 @@ Documents above ``huge_bytes`` are encoded in overlapping chunks (``resynchronis
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ from .common import bounded_batches, flat, text_slices, worker_cache
 
 HUGE_BYTES = 32_768
 OVERLAP_BYTES = 256
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 PIECE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level pre-tokenizer
 
 
@@ -38,10 +39,9 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.json_path, self.library = json_path, None
         import tiktoken
-        from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(json_path)
-        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        with open(json_path, encoding="utf-8") as described:
+            special = {t["content"]: t["id"] for t in json.load(described)["added_tokens"]}
         self.ranks = None
         if rank_path and os.path.exists(rank_path):
             with open(rank_path, "rb") as lines:
@@ -49,8 +49,10 @@ class Codec:
             self.ranks = tiktoken.Encoding("ranks", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
             width = {i: len(b) for b, i in ranks.items()} | {i: len(s.encode()) for s, i in special.items()}
         else:
-            self.library = library
-            width = {i: len(t) for t, i in library.get_vocab(with_added_tokens=False).items()}  # one symbol per byte
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(json_path)
+            width = {i: len(t) for t, i in self.library.get_vocab(with_added_tokens=False).items()}  # one symbol per byte
             width |= {i: len(s.encode()) for s, i in special.items()}
         self.special = special
         self.width = np.zeros(max(width) + 1, np.int64)
