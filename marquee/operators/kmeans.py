@@ -3,7 +3,7 @@
 Groups may be tiny or hold a third of all rows. A group larger than ``block_rows`` is salted into blocks of about that
 size, and blocks of all groups are packed into buckets of about that size too. A task holds one bucket of vectors and
 the few centres of the groups in it, and hands on one partial sum per centre. Vectors are laid out by bucket once and
-stay put; each pass moves centres only.
+stay put; each pass moves centres only, until no cluster of any group changes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from ..config import BLOCK_ROWS
 from ..session import cut_lineage
 
-PASSES = 10
+MOST_PASSES = 1000  # every pass lowers some group's inertia, so this is an alarm and not a limit
 BROADCAST_GROUPS = 200_000  # rows of a few numbers each
 BUCKETS_PER_PART = 16
 
@@ -79,13 +78,14 @@ def grouped_kmeans(
     points: DataFrame,
     clusters: Column,
     most_clusters: int,
-    passes: int = PASSES,
+    passes: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Cluster ``points(grp, tid, v)`` within each ``grp``; returns ``(tid, grp, cluster, k, distance)``.
 
     Groups whose ``clusters`` is 1 or less are left out. Starting centres are the members with the smallest key hashes,
-    so results do not depend on partitioning. A centre that loses all members stays where it is.
+    so results do not depend on partitioning. A centre that loses all members stays where it is. Without ``passes`` the loop
+    runs until the sizes and inertias of all clusters stay the same.
     """
     spark = points.sparkSession
     sized = group_plan(points, clusters).filter(F.col("k") > 1)
@@ -109,12 +109,14 @@ def grouped_kmeans(
     blocks = (
         chosen.select(bucket.alias("bucket"), F.col("gid").alias("gid"), "tid", "v")
         .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
         .persist(StorageLevel.DISK_ONLY)
     )
+    blocks.count()  # a pass planned before the cache exists would shuffle and sort the vectors again
     # The k smallest of n uniform hashes lie below (2k + 128) / n but for a chance under e^-50: whatever the size of a
     # group, only that many members are compared.
-    hashed = F.xxhash64("tid")
-    near_zero = (hashed.cast("double") + 2.0**63) / 2.0**64 * F.col("members") <= 2 * F.col("k") + 128
+    hashed = F.conv(F.substring(F.md5(F.col("tid").cast("string")), 1, 13), 16, 10).cast("long")
+    near_zero = hashed.cast("double") / 2.0**52 * F.col("members") <= 2 * F.col("k") + 128
     by_hash = Window.partitionBy("gid").orderBy(hashed, "tid")
     seeds = (
         chosen.filter(near_zero)
@@ -122,7 +124,12 @@ def grouped_kmeans(
         .filter((F.col("place") <= most_clusters) & (F.col("place") <= F.col("k")))
         .select("gid", (F.col("place") - 1).alias("cluster"), F.col("v").cast("array<double>").alias("centre"))
     )
-    centres = cut_lineage(seeds)
+    unknown = [F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("inertia")]
+    centres = cut_lineage(seeds.select("*", *unknown))
+    started = centres.groupBy("gid").agg(F.count("*").alias("seeds"))
+    wanted = F.least(F.col("k"), F.col("members"), F.lit(most_clusters))
+    if plan.join(started, "gid", "left").filter(F.coalesce("seeds", F.lit(0)) < wanted).limit(1).count():
+        raise RuntimeError("a group has fewer starting centres than clusters")
     where = (
         plan.select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         .select(F.col("gid").alias("gid"), bucket.alias("bucket"))
@@ -130,11 +137,10 @@ def grouped_kmeans(
     )
 
     def against_blocks(current: DataFrame, fn, schema: str) -> DataFrame:
-        spread = current.join(where, "gid").groupBy("bucket")
+        spread = current.select("gid", "cluster", "centre").join(where, "gid").groupBy("bucket")
         return blocks.groupBy("bucket").cogroup(spread).applyInPandas(fn, schema)
 
-    previous = None
-    for _ in range(passes):
+    for _ in range(MOST_PASSES if passes is None else passes):
         sums = against_blocks(
             centres, _partial_sums, "gid long, cluster int, n long, total array<double>, inertia double"
         )
@@ -143,29 +149,38 @@ def grouped_kmeans(
             vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
             F.sum("inertia").alias("inertia"),
         )
+        before = centres.select("gid", "cluster", "centre", F.col("n").alias("n0"), F.col("inertia").alias("inertia0"))
         mean = F.transform("total", lambda x: x / F.col("n"))
-        centre = F.when(F.col("n") > 0, mean).otherwise(F.col("centre"))
-        update = cut_lineage(
-            centres.join(moved, ["gid", "cluster"], "left").select("gid", "cluster", centre.alias("centre"), "inertia")
+        n, inertia = F.coalesce("n", F.lit(0)), F.coalesce("inertia", F.lit(0.0))
+        same = (n == F.col("n0")) & (F.abs(inertia - F.col("inertia0")) <= 1e-9 * F.greatest(F.lit(1.0), "inertia0"))
+        centres = cut_lineage(
+            before.join(moved, ["gid", "cluster"], "left").select(
+                "gid",
+                "cluster",
+                F.when(n > 0, mean).otherwise(F.col("centre")).alias("centre"),
+                n.alias("n"),
+                inertia.alias("inertia"),
+                F.coalesce(~same, F.lit(True)).alias("changed"),
+            )
         )
-        inertia = update.agg(F.sum("inertia")).first()[0]
-        if previous is not None and inertia is not None and abs(previous - inertia) <= 1e-9 * max(1.0, abs(previous)):
+        if not centres.filter("changed").limit(1).count():
             break
-        centres, previous = update.drop("inertia"), inertia
+    else:
+        if passes is None:
+            raise RuntimeError(f"clusters still change after {MOST_PASSES} passes")
     labels = cut_lineage(against_blocks(centres, _labels, "tid long, gid long, cluster int, distance double"))
     blocks.unpersist()
     return labels.join(plan, "gid").select("tid", "grp", "cluster", "k", "distance")
 
 
-def table_kmeans(points: DataFrame, ids: DataFrame, clusters: int, seed: int = 42, passes: int = 20) -> DataFrame | None:
+def table_kmeans(points: DataFrame, ids: DataFrame, clusters: int) -> DataFrame | None:
     """Labels of ``ids(tid)`` from one K-means over ``points(tid, v)``; keys without a vector get label 0.
 
-    None when there are no more vectors than clusters.
+    The vectors are one group of ``grouped_kmeans``. None when there are no more vectors than clusters.
     """
     used = points.join(ids.select("tid"), "tid", "left_semi")
     if used.limit(clusters + 1).count() <= clusters:
         return None
-    vectors = used.select("tid", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    model = KMeans(k=clusters, seed=seed, maxIter=passes).fit(vectors)
-    labels = model.transform(vectors).select("tid", F.col("prediction").alias("label"))
+    one = used.select(F.array(F.lit(0)).alias("grp"), "tid", "v")
+    labels = grouped_kmeans(one, F.lit(clusters), clusters).select("tid", F.col("cluster").alias("label"))
     return ids.select("tid").join(labels, "tid", "left").select("tid", F.coalesce("label", F.lit(0)).alias("label"))
