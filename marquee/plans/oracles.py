@@ -39,7 +39,7 @@ li as (select l_partkey, count(*) as n_lines, max(year(l_shipdate)) as yr, sum(c
          sum(cast(round(l_discount * 100) as bigint)) as disc from lineitem group by l_partkey),
 places as (select l_partkey, list_sort(list(distinct n_name)) as country, list_sort(list(distinct r_name)) as language
          from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
-         join region on n_regionkey = r_regionkey where l_linenumber = 1 and l_quantity >= 35 group by l_partkey),
+         join region on n_regionkey = r_regionkey group by l_partkey),
 titles as (select cast(p_partkey as bigint) as tid, p_name as title, cast(yr - p_partkey % 40 as int) as year,
          p_size as runtime, list_concat([p_type], string_split(p_name, ' ')) as genre, country, language, text as plot,
          case when p_partkey % 11 = 0 then null else floor(cast(qty as double) / n_lines * 2) / 10 end as rating,
@@ -183,7 +183,7 @@ odd as (select (conv_id * 1000 + turn)::bigint as qid,
 TEXT_KEY = "case when regexp_full_match(substr(item_id, 3), '[0-9]+') then substr(item_id, 3)::bigint end"
 
 ORACLES["text_id_quarantine"] = with_(ODD, select=f"select qid, item_id, {TEXT_KEY} as tid from odd")
-ORACLES["first_ids"] = with_(TITLES, RAW, select='select tid from raw where "numVotes" >= 2500 order by tid limit 25')
+ORACLES["first_ids"] = with_(TITLES, RAW, select="select tid from raw order by tid limit 25")
 
 GOOD = "tid % 13 <> 0 and tid % 17 <> 0"
 ORACLES["payload_parse"] = with_(
@@ -310,8 +310,8 @@ ORACLES["join_encode"] = with_(
 ORACLES["genre_vectors"] = with_(
     TITLES,
     features(),
-    select=f"""select tid, pos::int as pos, {fixed("1 / sqrt(len(list_filter(a, lambda f: f < 16)))")} as value from (
-       select tid, a, unnest(a) as pos from ga) where pos < 16""",
+    select=f"""select tid, pos::int as pos, {fixed("1 / sqrt(len(a))")} as value from (
+       select tid, a, unnest(a) as pos from ga)""",
 )
 ORACLES["full_join_embeddings"] = with_(
     TITLES,

@@ -70,8 +70,8 @@ def delimited_scan(spark, sf_dir):
 def eligible_ids_(spark, sf_dir):
     path = scratch_path(spark, "ratings") + ".tsv.gz"
     raw = W.raw_titles(spark, sf_dir)
-    kept = raw.select("tconst", "averageRating", "numVotes").filter("averageRating is not null")
-    writer = kept.write.option("sep", "\t").option("header", True).option("nullValue", "\\N").option("quote", "")
+    rated = raw.select("tconst", "averageRating", "numVotes")
+    writer = rated.write.option("sep", "\t").option("header", True).option("nullValue", "\\N").option("quote", "")
     writer.option("compression", "gzip").csv(path)
     return eligible_ids(raw, read_delimited(spark, path, RAW_RATINGS))
 
@@ -91,7 +91,7 @@ def text_id_quarantine(spark, sf_dir):
 
 @query
 def first_ids(spark, sf_dir):
-    return first_keys(W.raw_titles(spark, sf_dir).filter("numVotes >= 2500").select("tid"), 25)
+    return first_keys(W.raw_titles(spark, sf_dir).select("tid"), 25)
 
 
 @query
@@ -299,11 +299,12 @@ def l2_normalize_(spark, sf_dir):
 
 @query
 def genre_vectors(spark, sf_dir):
-    """Genre embeddings without plot correlation, truncated to 16 dimensions and normalised."""
+    """Genre embeddings without plot correlation, with a dimension for every genre, normalised."""
     movies = _light(spark, sf_dir)
     vocab = cut_lineage(build_vocab(movies, {"genre": "genre"}))
-    cfg = C.FeatureConfig(genre_dim=16)
-    return entries(A.genre_embeddings(movies, vocab, vocab.count(), None, cfg), "genre_embedding")
+    size = vocab.count()
+    cfg = C.FeatureConfig(genre_dim=size)
+    return entries(A.genre_embeddings(movies, vocab, size, None, cfg), "genre_embedding")
 
 
 @query

@@ -82,7 +82,6 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     return (
         table(spark, sf_dir, "lineitem")
-        .filter((F.col("l_linenumber") == 1) & (F.col("l_quantity") >= 35))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy(F.col("l_partkey").alias("tid"))
         .agg(
