@@ -235,13 +235,19 @@ def candidates(df: DataFrame, text: str, bands: Bands, frequent: np.ndarray) ->
             for a, b in text_slices(batch.column(0)):
                 value, bounds = shingle_sets(batch.column(0).slice(a, b - a))
                 h1, _ = set_ids(value, bounds)
+                fresh = np.zeros(len(h1), bool)  # copies are signed once per flush: a set's signatures depend on the set alone
+                fresh[[i for i in np.unique(h1, return_index=True)[1].tolist() if int(h1[i]) not in seen]] = True
+                size = np.diff(bounds)
+                value, h1 = value[np.repeat(fresh, size)], h1[fresh]
+                bounds = np.concatenate([[0], np.cumsum(size[fresh])])
+                seen.update(h1.tolist())
                 s, of = signatures(value, bounds, bands, shared.value)
                 sig.append(s)
                 owner.append(h1[of])
                 total += len(s)
                 if total > FLUSH:
                     yield from pack(sig, owner)
-                    sig, owner, total = [], [], 0
+                    sig, owner, total, seen = [], [], 0, set()
         if total:
             yield from pack(sig, owner)
 
