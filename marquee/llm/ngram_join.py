@@ -39,6 +39,7 @@ FLUSH = 500_000
 SMALL_RUN = 8
 PIVOT_ROWS = 64
 BROADCAST_ROWS = 200_000
+ASK_ROWS, TELL_ROWS = 256, 4096  # of a block in which members of a large part meet
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MAX_BAND = 200
 STEPS = 24  # completion tries eight times as many partners in each step, so this is never reached
@@ -365,44 +366,75 @@ def part_members(large: DataFrame) -> DataFrame:
     return runs.select("run", "members").mapInArrow(members, "run string, h1 long")
 
 
-def complete(listed: DataFrame, sets: DataFrame, labels: DataFrame, failed: DataFrame, bands: Bands, nearest: int) -> DataFrame:
-    """Pairs ``a, b`` across components inside the large parts: for each member outside its part's largest component, the
-    ``nearest`` members of other components that pass the sketch test and were not tried before, in blocks of bounded size."""
+def several_components(listed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the large parts that hold several components: ``outside`` of the part's largest one or in it, and the numbers
+    of blocks ``i`` and ``j`` that askers and members of the part are dealt into."""
     known = sets.select("h1", "k", "n", "sketch").join(labels, F.col("k") == F.col("node"), "left")
-    tried = failed.select(F.col("a").alias("h1"), F.col("b").alias("o")).union(failed.select("b", "a")).groupBy("h1").agg(F.collect_set("o").alias("tried"))
-    known = known.select("h1", "n", "sketch", F.coalesce("component", "k").alias("c"))
-    labelled = listed.join(known.select("h1", "c"), "h1")
-    share = labelled.groupBy("run", "c").agg(F.count(F.lit(1)).alias("n"))
+    known = known.select("h1", "k", "n", "sketch", F.coalesce("component", "k").alias("c"))
+    share = listed.join(known.select("h1", "c"), "h1").groupBy("run", "c").agg(F.count(F.lit(1)).alias("n"))
     most = share.groupBy("run").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    plan = most.select("run", F.col("m.c").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / 256).cast("int").alias("i"), F.ceil(F.col("all") / 4096).cast("int").alias("j"))
-    rows = stored(listed.join(plan, "run").join(known, "h1").join(tried, "h1", "left"), "large-parts")
+    plan = most.select("run", F.col("m.c").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / ASK_ROWS).cast("int").alias("i"), F.ceil(F.col("all") / TELL_ROWS).cast("int").alias("j"))
+    return listed.join(plan, "run").join(known, "h1").select("run", "i", "j", "h1", "k", "n", "sketch", (F.col("c") != F.col("main")).alias("outside"))
+
+
+def complete(rows: DataFrame, labels: DataFrame, asking: DataFrame | None, failed: DataFrame, bands: Bands, nearest: int) -> DataFrame:
+    """Pairs ``a, b`` across components inside the large parts: for each asking member its ``nearest`` members of other components
+    that pass the sketch test and were not tried before, in blocks of bounded size. A row ``a, run`` without ``b`` says that
+    the member has more of them in that part and asks again. All members outside a part's largest component ask first, so each pair
+    across components has a side that asks until none is left."""
+    if asking is None:
+        live = rows.withColumnRenamed("outside", "asks").withColumn("tried", F.lit(None).cast("array<long>"))
+    else:
+        again = asking.withColumn("asks", F.lit(True))
+        before = failed.select(F.col("a").alias("h1"), F.col("b").alias("o")).union(failed.select("b", "a")).groupBy("h1").agg(F.collect_set("o").alias("tried"))
+        live = rows.drop("outside").join(asking.select("run").distinct(), "run", "left_semi").join(again, ["run", "h1"], "left").join(before, "h1", "left")
+        live = live.withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("tried", F.when(F.col("asks"), F.col("tried")))
+    live = live.join(labels, F.col("k") == F.col("node"), "left").withColumn("c", F.coalesce("component", "k"))
     number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda n: F.pmod(F.xxhash64("h1"), F.col(n)).cast("int")
-    asks = rows.filter("c <> main").select("run", F.lit(0).alias("side"), place("i").alias("x"), F.explode(number("j")).alias("y"), "h1", "n", "sketch", "c", "tried")
-    told = rows.select("run", F.lit(1).alias("side"), F.explode(number("i")).alias("x"), place("j").alias("y"), "h1", "n", "sketch", "c", F.lit(None).cast("array<long>").alias("tried"))
+    own = lambda n: F.pmod(F.xxhash64("h1"), F.col(n)).cast("int")
+    at = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+    single, none = (F.col("i") == 1) & (F.col("j") == 1), F.array().cast("array<struct<side:int,x:int,y:int>>")
+    asks = F.when(F.col("asks"), F.transform(number("j"), lambda y: at(0, own("i"), y))).otherwise(none)
+    told = F.transform(number("i"), lambda x: at(1, x, own("j")))
+    alone = F.array(F.when(F.col("asks"), at(2, F.lit(0), F.lit(0))).otherwise(at(1, F.lit(0), F.lit(0))))
+    dealt = rows.agg(F.sum(F.when(single, 1).otherwise(F.col("i") + F.col("j"))).alias("n")).first().n or 0
+    placed = live.select("run", F.explode(F.when(single, alone).otherwise(F.concat(asks, told))).alias("at"), "h1", "n", "sketch", "c", "tried")
+    placed = placed.select("run", "at.*", "h1", "n", "sketch", "c", "tried")
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("run", "x", "y"), F.lit(dealt // TELL_ROWS + 1)))
 
     def meet(table: pa.Table) -> pa.Table:
-        side, n, h1 = table["side"].to_numpy(), table["n"].to_numpy(), table["h1"].to_numpy()
-        held, tried = table["sketch"].to_pylist(), table["tried"].to_pylist()
+        side, n, h1, x, y = (table[c].to_numpy() for c in ("side", "n", "h1", "x", "y"))
+        held, tried, names = table["sketch"].to_pylist(), table["tried"].to_pylist(), table["run"].to_pylist()
+        run = np.unique(np.array(names, object), return_inverse=True)[1]
         c = np.unique(np.array(table["c"].to_pylist(), object), return_inverse=True)[1]
-        size = min(map(len, held))  # sizes in a part differ by one band; a folded sketch is a sketch
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, size), 0) for s in held])
-        others, out = np.flatnonzero(side == 1), ([], [])
-        theirs = folded[others]
-        for i in np.flatnonzero(side == 0):
-            far = np.bitwise_count(theirs ^ folded[i]).sum(1, dtype=np.int64)
-            ok = (c[others] != c[i]) & bands.possible(n[i], n[others], far)
-            if tried[i]:
-                ok &= ~np.isin(h1[others], np.array(tried[i], np.int64))
-            near = np.flatnonzero(ok)
-            near = near[np.argsort(far[near], kind="stable")[:nearest]]
-            out[0].append(np.minimum(h1[i], h1[others[near]]))
-            out[1].append(np.maximum(h1[i], h1[others[near]]))
-        flat_out = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        pair = np.unique(np.stack(flat_out, 1), axis=0)
-        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    return asks.union(told).groupBy("run", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+        order = np.lexsort((y, x, run))
+        cut = np.flatnonzero((np.diff(run[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)) + 1
+        low, high, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], ([], [])
+        for block in np.split(order, cut):
+            if not (side[block] != 1).any():
+                continue
+            size = min(len(held[i]) for i in block)  # sizes in a part differ by one band; a folded sketch is a sketch
+            folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(held[i], np.uint64).reshape(-1, size // 8), 0) for i in block])
+            members = side[block] != 0
+            others, theirs = block[members], folded[members]
+            for at in np.flatnonzero(side[block] != 1):
+                i = block[at]
+                far = np.bitwise_count(theirs ^ folded[at]).sum(1, dtype=np.int64)
+                ok = (c[others] != c[i]) & bands.possible(n[i], n[others], far)
+                if tried[i]:
+                    ok &= ~np.isin(h1[others], np.array(tried[i], np.int64))
+                near = np.flatnonzero(ok)
+                if len(near) > nearest:
+                    near = near[np.argsort(far[near], kind="stable")[:nearest]]
+                    more[0].append(h1[i])
+                    more[1].append(names[i])
+                low.append(np.minimum(h1[i], h1[others[near]]))
+                high.append(np.maximum(h1[i], h1[others[near]]))
+        pair = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], 1), axis=0)
+        a, b = pa.array(np.append(pair[:, 0], np.array(more[0], np.int64))), pa.array([*pair[:, 1].tolist(), *[None] * len(more[0])], pa.int64())
+        return pa.table([a, b, pa.array([*[None] * len(pair), *more[1]], pa.string())], ["a", "b", "run"])
+
+    return placed.groupBy("bucket").applyInArrow(meet, "a long, b long, run string")
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -421,30 +453,32 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
 
     found = stored(candidates(df.filter(F.col(key).isNotNull()), text, bands, frequent_shingles(df, key, text)), "parts")
     ties = pass_sketch(found.filter("kind = 0").select("a", "b").distinct(), sets, bands)
-    links = stored(verify(df, key, text, ties, similarity), "links")
-    labels = stored(components(links), "labels")
+    labels = stored(components(verify(df, key, text, ties, similarity)), "labels")
 
     large = found.filter("kind = 2")
-    listed = stored(part_members(large), "part-members") if large.limit(1).count() else None
-    failed = df.sparkSession.createDataFrame([], "a long, b long")
+    parts = None
+    if large.limit(1).count():
+        parts = stored(several_components(stored(part_members(large), "part-members"), sets, labels), "large-parts")
+    asking, failed = None, df.sparkSession.createDataFrame([], "a long, b long")
     for step in range(STEPS):
         more = found.filter("kind = 1").select("a", "b").distinct() if step == 0 else None
-        if listed is not None:
-            wider = complete(listed, sets, labels, failed, bands, 4 * 8**step)
-            more = wider if more is None else more.union(wider).distinct()
-        if more is None:
-            break
+        if parts is not None:
+            wider = stored(complete(parts, labels, asking, failed, bands, 4 * 8**step), "partners")
+            asking = wider.filter("b is null").select("run", F.col("a").alias("h1")).distinct()
+            wider = wider.filter("b is not null").select("a", "b")
+            more = (wider if more is None else more.union(wider)).distinct()
         tag = lambda x: labels.select(F.col("node").alias(f"k{x}"), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
         more = pass_sketch(more, sets, bands).join(tag("a"), "ka", "left").join(tag("b"), "kb", "left")
         more = more.filter(F.coalesce("ca", "ka") != F.coalesce("cb", "kb")).select("ka", "a", "h2a", "kb", "b", "h2b")
         more = stored(more, "open-pairs")
-        if not more.limit(1).count():
+        if more.limit(1).count():
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stars that stand for all links so far
+            labels = stored(components(known.union(verify(df, key, text, more, similarity))), "labels")
+            failed = stored(failed.union(more.select("a", "b")), "tried-pairs")  # linked ones are in one component now
+        if parts is None or not asking.limit(1).count():
             break
-        links = stored(links.union(verify(df, key, text, more, similarity)), "links")
-        labels = stored(components(links), "labels")
-        failed = stored(failed.union(more.select("a", "b")), "tried-pairs")  # linked ones are in one component now
     else:
-        raise RuntimeError(f"parts were not complete after {STEPS} steps")
+        raise RuntimeError(f"large parts were not complete after {STEPS} steps")
 
     named = sets.join(labels, sets["k"] == labels["node"], "left").select("h1", "h2", "n", F.coalesce("component", "k").alias("component_id"))
     told = per_salt.select("h1", "h2", "n", "salt").join(named, ["h1", "h2", "n"])
