@@ -1,12 +1,15 @@
 """Packing by lexical retrieval: windows of a fixed number of tokens, filled with the lexical neighbours of a seed document.
 
 Texts are encoded once into a stored table, together with each task's document frequencies, so inverse document frequencies are
-those of the whole corpus (the vocabulary bounds that table and its broadcast). Each task then reads its part of the stored ids and
-cuts it into shards of at most ``shard_tokens`` tokens. A shard holds a BM25 inverted index over token ids. The first unused document
-is the seed of a window; the index returns its unused neighbours, best first, and they fill the window: whole ones as
-long as one fits, at last the best one is cut at the window's end and what is left of it begins, and seeds, the next window. The
-last window of a shard is cut into powers of two, so nothing is padded. Which documents share a shard follows from the layout
-of the input; a repeated task reads the same rows and gives the same pieces.
+those of the whole corpus (the vocabulary bounds that table and its broadcast). Each row is stored with a content key: the leaf of its
+weighted terms, projected to ``ROUTE_WIDTH`` numbers, in a k-means tree of a bounded sample, then the term that a weighted minimum
+hash draws from it (near copies draw the same one), then a number of its own. Rows are dealt by ranges of that key, so a shard is a lexical
+neighbourhood of the whole table wherever its rows came from, and a hot leaf or a hot set of copies goes on through several tasks.
+
+Each task cuts its rows into shards of at most ``shard_tokens`` tokens. A shard holds a BM25 inverted index over token ids. The first
+unused document is the seed of a window; its unused neighbours, best first, fill the window: whole ones as long as one fits, at last the best one is cut at the window's end and what is left of it begins, and seeds, the
+next window. The last window of a shard is cut into powers of two, so nothing is padded. Neighbours in other shards are not seen. Rows of a
+shard are in the order of their stored keys, so a repeated task gives the same pieces.
 """
 
 from __future__ import annotations
@@ -18,43 +21,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, text_slices
+from .common import bounded_batches, mix, stored, text_slices, worker_cache
 from .tokens import ENCODE_BYTES, codec, encode_rows
+from .tree_search import KMeansTree
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 1_000_000
-SHARD_DOCUMENTS = 4096
+SHARD_TOKENS = 4_000_000
+SHARD_DOCUMENTS = 8192
 QUERY_TERMS = 32  # terms of a seed that ask the index: those of the largest weight
 K1, B = 1.2, 0.75
 TRIES = 8  # neighbours that are tried before one is cut
+ROUTE_WIDTH = 64
+ROUTE_SAMPLE = 20_000  # bound of the rows that the tree of the content key is learned from
+
+
+def _route_tables(ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every id: its direction in the projection, and its draw in the minimum hash."""
+
+    def make():
+        random = np.random.default_rng(11)
+        return random.standard_normal((ids, ROUTE_WIDTH), np.float32), random.exponential(size=ids)
+
+    return worker_cache(f"routes-{ids}", make)
+
+
+def id_type(ids: int) -> str:
+    """How ids are kept between the stages: two bytes hold them if the vocabulary is small enough."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def content_keys(distinct: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document's distinct ids: a unit vector, and the id that a minimum hash draws, both weighted by ``idf``."""
+    direction, draw = _route_tables(len(idf))
+    draw = draw / idf
+    vectors, drawn = np.zeros((len(distinct), ROUTE_WIDTH)), np.zeros(len(distinct), np.int32)
+    for i, term in enumerate(distinct):
+        vectors[i] = idf[term] @ direction[term]
+        drawn[i] = term[draw[term].argmin()]
+    return vectors / np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), np.finfo(float).tiny), drawn
 
 
-def encoded(df: DataFrame, key: str, text: str, json_path: str, rank_path: str | None, end_id: int) -> DataFrame:
-    """Rows ``k, ids`` (unsigned 32-bit ids with ``end_id`` last), and one row of document frequencies ``df`` per task."""
+def encoded(df: DataFrame, key: str, text: str, json_path: str, rank_path: str | None, end_id: int, route: tuple[np.ndarray, KMeansTree] | None = None) -> DataFrame:
+    """Rows ``k, ids`` (ids of ``id_type`` with ``end_id`` last) with their content key ``leaf, term, place`` if there is a
+    ``route``, and one row of document frequencies ``df`` per task."""
     kind = df.schema[key].dataType.simpleString()
+    names = ["k", "ids", "df", "leaf", "term", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         coder = codec(json_path, rank_path)
         frequency = np.zeros(len(coder.width), np.int32)
-        type_ = None
+        type_, number = None, TaskContext.get().partitionId() << 40
         for batch in batches:
             type_ = batch.schema.field(0).type
             for a, b in text_slices(batch.column(1), ENCODE_BYTES):
                 ids, count = encode_rows(batch.column(1).slice(a, b - a), coder)
                 end = np.cumsum(count)
-                with_end = np.insert(ids, end, end_id).astype("<u4")
+                with_end = np.insert(ids, end, end_id).astype(id_type(len(coder.width)))
                 bounds = np.concatenate([[0], end + np.arange(1, len(end) + 1)])
-                out = []
-                for i in range(b - a):
-                    own = with_end[bounds[i] : bounds[i + 1]]
-                    frequency[np.unique(own)] += 1
-                    out.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary()), pa.nulls(b - a, pa.list_(pa.int32()))], ["k", "ids", "df"])
+                documents = [with_end[bounds[i] : bounds[i + 1]] for i in range(b - a)]
+                distinct = [np.unique(own) for own in documents]
+                for own in distinct:
+                    frequency[own] += 1
+                leaf = term = np.zeros(b - a, np.int32)
+                if route is not None:
+                    vectors, term = content_keys(distinct, route[0])
+                    leaf = route[1].leaf_of(vectors)
+                place = mix(np.arange(number, number + b - a, dtype=np.uint64)).view(np.int64)
+                number += b - a
+                out = pa.array([own.tobytes() for own in documents], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), out, pa.nulls(b - a, pa.list_(pa.int32())), pa.array(leaf), pa.array(term), pa.array(place)], names)
         if type_ is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), pa.nulls(1, pa.binary()), pa.array([frequency], pa.list_(pa.int32()))], ["k", "ids", "df"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), pa.nulls(1, pa.binary()), pa.array([frequency], pa.list_(pa.int32())), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary, df array<int>, leaf int, term int, place long")
+
+
+def content_route(df: DataFrame, key: str, text: str, json_path: str, rank_path: str | None, end_id: int, rows: int = ROUTE_SAMPLE) -> tuple[np.ndarray, KMeansTree] | None:
+    """Inverse document frequencies and the k-means tree of about ``rows`` rows, drawn row by row; none for an empty table."""
+    n = df.count()
+    sample = stored(encoded(df if n <= rows else df.sample(rows / n, seed=3), key, text, json_path, rank_path, end_id), "route-sample")
+    idf = inverse_frequencies(sample)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, _ = content_keys([np.unique(np.frombuffer(ids, id_type(len(idf)))) for ids in batch.column(0).to_pylist()], idf)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary())], ["v"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary, df array<int>")
+    found = [r.v for r in sample.filter("ids is not null").select("ids").mapInArrow(project, "v binary").collect()]  # bounded by rows
+    return (idf, KMeansTree(np.frombuffer(b"".join(sorted(found)), np.float64).reshape(len(found), -1))) if found else None
 
 
 def inverse_frequencies(table: DataFrame) -> np.ndarray:
@@ -161,11 +218,16 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, key: str =
 
     A document is the ids of its whole text and ``end_id``; null and empty texts are ``end_id`` alone. Rows are packed one by one, so
     repeated rows, null keys and equal texts each have their own pieces. A document longer than a window goes through
-    several. Of neighbours with equal scores the earlier row comes first. Other columns are not read; an empty table gives no rows.
+    several. Of neighbours with equal scores the first by content key comes first. Other columns are not read; an empty table gives no rows.
     """
-    bounded_batches(df.sparkSession)
-    table = stored(encoded(df, key, text, json_path, rank_path, end_id), "token-ids")
+    bounded_batches(df.sparkSession, 250)  # long documents are neighbours of each other, so a batch may hold only such
+    route = content_route(df, key, text, json_path, rank_path, end_id)
+    table = stored(encoded(df, key, text, json_path, rank_path, end_id, route), "token-ids")
     idf = inverse_frequencies(table)
+    held = table.filter("ids is not null")
+    n = held.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("bytes")).first()
+    parts = int(1.2 * max(n.bytes / np.dtype(id_type(len(idf))).itemsize / shard_tokens, n.rows / SHARD_DOCUMENTS)) + 1  # a task's rows are one shard, seldom two
+    order = ["leaf", "term", "place"]
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -184,7 +246,7 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, key: str =
                 at = 0
                 for document, start, length in sequence:
                     ids = documents[document]
-                    for column, value in zip(rows, (keys[document], start, length, ids[start : start + length].tobytes(), len(ids), number, at), strict=True):
+                    for column, value in zip(rows, (keys[document], start, length, ids[start : start + length].astype("<u4").tobytes(), len(ids), number, at), strict=True):
                         column.append(value)
                     at += length
                 number += 1
@@ -198,7 +260,7 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, key: str =
         for batch in batches:
             type_ = batch.schema.field(0).type
             for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(ids, "<u4")
+                own = np.frombuffer(ids, id_type(len(idf)))
                 keys.append(k)
                 documents.append(own)
                 tokens += len(own)
@@ -207,7 +269,7 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, key: str =
         if documents:
             yield from flush()
 
-    return table.filter("ids is not null").select("k", "ids").mapInArrow(run, schema)
+    return held.select("k", "ids", *order).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("k", "ids").mapInArrow(run, schema)
 
 
 def piece_rows(pieces: DataFrame) -> DataFrame:

@@ -139,6 +139,17 @@ def test_packing_finds_lexical_neighbours():
         assert len({documents[d][0] for d, _, _ in sequence}) == 1
 
 
+def test_packing_reaches_neighbours_of_other_partitions(spark):
+    words = lambda t: " ".join(f"{string.ascii_lowercase[t]}{string.ascii_lowercase[i]}{string.ascii_lowercase[t]}q" for i in range(26))
+    rows = [(t * 100 + j, words(t)) for j in range(8) for t in range(12)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")  # a partition holds each text once
+    for shard_tokens in (1_000_000, 3000):  # one shard, and several
+        topics = defaultdict(set)
+        for p in packing.pack(docs, *vocabulary(), window=512, shard_tokens=shard_tokens).collect():
+            topics[p.sequence_id].add(p.doc_id // 100)
+        assert len(topics) > 8 and np.mean([len(t) for t in topics.values()]) <= 2, topics
+
+
 def test_languages(spark, awkward, nothing, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.fit(docs, F.col("doc_id") % 5 != 0)
