@@ -7,7 +7,8 @@ hash draws from it (near copies draw the same one), then a number of its own. Ro
 neighbourhood of the whole table wherever its rows came from, and a hot leaf or a hot set of copies goes on through several tasks.
 
 Each task cuts its rows into shards of at most ``shard_tokens`` tokens. A shard holds a BM25 inverted index over token ids. The first
-unused document is the seed of a window; its unused neighbours, best first, fill the window: whole ones as long as one fits, at last the best one is cut at the window's end and what is left of it begins, and seeds, the
+unused document is the seed of a window; all its distinct ids ask the index, and its unused neighbours, best first, fill the window: the
+best that fits whole as long as any does, at last the best one is cut at the window's end and what is left of it begins, and seeds, the
 next window. The last window of a shard is cut into powers of two, so nothing is padded. Neighbours in other shards are not seen. Rows of a
 shard are in the order of their stored keys, so a repeated task gives the same pieces.
 """
@@ -29,9 +30,8 @@ WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 4_000_000
 SHARD_DOCUMENTS = 8192
-QUERY_TERMS = 32  # terms of a seed that ask the index: those of the largest weight
 K1, B = 1.2, 0.75
-TRIES = 8  # neighbours that are tried before one is cut
+DENSE_BYTES = 64 << 20  # frequent terms of a shard as plain rows; the others are lists
 ROUTE_WIDTH = 64
 ROUTE_SAMPLE = 20_000  # bound of the rows that the tree of the content key is learned from
 
@@ -124,40 +124,50 @@ def inverse_frequencies(table: DataFrame) -> np.ndarray:
 
 
 class Bm25Index:
-    """Postings of a shard's documents."""
+    """Postings of a shard's documents; terms in many documents are rows of plain numbers as far as ``DENSE_BYTES`` go."""
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray):
+        n = len(documents)
         size = np.array([len(d) for d in documents], np.int64)
-        flat = np.concatenate(documents).astype(np.int64)
-        owner = np.repeat(np.arange(len(documents)), size)
-        key = np.sort(owner * len(idf) + flat)
+        key = np.repeat(np.arange(n, dtype=np.int64) << 32, size)
+        key |= np.concatenate(documents)
+        key.sort()
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         tf = np.diff(np.append(first, len(key)))
-        self.owner, self.term = key[first] // len(idf), key[first] % len(idf)
+        key = key[first]
+        owner, self.term = key >> 32, key & 0xFFFFFFFF
         norm = K1 * (1 - B + B * size / max(size.mean(), 1))
-        self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm[self.owner])).astype(np.float32)
-        self.first = np.searchsorted(self.owner, np.arange(len(documents) + 1))  # forward: terms of a document
+        weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
+        self.first = np.searchsorted(owner, np.arange(n + 1))  # forward: terms of a document
         order = np.argsort(self.term, kind="stable")
-        self.posting_owner, self.posting_weight = self.owner[order], self.weight[order]
+        self.owner, self.weight = owner[order], weight[order]
         self.posting = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
-        self.documents = len(documents)
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share query terms with the seed, best first, ties by place."""
-        a, b = self.first[seed], self.first[seed + 1]
-        terms = self.term[a:b]
-        if b - a > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        parts = [slice(self.posting[t], self.posting[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.posting_owner[p] for p in parts]), np.concatenate([self.posting_weight[p] for p in parts]), self.documents)
-        score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        held = np.diff(self.posting)
+        frequent = np.argsort(-held, kind="stable")[: DENSE_BYTES // (4 * n)]
+        frequent = frequent[held[frequent] * 16 > n]
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n), np.float32)
+        for i, t in enumerate(frequent):
+            p = slice(self.posting[t], self.posting[t + 1])
+            self.dense[i, self.owner[p]] = self.weight[p]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all distinct ids of the seed."""
+        terms = self.term[self.first[seed] : self.first[seed + 1]]
+        row = self.row[terms]
+        rest = terms[row < 0]
+        begin, n = self.posting[rest], self.posting[rest + 1] - self.posting[rest]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out = np.bincount(self.owner[at], self.weight[at], self.dense.shape[1]).astype(np.float32)
+        for r in row[row >= 0]:
+            out += self.dense[r]
+        return out
 
 
 def pack_shard(documents: list[np.ndarray], idf: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces ``(document, start, length)``; every id is in exactly one piece."""
-    index = Bm25Index(documents, idf)
+    index, size = Bm25Index(documents, idf), np.array([len(d) for d in documents])
     unused, following = np.ones(len(documents), bool), 0
     sequences, current, room = [], [], window
 
@@ -183,18 +193,16 @@ def pack_shard(documents: list[np.ndarray], idf: np.ndarray, window: int) -> lis
         unused[seed] = False
         place(seed, 0)
         while room < window:  # the window is open: ask for the neighbours of the document it began with
-            near = index.neighbours(current[0][0], unused)
+            score = index.scores(current[0][0])
+            near = np.flatnonzero(unused & (score > 0))
+            score, long = score[near], size[near]
             begun = len(sequences)
-            for _ in range(len(near)):
-                near = near[unused[near]]
-                if not len(near):
-                    break
-                fits = [d for d in near[:TRIES] if len(documents[d]) <= room]
-                best = fits[0] if fits else near[0]
-                unused[best] = False
-                place(best, 0)
-                if len(sequences) > begun:
-                    break
+            while len(sequences) == begun and score.any():
+                best = np.where(long <= room, score, 0).argmax()  # of all that fit whole; the first of equal ones
+                if long[best] > room or not score[best]:
+                    best = score.argmax()
+                score[best], unused[near[best]] = 0, False
+                place(near[best], 0)
             if len(sequences) == begun:
                 break  # no neighbour is left: the next seed goes on in this window
     if current:  # the last window: powers of two need no padding

@@ -150,6 +150,30 @@ def test_packing_reaches_neighbours_of_other_partitions(spark):
         assert len(topics) > 8 and np.mean([len(t) for t in topics.values()]) <= 2, topics
 
 
+def test_packing_asks_with_all_ids_and_tries_all_neighbours():
+    own, shared, idf = np.arange(40), np.arange(100, 150), np.ones(400, np.float32)
+    idf[:40] = 9  # the heaviest ids of the seed are in no other document
+    documents = [np.concatenate([own, shared]), np.arange(200, 250), shared]
+    first = packing.pack_shard([d.astype(np.uint32) for d in documents], idf, 140)[0]
+    assert [d for d, _, _ in first] == [0, 2]
+    seed, long, fits = np.arange(20), np.concatenate([np.arange(20), np.arange(300, 330)]), np.arange(10)
+    documents = [seed, *[long] * 12, fits]  # twelve better neighbours are too long for the room
+    first = packing.pack_shard([d.astype(np.uint32) for d in documents], np.ones(400, np.float32), 32)[0]
+    assert first[:2] == [(0, 0, 20), (13, 0, 10)]
+
+
+def test_packing_scores_are_plain_bm25():
+    random = np.random.default_rng(4)
+    documents = [(3000 * random.random(random.integers(1, 200)) ** 4).astype(np.uint32) for _ in range(60)]
+    idf = random.random(3000).astype(np.float32) + 0.1
+    index, mean = packing.Bm25Index(documents, idf), np.mean([len(d) for d in documents])
+    assert 0 < len(index.dense) < len(np.unique(np.concatenate(documents)))  # both forms of postings
+    for seed in range(10):
+        for d, score in enumerate(index.scores(seed)):
+            tf = {t: (documents[d] == t).sum() for t in set(documents[seed].tolist())}
+            assert score == pytest.approx(sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(documents[d]) / mean)) for t, n in tf.items()), rel=1e-4)
+
+
 def test_languages(spark, awkward, nothing, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.fit(docs, F.col("doc_id") % 5 != 0)
