@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sampled, text_slices, worker_cache
+from .common import bounded_batches, text_slices, worker_cache
 
 PROFILE = 400
-TRAIN_ROWS = 20_000  # bound of the labelled rows that profiles are learned from
+TRAIN_ROWS = 20_000  # bound of the labelled rows that profiles are learned from, shared out over the languages
+LEAST_ROWS = 64  # rows that a language may have in any case
 GRAM_CHUNK = 1 << 19
 FLUSH = 1_000_000
 UNKNOWN = "und"
@@ -132,10 +133,28 @@ class RankModel:
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, has_letter, strict=True)], score
 
 
+def language_sample(labelled: DataFrame, key: str, text: str, lang: str, bound: int) -> DataFrame:
+    """About ``bound`` rows, chosen in each language by a hash of key and text: equal shares, and all rows of a language below its share.
+
+    Every language that has rows is in the sample, at any size of the others.
+    """
+    held = [(r[0], r[1]) for r in labelled.groupBy(lang).count().collect()]  # a row per language, as the profiles are
+    if sum(n for _, n in held) <= bound:
+        return labelled
+    left, share = bound, 0
+    for i, n in enumerate(sorted(n for _, n in held)):  # what small languages leave goes to the larger ones
+        share = left // (len(held) - i)
+        left -= min(n, share)
+    rates = labelled.sparkSession.createDataFrame([(name, max(share, LEAST_ROWS) / n) for name, n in held], "__lang string, __rate double")
+    digest = F.concat_ws(":", F.lit("language"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(text).cast("string"))
+    u = F.conv(F.substring(F.md5(digest), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    return labelled.join(F.broadcast(rates), F.col(lang) == F.col("__lang")).filter(u < F.col("__rate")).drop("__lang", "__rate")
+
+
 def fit(df: DataFrame, chosen: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS, profile: int = PROFILE) -> RankModel:
-    """A model learned from at most about ``train_rows`` of the rows that ``chosen`` selects and whose language is known."""
+    """A model learned from at most about ``train_rows`` of the rows that ``chosen`` selects and whose language is known (``language_sample``)."""
     labelled = df.filter(chosen & F.col(lang).isNotNull()).select(key, text, lang)
-    return RankModel(learn_profiles(sampled(labelled, F.col(key), train_rows, "language"), text, lang, profile), profile)
+    return RankModel(learn_profiles(language_sample(labelled, key, text, lang, train_rows), text, lang, profile), profile)
 
 
 def identify(df: DataFrame, model: RankModel, text: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

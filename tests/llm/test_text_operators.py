@@ -187,6 +187,18 @@ def test_languages(spark, awkward, nothing, sf_dir):
     assert {r.lang_pred for r in language.identify(awkward, none).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned_beside_a_hot_one(spark):
+    rare = F.col("id") % 1500 == 0
+    docs = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 1, 5).otherwise(F.col("id")).alias("doc_id"),  # a third of all rows share an id
+        F.when(rare, F.concat(F.lit("кот и пёс "), F.col("id"))).otherwise(F.concat(F.lit("the cat and the dog "), F.col("id"))).alias("text"),
+        F.when(rare, "ru").otherwise("en").alias("lang"),
+    )
+    counts = dict(language.language_sample(docs, "doc_id", "text", "lang", 300).groupBy("lang").count().collect())
+    assert counts["ru"] == 20 and 200 < counts["en"] < 380
+    assert language.fit(docs, F.lit(True), train_rows=300).names == ["en", "ru"]
+
+
 def test_profile_distance_by_hand():
     model = language.RankModel({"a": language.grams(["abc"])[1].tolist(), "b": language.grams(["xyz"])[1].tolist()}, 20)
     assert model.predict(["abc", "zyx", None, "12"])[0] == ["a", "b", "und", "und"]
