@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marquee.llm import exact_dedup, language, mixing, packing, secrets, shards, tokens, toxicity
 from marquee.llm.queries import vocabulary
 
@@ -199,6 +200,14 @@ def test_rare_languages_are_learned_beside_a_hot_one(spark):
     assert language.fit(docs, F.lit(True), train_rows=300).names == ["en", "ru"]
 
 
+def test_texts_like_no_language_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    other = docs.limit(2).withColumns({"doc_id": F.col("doc_id") + 10**9, "text": F.lit("漢字仮名交じり文 ひらがな"), "lang": F.lit(None).cast("string")})
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.union(other), sf_dir).collect()}
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}  # of every language
+    assert kept == clean and len({r.lang for r in docs.filter("lang is not null").collect()}) > 1
+
+
 def test_profile_distance_by_hand():
     model = language.RankModel({"a": language.grams(["abc"])[1].tolist(), "b": language.grams(["xyz"])[1].tolist()}, 20)
     assert model.predict(["abc", "zyx", None, "12"])[0] == ["a", "b", "und", "und"]
