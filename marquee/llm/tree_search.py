@@ -137,6 +137,12 @@ def _table(out: tuple[list, list, list]) -> pa.Table:
     return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score"])
 
 
+def _bounded(df: DataFrame, key: str, vector: str, bound: int, salt: str) -> DataFrame:
+    """About ``bound`` distinct rows ``key, vector`` at most: an id with many vectors is drawn vector by vector, copies of a row count once."""
+    drawn = F.concat_ws(":", F.col(key).cast("string"), F.xxhash64(vector).cast("string"))
+    return sampled(df.select(key, vector), drawn, bound, salt).dropDuplicates([key, vector])
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     distinct = found.dropDuplicates(["query_id", "vec_id"])
@@ -152,7 +158,7 @@ class TreeIndex:
         self.width = width.w if width else 0
         rows = df.filter(usable(F.col(vector)) & (F.size(vector) == self.width)).select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
         rows = rows.filter("vec_id is not null")
-        sample = [r.v for r in sampled(rows, F.col("vec_id"), sample_rows, "tree").select("v").collect()]  # bounded by sample_rows
+        sample = sorted(r.v for r in _bounded(rows, "vec_id", "v", sample_rows, "tree").collect())  # bounded by sample_rows
         self.tree = KMeansTree(_unit(np.array(sample))) if sample else None
         self.rows = stored(self._dealt(rows), "tree-index") if sample else None
 
@@ -215,9 +221,9 @@ class TreeIndex:
 
     def calibrate(self, queries: DataFrame, k: int, recall: float = RECALL) -> int:
         """Leaf visits at which a bounded sample of the queries, answered exactly, finds the share ``recall`` of its neighbours."""
-        sample = stored(sampled(queries, F.col("query_id"), CALIBRATION_QUERIES, "calibration"), "calibration")
+        sample = stored(_bounded(queries, "query_id", "q", CALIBRATION_QUERIES, "calibration"), "calibration")
         truth = self.exact(sample, k).select("query_id", "vec_id")
-        where = self.rows.join(F.broadcast(truth), "vec_id").select("query_id", "leaf").collect()  # CALIBRATION_QUERIES x k rows
+        where = self.rows.join(F.broadcast(truth), "vec_id").select("query_id", "vec_id", "leaf").distinct().collect()  # CALIBRATION_QUERIES x k x leaves rows at most, whatever rows share an id
         if not where:
             return self.tree.leaves
         order = {}

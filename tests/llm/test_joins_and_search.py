@@ -1,5 +1,6 @@
 """The sketch join and the tree search against brute force, the components, the pipeline, and the queries' SQL."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -126,6 +127,17 @@ def test_search_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_sample_of_a_hot_id_stays_bounded(spark, monkeypatch):
+    bound, n = 100, 3000
+    hot = next(i for i in range(n, 2 * n) if int(hashlib.md5(f"tree:{i}".encode()).hexdigest()[:13], 16) < (1 << 52) * bound // n)
+    x = np.random.default_rng(1).normal(size=(n, 4))
+    rows = [(hot if i % 3 == 0 else i, [1.0, 2.0, 3.0, 4.0] if i % 6 == 0 else [float(c) for c in v]) for i, v in enumerate(x)]
+    seen, init = [], tree_search.KMeansTree.__init__
+    monkeypatch.setattr(tree_search.KMeansTree, "__init__", lambda self, sample: seen.append(len(sample)) or init(self, sample))
+    index = tree_search.TreeIndex(vectors(spark, rows), sample_rows=bound)
+    assert 30 < seen[0] < 2 * bound and index.rows.count() == n
+
+
 def test_search_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (9, [0.0, 1.0])]
