@@ -1,20 +1,24 @@
 """Incremental ingest and encoding: the batch operators, run on what has newly arrived.
 
 Both use ``availableNow``: take everything that is there, then stop. A micro-batch replayed after a failure finds its
-keys already stored and adds nothing, so every key is written once.
+keys already stored and adds nothing, so every key is written once. Payloads have no arrival time: of several good ones
+of a title in a micro-batch the one with the smallest content digest is stored, and a stored title stays as it is. What
+differs from it is kept beside the rejections, each distinct one once.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import passage
 from ..operators.eligibility import with_plot
 from ..operators.encoders import Encoder
-from ..sources.payloads import good_rows, parse_payloads, quarantine
+from ..sources.payloads import MOVIE_COLUMNS, good_rows, parse_payloads, quarantine
+
+NOT_STORED = "another payload of this title is stored"
 
 
 def _unseen(batch: DataFrame, path: str) -> DataFrame:
@@ -32,6 +36,38 @@ def _unseen(batch: DataFrame, path: str) -> DataFrame:
     return once.join(stored.join(once.select("tid"), "tid", "left_semi"), "tid", "left_anti")
 
 
+def _content() -> Column:
+    return F.sha2(F.to_json(F.struct(*MOVIE_COLUMNS)), 256)
+
+
+def _one_each(good: DataFrame) -> DataFrame:
+    """Of the good rows of a title the one with the smallest content digest."""
+    rest = [c for c in MOVIE_COLUMNS if c != "tid"]
+    return good.groupBy("tid").agg(F.min(F.struct(_content().alias("content"), *rest)).alias("row")).select("tid", "row.*").select(*MOVIE_COLUMNS)
+
+
+def _not_stored(parsed: DataFrame, path: str) -> DataFrame:
+    """Good payloads that differ from what the table at ``path`` holds for their title, as rows of the quarantine."""
+    good = parsed.filter("error is null").select("tid", F.lit(NOT_STORED).alias("error"), "raw", _content().alias("content"))
+    stored = parsed.sparkSession.read.schema(good_rows(parsed).schema).parquet(path).join(good.select("tid"), "tid", "left_semi")
+    held = stored.select(F.col("tid").alias("held"), _content().alias("same"))
+    return good.join(held, F.col("tid").eqNullSafe(F.col("held")) & (F.col("content") == F.col("same")), "left_anti").drop("content")
+
+
+def _new_rejections(rejected: DataFrame, path: str) -> DataFrame:
+    """Distinct rejections that the table at ``path`` lacks."""
+    once = rejected.distinct()
+    try:
+        stored = rejected.sparkSession.read.schema(rejected.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return once
+    held = stored.select(*[F.col(c).alias(f"held_{c}") for c in rejected.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in rejected.columns]
+    return once.join(held, same[0] & same[1] & same[2], "left_anti")
+
+
 def _append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("compression", "snappy").parquet(path)
 
@@ -41,8 +77,9 @@ def ingest_payloads(payloads: DataFrame, movies_path: str, rejected_path: str, c
 
     def store(batch: DataFrame, _: int) -> None:
         parsed = parse_payloads(batch).persist()
-        _append(_unseen(good_rows(parsed), movies_path), movies_path)
-        _append(_unseen(quarantine(parsed), rejected_path), rejected_path)
+        _append(_unseen(_one_each(good_rows(parsed)), movies_path), movies_path)
+        rejected = quarantine(parsed).unionByName(_not_stored(parsed, movies_path))
+        _append(_new_rejections(rejected, rejected_path), rejected_path)
         parsed.unpersist()
 
     return (

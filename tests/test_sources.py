@@ -75,6 +75,25 @@ def test_streams_write_each_key_once(spark, sf_dir):
     assert spark.read.parquet(f"{root}/vectors").count() == movies.filter("plot is not null").count()
 
 
+def test_streams_keep_every_payload_of_a_title(spark):
+    good = lambda title: f'{{"Title": "{title}", "Response": "True"}}'
+    wrong = '{"Response": "False", "Error": "Incorrect id."}'
+    first, second = [(1, good("A")), (1, good("B")), (2, "{bad"), (2, wrong), (2, "{bad")], [(1, good("C")), (1, good("A")), (2, "{bad"), (2, "{other")]
+    titles = set()
+    for turned in (1, -1):
+        root = scratch_path(spark, "payloads")
+        for restart, rows in (("a", first[::turned]), ("a", second[::turned]), ("b", [])):  # at last all again, after a lost checkpoint
+            spark.createDataFrame(rows, "tid long, raw string").coalesce(1).write.mode("append").parquet(f"{root}/landed")
+            stream = spark.readStream.schema("tid long, raw string").parquet(f"{root}/landed")
+            ingest_payloads(stream, f"{root}/movies", f"{root}/bad", f"{root}/cp{restart}").awaitTermination()
+        movies = spark.read.parquet(f"{root}/movies").collect()
+        assert [r.tid for r in movies] == [1] and movies[0].title in ("A", "B")
+        titles.add(movies[0].title)
+        expected = [(1, good(t)) for t in "ABC" if t != movies[0].title] + [(2, wrong), (2, "{bad"), (2, "{other")]
+        assert sorted((r.tid, r.raw) for r in spark.read.parquet(f"{root}/bad").collect()) == sorted(expected)
+    assert len(titles) == 1
+
+
 def test_whole_build(spark, sf_dir):
     raw = W.raw_titles(spark, sf_dir)
     out = scratch_path(spark, "build")
