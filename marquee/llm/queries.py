@@ -15,6 +15,7 @@ from .ngram_join import similar_components
 from .packing import pack, piece_rows
 from .secrets import find_secrets, joined
 from .shards import shard_rows
+from .simhash import simhash_components
 from .tokens import count_tokens, utf8_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,9 @@ def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
     return piece_rows(pack(documents(spark, sf_dir), *vocabulary()))
+
+
+@query
+def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and the component of documents within two bits of each other."""
+    return simhash_components(documents(spark, sf_dir))
