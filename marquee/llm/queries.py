@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, toxicity, tree_search
+from .alignment import align_documents
 from .common import crc_fold, documents
 from .exact_dedup import exact_groups
 from .mixing import poisson_mix
@@ -161,3 +162,11 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, and the component of documents within two bits of each other."""
     return simhash_components(documents(spark, sf_dir))
+
+
+@query
+def op12_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every text under the byte-level and the piece vocabulary."""
+    import public_tokenizers
+
+    return align_documents(documents(spark, sf_dir), *vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
