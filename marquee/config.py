@@ -117,9 +117,12 @@ ERROR_INVALID_PARAMETERS = 4
 # Size bounds of what is shipped to every task. Above a bound another exact route is taken.
 # ---------------------------------------------------------------------------------------------------------------------
 
-REQUESTS_PER_PASS = 4096  # request vectors broadcast to the scoring tasks at a time
+REQUESTS_PER_BLOCK = 4096  # request vectors that one scoring task holds
+CELL_BYTES = 48 << 20  # item vectors that one scoring task holds, in single precision
+CELL_TASKS = 20_000  # partitions of a scoring grid; more cells share them
 BROADCAST_REQUESTS = 200_000  # resolved requests, a few numbers each, sent to the titles they name
 BROADCAST_RESULTS = 1_000_000  # ranked rows of four numbers sent to the titles; beyond, both sides are shuffled
+LOOKUP_ROWS = 100_000  # names that one task tests for the texts of a trigram
 SAMPLE_ONE_IN = 256  # share of the components that bounds the scores of a large catalogue
 SAMPLE_MIN = 10_000  # rows the sample needs to be worth a pass of its own
 LOOKUP_VOCAB_MAX = 2048  # vocabulary entries held as an in-row lookup; beyond, the lists are exploded and joined

@@ -1,21 +1,25 @@
-"""Exact top-k scoring of request vectors against a table of item components.
+"""Exact top-k scoring of a table of requests against a table of item components.
 
-Items never move: each task scores its own partition against a bounded block of request vectors, keeps a running top-k
-per request, and hands on ``requests x k`` rows. Only those are shuffled.
+Requests and items meet in the cells of a grid: blocks of requests against buckets of items, both of bounded size, so that a cell fits
+into a task whatever the number of either. A cell scores with matrix products, keeps a running top-k for each request, and hands
+on that many rows at most; the rows of all cells are merged by rank. No request passes the driver, and the plan is the same for one
+block and for a thousand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
+
 TINY = 1e-12
 FILTERED = ["final_rating", "votes", "year"]  # item columns that requests may set conditions on
+LIMITS = ["min_rating", "min_votes", "year_from", "year_to"]  # conditions that a request may set
 SCORE_CELLS = 2_000_000  # item x request scores held at a time by a task
 
 
@@ -27,25 +31,27 @@ class RequestBlock:
     vectors: np.ndarray  # (Q, total dims of the item parts)
     part_weights: np.ndarray  # (Q, parts): squared weight of each part in the item norm
     norms: np.ndarray  # (Q,): norm of the weighted request vector
-    bars: np.ndarray | None = None  # (Q,): similarity that k items are known to reach
+    wanted: np.ndarray  # (Q,): number of items to rank
+    bars: np.ndarray  # (Q,): similarity that so many items are known to reach, or minus infinity
     limits: np.ndarray | None = None  # (Q, 4): least rating, least votes, first and last year; NaN where not asked for
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list (or number) column as a float64 matrix without per-row objects."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         flat = column.flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(column), -1).astype(np.float64, copy=False)
     return column.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, 1)
 
 
-def _best(q: np.ndarray, score: np.ndarray, tid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (score descending, key ascending) of every request."""
+def _best(q: np.ndarray, score: np.ndarray, tid: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k[q]`` best (score descending, key ascending) of every request ``q``."""
     order = np.lexsort((tid, -score, q))
     q, score, tid = q[order], score[order], tid[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, dtype=np.int64)
     lengths = np.diff(np.r_[starts, len(q)])
-    keep = np.arange(len(q)) - np.repeat(starts, lengths) < k
+    keep = np.arange(len(q)) - np.repeat(starts, lengths) < k[q]
     return q[keep], score[keep], tid[keep]
 
 
@@ -60,94 +66,129 @@ def _passes(limits: np.ndarray, values: np.ndarray) -> np.ndarray:
     )
 
 
-def _score_partition(
-    batches: Iterator[pa.RecordBatch], block: RequestBlock, parts: list[str], norms: list[str], k: int
-) -> Iterator[pa.RecordBatch]:
-    requests = len(block.qid)
-    query_norms = np.maximum(block.norms, TINY)[:, None]
-    floor = np.full(requests, -np.inf) if block.bars is None else block.bars.copy()
-    q = np.empty(0, dtype=np.int64)
-    score = np.empty(0)
-    tid = np.empty(0, dtype=np.int64)
-    step = max(1, SCORE_CELLS // max(1, requests))
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        keys = batch.column("tid").to_numpy(zero_copy_only=False)
-        items = np.hstack([_matrix(batch.column(p)) for p in parts])
-        squares = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in norms])
-        for start in range(0, len(keys), step):
-            rows = slice(start, start + step)
-            length = np.sqrt(np.maximum(block.part_weights @ squares[rows].T, 0.0)) * query_norms
-            cells = np.round(block.vectors @ items[rows].T / np.maximum(length, TINY), 9) + 0.0
-            width = cells.shape[1]
-            if block.limits is None:
-                allowed = True
-            else:
-                values = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False)[rows] for n in FILTERED])
-                allowed = _passes(block.limits, values.astype(np.float64))
-                cells = np.where(allowed, cells, -np.inf)
-            hits = (cells >= floor[:, None]) & allowed
-            if width > k and np.count_nonzero(hits) > 2 * k * requests:
-                kth = np.partition(cells, width - k, axis=1)[:, width - k]
-                hits = (cells >= np.maximum(floor, kth)[:, None]) & allowed
-            request, row = np.nonzero(hits)
-            q = np.r_[q, request]
-            score = np.r_[score, cells[request, row]]
-            tid = np.r_[tid, keys[rows][row]]
-            if len(q) > 2 * k * requests:
-                q, score, tid = _best(q, score, tid, k)
-                counts = np.bincount(q, minlength=requests)
-                full = np.flatnonzero(counts == k)
-                floor[full] = np.maximum(floor[full], score[np.cumsum(counts)[full] - 1])
-    q, score, tid = _best(q, score, tid, k)
-    for start in range(0, len(q), 100_000):
-        cut = slice(start, start + 100_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block.qid[q[cut]], pa.int64()), pa.array(tid[cut], pa.int64()), pa.array(score[cut], pa.float64())],
-            names=["qid", "tid", "similarity"],
-        )
-
-
-def _ranked(items: DataFrame, block: RequestBlock, parts: list[str], norms: list[str], k: int) -> DataFrame:
-    shared = items.sparkSession.sparkContext.broadcast(
-        (block.qid, block.vectors, block.part_weights, block.norms, block.bars, block.limits)
+def request_block(asked: pa.Table, parts: list[str]) -> RequestBlock:
+    """The requests of a cell. The vector of a request is that of its parts, each scaled by its weight."""
+    vectors = [_matrix(asked[p]) for p in parts]
+    squared = _matrix(asked["weights"]) ** 2
+    norms = np.sqrt(sum((v**2).sum(1) * squared[:, i] for i, v in enumerate(vectors)))
+    limits = np.hstack([_matrix(asked[c]) for c in LIMITS]) if LIMITS[0] in asked.column_names else None
+    if limits is not None and np.isnan(limits).all():
+        limits = None
+    bars = asked["bar"].to_numpy()
+    return RequestBlock(
+        asked["qid"].to_numpy(),
+        np.hstack([v * squared[:, i : i + 1] for i, v in enumerate(vectors)]),
+        squared,
+        norms,
+        asked["k"].to_numpy().astype(np.int64),
+        np.where(np.isnan(bars), -np.inf, bars),
+        limits,
     )
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _score_partition(batches, RequestBlock(*shared.value), parts, norms, k)
 
-    filters = [] if block.limits is None else [F.col(c).cast("double").alias(c) for c in FILTERED]
-    local = items.select("tid", *parts, *norms, *filters).mapInArrow(score, "qid long, tid long, similarity double")
+def _score_items(items: pa.Table, block: RequestBlock, parts: list[str], norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of requests, similarities and keys: the wanted number of items of each request of the block."""
+    requests, wanted = len(block.qid), block.wanted
+    most, room = int(wanted.max(initial=0)), 2 * int(wanted.sum())
+    query_norms = np.maximum(block.norms, TINY)[:, None]
+    floor = block.bars.copy()
+    q, score, tid = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64)
+    step = max(1, SCORE_CELLS // max(1, requests))
+    for start in range(0, items.num_rows, step):
+        rows = items.slice(start, step)
+        keys = rows["tid"].to_numpy()
+        squares = np.column_stack([rows[n].to_numpy() for n in norms])
+        length = np.sqrt(np.maximum(block.part_weights @ squares.T, 0.0)) * query_norms
+        vectors = np.hstack([_matrix(rows[p]) for p in parts])
+        cells = np.round(block.vectors @ vectors.T / np.maximum(length, TINY), 9) + 0.0
+        width = cells.shape[1]
+        if block.limits is None:
+            allowed = True
+        else:
+            values = np.column_stack([rows[n].to_numpy() for n in FILTERED])
+            allowed = _passes(block.limits, values.astype(np.float64))
+            cells = np.where(allowed, cells, -np.inf)
+        hits = (cells >= floor[:, None]) & allowed
+        if width > most and np.count_nonzero(hits) > room:
+            kth = np.partition(cells, width - most, axis=1)[:, width - most]
+            hits = (cells >= np.maximum(floor, kth)[:, None]) & allowed
+        request, row = np.nonzero(hits)
+        q, score, tid = np.r_[q, request], np.r_[score, cells[request, row]], np.r_[tid, keys[row]]
+        if len(q) > room:
+            q, score, tid = _best(q, score, tid, wanted)
+            counts = np.bincount(q, minlength=requests)
+            full = np.flatnonzero((counts == wanted) & (counts > 0))
+            floor[full] = np.maximum(floor[full], score[np.cumsum(counts)[full] - 1])
+    return _best(q, score, tid, wanted)
+
+
+def measure(asked: DataFrame) -> Row:
+    """Number of requests ``n``, largest ``k``, their sum ``total``, and whether any has a condition (``limited``)."""
+    given = [F.col(c).isNotNull() for c in LIMITS if c in asked.columns]
+    limited = F.greatest(F.lit(False), *given) if given else F.lit(False)
+    return asked.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.max("k"), F.lit(0)).alias("k"),
+        F.coalesce(F.sum(F.col("k").cast("long")), F.lit(0)).alias("total"),
+        F.coalesce(F.max(limited), F.lit(False)).alias("limited"),
+    ).first()
+
+
+def _grid(items: DataFrame, asked: DataFrame, parts: list[str], norms: list[str], dims: int, size: Row, sample: bool) -> DataFrame:
+    spark = items.sparkSession
+    limits = [F.col(c).cast("double").alias(c) for c in LIMITS if c in asked.columns]
+    filters = [F.col(c).cast("double").alias(c) for c in FILTERED] if limits else []
+    blocks = max(1, -(-size.n // C.REQUESTS_PER_BLOCK))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() * dims * 4 // C.CELL_BYTES))
+    tasks = min(blocks * buckets, C.CELL_TASKS)
+
+    def dealt(df: DataFrame, key: str, own: int, other: int, cell) -> DataFrame:
+        """Each row with the number of its hash class, once for each class of the other side."""
+        mine = F.pmod(F.xxhash64(key), F.lit(own))
+        theirs = F.explode(F.sequence(F.lit(0), F.lit(other - 1))) if other > 1 else F.lit(0)
+        spread = df.select("*", mine.alias("_own"), theirs.alias("_other"))
+        return spread.withColumn("cell", cell(F.col("_own"), F.col("_other")).cast("int")).drop("_own", "_other").repartitionById(tasks, F.col("cell"))
+
+    bar = F.col("bar") if "bar" in asked.columns else F.lit(None).cast("double").alias("bar")
+    weights = F.col("weights") if "weights" in asked.columns else F.array_repeat(F.lit(1.0), len(parts)).alias("weights")
+    left = dealt(items.select("tid", *parts, *norms, *filters), "tid", buckets, blocks, lambda own, other: other * buckets + own)
+    right = dealt(asked.select("qid", "k", weights, bar, *limits, *parts), "qid", blocks, buckets, lambda own, other: own * buckets + other)
+
+    def meet(held: pa.Table, requests: pa.Table) -> pa.Table:
+        if held.num_rows and requests.num_rows:
+            block = request_block(requests, parts)
+            q, score, tid = _score_items(held, block, parts, norms)
+        else:
+            block, (q, score, tid) = None, (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64))
+        qid, wanted = (q, q) if block is None else (block.qid[q], block.wanted[q])
+        columns = [pa.array(qid, pa.int64()), pa.array(tid, pa.int64()), pa.array(score, pa.float64()), pa.array(wanted, pa.int32())]
+        return pa.table(columns, ["qid", "tid", "similarity", "k"])
+
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, "qid long, tid long, similarity double, k int")
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "tid")
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def sample_bars(sample: DataFrame, block: RequestBlock, parts: list[str], norms: list[str], k: int) -> np.ndarray:
-    """For each request the k-th best similarity within some of the items: its k best overall cannot lie below."""
-    kth = _ranked(sample, block, parts, norms, k).filter(F.col("rank") == k).select("qid", "similarity").toPandas()
-    bars = np.full(len(block.qid), -np.inf)
-    place = {qid: i for i, qid in enumerate(block.qid.tolist())}
-    for qid, similarity in zip(kth["qid"], kth["similarity"]):
-        bars[place[qid]] = similarity
-    return bars
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= int(size.k)) & (F.col("rank") <= F.col("k")))
+    return ranked.filter(F.col("rank") == F.col("k")) if sample else ranked
 
 
 def top_k(
     items: DataFrame,
-    block: RequestBlock,
+    asked: DataFrame,
     parts: list[str],
     norms: list[str],
-    k: int,
+    dims: int,
     sample: DataFrame | None = None,
+    size: Row | None = None,
 ) -> DataFrame:
-    """``(qid, tid, similarity, rank)``: the k most similar items of every request of the block, exactly.
+    """``(qid, tid, similarity, rank)``: the ``k`` most similar items of every request, exactly.
 
-    ``parts`` are the item's vector (or number) columns in the order of the request vectors, ``norms`` their squared
-    norms. Ties go to the smaller key. Conditions of the block (``limits``) are applied before ranking. Without ``sample`` every task hands on up to k rows per request. With it (any
-    part of ``items``), tasks leave out what cannot be among the k best, so the shuffled rows no longer grow with the
-    number of tasks; the result is the same.
+    ``parts`` are vector (or number) columns of ``dims`` components in all that both tables have, ``norms`` the items' squared norms.
+    ``asked`` has a unique ``qid`` and ``k``, and may have ``weights`` of the parts and conditions (:data:`LIMITS`), which hold before
+    the ranking. It is read several times, so it should be stored. Ties go to the smaller key. With a ``sample`` (any part of
+    ``items``), its k-th best similarity is found first for each request; cells leave out what lies below, so the shuffled rows no
+    longer grow with the number of cells. The result is the same.
     """
+    size = size or measure(asked)
     if sample is not None:
-        block = replace(block, bars=sample_bars(sample, block, parts, norms, k))
-    return _ranked(items, block, parts, norms, k)
+        bars = _grid(sample, asked, parts, norms, dims, size, sample=True).select("qid", F.col("similarity").alias("bar"))
+        asked = asked.join(bars, "qid", "left")
+    return _grid(items, asked, parts, norms, dims, size, sample=False).drop("k")

@@ -1,15 +1,12 @@
 """Weighted similarity search and recommendation for whole request tables.
 
-A batch runs as follows. Requests are resolved and encoded as DataFrames. They are then taken in passes of at most
-``REQUESTS_PER_PASS``: the vectors of one pass (a bounded block) are broadcast, every task scores its items against
-them and keeps a running top-k. A larger batch takes more passes over the items, with exactly the same result.
+A batch runs as follows. Requests are resolved, encoded and stored as a table. A first grid of request blocks and item buckets
+(``scoring.top_k``) finds the nearest plots of every request; the genre vectors made from them are stored beside the requests,
+and a second grid ranks the items. Any number of requests takes the same plan, and none of them passes the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,19 +17,16 @@ from ..functions.features import loc_vector
 from ..functions.ids import text_from_key
 from ..functions.parsing import list_from_array
 from ..functions.text import item_query, passage
-from ..functions.vectors import combine_components
+from ..functions.vectors import combine_components, zeros
 from ..session import cut_lineage
 from .encoders import Encoder
 from .features import NORMS, PARTS, Model
 from .requests import WEIGHT_NAMES, resolve_recommend, resolve_search
-from .scoring import FILTERED, RequestBlock, top_k
+from .scoring import FILTERED, LIMITS, measure, top_k
 from .vocab import active_features
 
 WEIGHT_COLUMNS = [f"{name}_weight" for name in WEIGHT_NAMES]
-ANCHOR = 3  # leading characters of a title request used as join key
-
-
-LIMITS = ["min_rating", "min_votes", "year_from", "year_to"]  # conditions that a request may set
+GRAM = 3  # characters of the longest pieces of names in the title index
 
 
 # --- request vectors -------------------------------------------------------------------------------------------------
@@ -66,98 +60,56 @@ def _texts(values: list[str]) -> Column:
 
 
 def encode_requests(requests: DataFrame, model: Model, encoder: Encoder) -> DataFrame:
-    """``(qid, plot, loc, k, weights)`` of resolved requests."""
+    """``(qid, plot, loc, k, weights)`` of resolved requests. A text that the encoder has no vector for is a zero vector."""
     plot = encoder.encode(requests, "qid", passage(F.col("query")), "plot")
     cut = plot.select("qid", F.slice("plot", 1, model.config.plot_dim).alias("plot"))
     limits = [F.col(c).cast("double").alias(c) for c in LIMITS if c in requests.columns]
     kept = requests.select("qid", "k", *WEIGHT_COLUMNS, *limits)
-    return kept.join(cut, "qid").join(request_loc_vectors(requests, model), "qid")
-
-
-def request_passes(encoded: DataFrame, size: int | None = None):
-    """Bounded slices of a request table, each as a pandas frame. Slices are hash classes of ``qid``.
-
-    ``qid`` is unique, so classes are even; they are planned a tenth below the bound, and a class that still exceeds it
-    is an error, never cut.
-    """
-    size = size or C.REQUESTS_PER_PASS
-    total = encoded.count()
-    classes = -(-11 * total // (10 * size)) if total > size else 1
-    for number in range(classes):
-        chosen = encoded.filter(F.pmod(F.xxhash64("qid"), F.lit(classes)) == number)
-        rows = chosen.limit(size + 1).toPandas()
-        if len(rows) > size:
-            if rows["qid"].duplicated().any():
-                raise ValueError("qid must be unique in a request table")
-            raise ValueError(f"a pass of {size} requests is exceeded; raise the size")
-        if len(rows):
-            yield rows.sort_values("qid")
+    known = kept.join(cut, "qid", "left").join(request_loc_vectors(requests, model), "qid", "left")
+    filled = {"plot": F.coalesce("plot", zeros(model.config.plot_dim)), "loc": F.coalesce("loc", zeros(model.config.loc_dim))}
+    return known.withColumns(filled)
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 
-def _plot_block(rows) -> RequestBlock:
-    plots = np.vstack(rows["plot"].to_numpy()).astype(np.float64)
-    count = len(rows)
-    return RequestBlock(rows["qid"].to_numpy(), plots, np.ones((count, 1)), np.linalg.norm(plots, axis=1))
-
-
-def neighbour_genres(rows, model: Model) -> DataFrame:
-    """``(qid, genre)``: softmax-weighted mean genre vector of the nearest plots, for one pass of requests."""
+def neighbour_genres(encoded: DataFrame, model: Model) -> DataFrame:
+    """``(qid, genre)``: softmax-weighted mean genre vector of the nearest plots of every request, in one job."""
     cfg = model.config
-    near = top_k(model.components, _plot_block(rows), ["plot"], ["plot_n2"], cfg.neighbours, model.sample)
-    # At most REQUESTS_PER_PASS x neighbours rows of three numbers: a bounded broadcast.
-    gathered = model.components.select("tid", "genre").join(F.broadcast(near), "tid")
+    asked = encoded.select("qid", F.lit(cfg.neighbours).alias("k"), "plot")
+    near = top_k(model.components, asked, ["plot"], ["plot_n2"], cfg.plot_dim, model.sample)
+    # the neighbours are the large side: a title near very many requests is a skewed key there, which the adaptive join splits
+    gathered = near.join(model.components.select("tid", "genre"), "tid")
     weight = F.exp(F.col("similarity") * cfg.neighbour_sharpness)
     mean = Summarizer.mean(array_to_vector(F.col("genre").cast("array<double>")), weight)
     return gathered.groupBy("qid").agg(vector_to_array(mean).alias("genre"))
 
 
-def _weighted_block(rows, genres: dict[int, np.ndarray], model: Model) -> RequestBlock:
-    cfg = model.config
-    count = len(rows)
-    none = np.zeros(cfg.genre_dim)
-    plot = np.vstack(rows["plot"].to_numpy()).astype(np.float64)
-    loc = np.vstack(rows["loc"].to_numpy()).astype(np.float64)
-    genre = np.vstack([np.asarray(genres.get(q, none), dtype=np.float64) for q in rows["qid"]])
-    pop = np.full((count, 1), C.QUERY_POPULARITY)
-    squared = rows[WEIGHT_COLUMNS].to_numpy(dtype=np.float64) ** 2
-    parts = [plot, genre, loc, pop]
-    length = np.sqrt(sum((part**2).sum(1) * squared[:, i] for i, part in enumerate(parts)))
-    vectors = np.hstack([part * squared[:, i : i + 1] for i, part in enumerate(parts)])
-    limits = rows[LIMITS].to_numpy(dtype=np.float64) if LIMITS[0] in rows else None
-    if limits is not None and np.isnan(limits).all():
-        limits = None
-    return RequestBlock(rows["qid"].to_numpy(), vectors, squared, length, limits=limits)
-
-
 def _with_filtered(items: DataFrame | None, movies: DataFrame) -> DataFrame | None:
-    """Components beside the title's columns that conditions read, written once for all passes."""
+    """Components beside the title's columns that conditions read, written once."""
     return None if items is None else cut_lineage(items.join(movies.select("tid", *FILTERED), "tid"))
 
 
 def _rank(encoded: DataFrame, model: Model, movies: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Ranked items and the number of rows they can have at most. Conditions of requests hold before the ranking."""
-    encoded = cut_lineage(encoded)  # read once per pass and once more for the limits
+    """Ranked items and the number of rows they can have at most. Conditions of requests hold before the ranking.
+
+    The neighbours of all requests are found by a first grid; their genre vectors are stored with the requests, and the second grid
+    reads that table.
+    """
+    cfg = model.config
+    encoded = cut_lineage(encoded if movies is not None else encoded.drop(*LIMITS))  # read by both grids
+    asked = encoded.join(neighbour_genres(encoded, model), "qid", "left")
+    weights = F.array(*[F.col(c).cast("double") for c in WEIGHT_COLUMNS]).alias("weights")
+    genre = F.coalesce("genre", zeros(cfg.genre_dim)).alias("genre")
+    limits = [c for c in LIMITS if c in encoded.columns]
+    asked = cut_lineage(asked.select("qid", "k", weights, "plot", genre, "loc", F.lit(C.QUERY_POPULARITY).alias("pop"), *limits))
+    size = measure(asked)
     items, sample = model.components, model.sample
-    if movies is None:
-        encoded = encoded.drop(*LIMITS)
-    elif encoded.filter(" or ".join(f"{c} is not null" for c in LIMITS)).limit(1).count():
+    if size.limited:
         items, sample = _with_filtered(items, movies), _with_filtered(sample, movies)
-    results, bound = [], 0
-    for rows in request_passes(encoded):
-        near = neighbour_genres(rows, model).toPandas()  # one vector per request of the pass
-        genres = dict(zip(near["qid"], near["genre"]))
-        block = _weighted_block(rows, genres, model)
-        k = int(rows["k"].max())
-        results.append(top_k(items, block, PARTS, NORMS, k, sample))
-        bound += len(rows) * k
-    if not results:
-        nothing = "qid", "cast(null as long) tid", "cast(null as double) similarity", "cast(null as int) rank"
-        return encoded.limit(0).selectExpr(*nothing), 0
-    ranked = reduce(DataFrame.unionByName, results)
-    return ranked.join(encoded.select("qid", "k"), "qid").filter(F.col("rank") <= F.col("k")).drop("k"), bound
+    else:
+        asked = asked.drop(*LIMITS)
+    return top_k(items, asked, PARTS, NORMS, model.dimension, sample, size), size.total
 
 
 def rank_items(encoded: DataFrame, model: Model) -> DataFrame:
@@ -262,31 +214,68 @@ def recommend(requests: DataFrame, movies: DataFrame, model: Model, encoder: Enc
     return _first_per_request(others, "_limit").drop("_limit", "source")
 
 
-def _anchors(name: Column) -> Column:
-    """Distinct substrings of up to ``ANCHOR`` characters, and the empty text."""
+def _grams(name: Column, size: int) -> Column:
+    """All substrings of ``size`` characters."""
+    places = F.sequence(F.lit(1), F.length(name) - size + 1)
+    cut = F.transform(places, lambda i: F.substring(name, i, F.lit(size)))
+    return F.when(F.length(name) >= size, cut).otherwise(F.array().cast("array<string>"))
 
-    def pieces(size: int) -> Column:
-        places = F.sequence(F.lit(1), F.length(name) - size + 1)
-        cut = F.transform(places, lambda i: F.substring(name, i, F.lit(size)))
-        return F.when(F.length(name) >= size, cut).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in range(1, ANCHOR + 1)]))
+def _names(movies: DataFrame) -> DataFrame:
+    return movies.select("tid", F.lower("title").alias("name")).filter(F.col("name").isNotNull())
 
 
-def titles_by_text(requests: DataFrame, movies: DataFrame) -> DataFrame:
+def title_grams(movies: DataFrame) -> DataFrame:
+    """``(gram, n, first)``: for every piece of one to three characters, the number of titles that hold it and the smallest key.
+
+    It depends on the titles alone, so it can be stored beside the model and passed to :func:`titles_by_text`.
+    """
+    name = F.col("name")
+    pieces = F.array_distinct(F.concat(*[_grams(name, size) for size in range(1, GRAM + 1)]))
+    held = _names(movies).select("tid", F.explode(pieces).alias("gram"))
+    return held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("first"))
+
+
+def titles_by_text(
+    requests: DataFrame, movies: DataFrame, index: DataFrame | None = None, broadcast_rows: int | None = None, lookup_rows: int | None = None
+) -> DataFrame:
     """``(qid, tid)``: the first title (smallest key) whose name contains the request's ``title``, ignoring case.
 
-    A name can only contain a text whose first characters it contains, so both sides meet in an equi-join on those and
-    the whole text is tested in the join. Matches are reduced to one per request before they are shuffled.
+    The empty text is in every name: one minimum answers it. Texts of up to three characters are entries of the index of pieces
+    (:func:`title_grams`), which names their first title. A longer text is looked up by the rarest of its trigrams, and dropped if one of
+    them is in no title: only names that hold that trigram are tested. A trigram held by more than ``lookup_rows`` names is dealt
+    over several tasks. Equal texts are looked up once. Up to ``broadcast_rows`` texts are sent to the names; more are joined by
+    trigram.
     """
+    limit = C.BROADCAST_REQUESTS if broadcast_rows is None else broadcast_rows
     wanted = requests.select("qid", F.lower("title").alias("wanted")).filter(F.col("wanted").isNotNull())
-    asked = wanted.withColumn("anchor", F.substring("wanted", 1, ANCHOR))
-    names = movies.select("tid", F.lower("title").alias("name")).filter(F.col("name").isNotNull())
-    held = names.select("tid", "name", F.explode(_anchors(F.col("name"))).alias("anchor"))
-    if asked.limit(C.REQUESTS_PER_PASS + 1).count() <= C.REQUESTS_PER_PASS:
-        asked = F.broadcast(asked)
-    hits = held.join(asked, (held.anchor == asked.anchor) & F.contains(F.col("name"), F.col("wanted")))
-    return hits.groupBy("qid").agg(F.min("tid").alias("tid"))
+    names = _names(movies)
+    index = cut_lineage(title_grams(movies)) if index is None else index
+    texts = cut_lineage(wanted.select("wanted").distinct())
+
+    whole = texts.filter("wanted = ''").withColumn("tid", names.agg(F.min("tid")).scalar())
+    short = texts.join(index, (F.col("wanted") == F.col("gram")) & (F.length("wanted") <= GRAM)).select("wanted", F.col("first").alias("tid"))
+
+    longer = texts.filter(F.length("wanted") > GRAM).select("wanted", F.explode(F.array_distinct(_grams(F.col("wanted"), GRAM))).alias("gram"))
+    rarest = longer.join(index, "gram", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    anchored = cut_lineage(rarest.select("wanted", "rarest.gram", "rarest.n").filter("n > 0"))
+    postings = names.select("tid", "name", F.explode(F.array_distinct(_grams(F.col("name"), GRAM))).alias("gram"))
+    found = F.contains(F.col("name"), F.col("wanted"))
+    if anchored.limit(limit + 1).count() <= limit:
+        hits = postings.join(F.broadcast(anchored.select("wanted", "gram")), "gram").filter(found)
+    else:
+        # at most 10 000 trigrams can each be a ten-thousandth of all postings
+        total = index.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        least = max(lookup_rows or C.LOOKUP_ROWS, total // 10_000)
+        hot = anchored.filter(F.col("n") > least).select("gram", F.ceil(F.col("n") / least).cast("int").alias("salts")).distinct()
+        dealt = lambda df, salt: df.join(F.broadcast(hot), "gram", "left").withColumn("salt", salt).drop("salts")
+        own = F.pmod(F.xxhash64("tid"), F.coalesce("salts", F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        asked = dealt(anchored.select("wanted", "gram"), every)
+        hits = dealt(postings.join(anchored.select("gram").distinct(), "gram", "left_semi"), own).join(asked, ["gram", "salt"]).filter(found)
+    answers = whole.select("wanted", "tid").unionByName(short).unionByName(hits.select("wanted", "tid"))
+    answers = answers.filter("tid is not null").groupBy("wanted").agg(F.min("tid").alias("tid"))
+    return wanted.join(answers, "wanted").select("qid", "tid")
 
 
 def recommend_by_title(requests: DataFrame, movies: DataFrame, model: Model, encoder: Encoder) -> DataFrame:

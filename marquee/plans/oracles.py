@@ -619,6 +619,12 @@ ORACLES["recommend_status"] = searched(
 NAMED = """select qid, min(tid) as tid from (select min(p_partkey)::bigint as qid, p_name from part group by p_name)
          join films on contains(lower(title), lower(p_name)) group by qid"""
 ORACLES["title_lookup"] = with_(CATALOGUE, select=NAMED)
+ORACLES["title_fragments"] = with_(
+    CATALOGUE,
+    select="""select qid, min(tid) as tid from (select p_partkey::bigint as qid, substr(lower(p_name), (1 + p_partkey % 7)::bigint, (p_partkey % 9)::bigint) as piece
+              from part) join films on contains(lower(title), piece) group by qid""",
+)
+ORACLES["title_fragments_by_join"] = ORACLES["title_fragments"]
 ORACLES["recommend_by_title"] = searched(
     items(f"select qid, tid, 10 as m, true as cultural from ({NAMED})"), OTHERS, select=f"select {HIT} from others where place <= m"
 )

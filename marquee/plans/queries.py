@@ -568,11 +568,7 @@ def query_loc_vector(spark, sf_dir):
 def query_genre_vector(spark, sf_dir):
     _, model = W.stored_model(spark, sf_dir)
     encoded = S.encode_requests(_resolved(spark, sf_dir), model, W.ENCODER)
-    passes = [S.neighbour_genres(rows, model) for rows in S.request_passes(encoded)]
-    result = passes[0]
-    for more in passes[1:]:
-        result = result.unionByName(more)
-    return entries(result, "genre", "qid")
+    return entries(S.neighbour_genres(cut_lineage(encoded), model), "genre", "qid")
 
 
 # --- search and recommendation ---------------------------------------------------------------------------------------
@@ -643,6 +639,20 @@ def title_lookup(spark, sf_dir):
     return S.titles_by_text(W.title_requests(spark, sf_dir), films)
 
 
+@query
+def title_fragments(spark, sf_dir):
+    """Empty, short and inner pieces of names as requests."""
+    films, _ = W.stored_model(spark, sf_dir)
+    return S.titles_by_text(W.fragment_requests(spark, sf_dir), films)
+
+
+@query
+def title_fragments_by_join(spark, sf_dir):
+    """The route of many requests, with frequent trigrams dealt over several tasks."""
+    films, _ = W.stored_model(spark, sf_dir)
+    return S.titles_by_text(W.fragment_requests(spark, sf_dir), films, broadcast_rows=0, lookup_rows=50)
+
+
 @query
 def recommend_status(spark, sf_dir):
     films, model = W.stored_model(spark, sf_dir)

@@ -252,6 +252,13 @@ def title_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fragment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One title request per part: up to eight characters from inside its name, none for every ninth."""
+    key = F.col("p_partkey")
+    cut = F.substring(F.upper("p_name"), (1 + key % 7).cast("int"), (key % 9).cast("int"))
+    return table(spark, sf_dir, "part").select(key.cast("long").alias("qid"), cut.alias("title"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One located user per user of the events table."""
     key = F.col("user_id")

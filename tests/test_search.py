@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marquee import config as C
 from marquee.operators import search as S
 from marquee.operators.requests import resolve_recommend, resolve_search
-from marquee.operators.scoring import RequestBlock, top_k
+from marquee.operators.scoring import top_k
 from marquee.plans import views as W
 
 
@@ -14,8 +14,11 @@ def item_table(spark, matrix, partitions):
     return spark.createDataFrame(rows, "tid long, plot array<float>, n2 double").repartition(partitions)
 
 
-def cosine_block(queries):
-    return RequestBlock(np.arange(len(queries)) * 10, queries, np.ones((len(queries), 1)), np.linalg.norm(queries, axis=1))
+def asked_table(spark, queries, k):
+    """``k``: one number, or one for each query."""
+    wanted = [k] * len(queries) if isinstance(k, int) else k
+    rows = [(i * 10, wanted[i], [float(x) for x in q]) for i, q in enumerate(queries)]
+    return spark.createDataFrame(rows, "qid long, k int, plot array<double>")
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 17])
@@ -27,7 +30,8 @@ def test_top_k_is_exact(spark, monkeypatch, partitions, k):
     rng = np.random.default_rng(3)
     matrix = rng.integers(-1, 2, (300, 4)).astype(float)  # many ties and some zero vectors
     queries = rng.normal(size=(7, 4))
-    got = top_k(item_table(spark, matrix, partitions), cosine_block(queries), ["plot"], ["n2"], k).collect()
+    monkeypatch.setattr(C, "REQUESTS_PER_BLOCK", 3)
+    got = top_k(item_table(spark, matrix, partitions), asked_table(spark, queries, k), ["plot"], ["n2"], 4).collect()
     for number, q in enumerate(queries):
         norms = np.maximum(np.linalg.norm(matrix, axis=1) * np.linalg.norm(q), 1e-12)
         scores = np.round(matrix @ q / norms, 9)
@@ -43,8 +47,8 @@ def test_factorised_score_equals_concatenation(spark, sf_dir):
     asked = W.benchmark_requests(spark, sf_dir)
     resolved = resolve_search(asked).filter("error_code = 0")
     encoded = S.encode_requests(resolved, model, W.ENCODER)
-    rows = next(iter(S.request_passes(encoded)))
-    near = S.neighbour_genres(rows, model).toPandas().set_index("qid")["genre"]
+    rows = encoded.toPandas()
+    near = S.neighbour_genres(encoded, model).toPandas().set_index("qid")["genre"]
     parts = model.components.orderBy("tid").toPandas()
     ranked = S.rank_items(encoded, model).toPandas()
     for row in rows.itertuples():
@@ -62,7 +66,7 @@ def test_factorised_score_equals_concatenation(spark, sf_dir):
         assert (mine["similarity"].abs() <= 1 + 1e-9).all()
 
 
-def test_several_passes_equal_one(spark, sf_dir, monkeypatch):
+def test_several_blocks_equal_one(spark, sf_dir, monkeypatch):
     films, model = W.stored_model(spark, sf_dir)
     asked = W.benchmark_requests(spark, sf_dir)
 
@@ -71,9 +75,9 @@ def test_several_passes_equal_one(spark, sf_dir, monkeypatch):
         return sorted((r["qid"], r["rank"], r["tid"], r["similarity"]) for r in found.collect())
 
     whole = run(asked)
-    monkeypatch.setattr(C, "REQUESTS_PER_PASS", 25)
-    passes = list(S.request_passes(S.encode_requests(resolve_search(asked).filter("error_code = 0"), model, W.ENCODER)))
-    assert len(passes) > 1
+    monkeypatch.setattr(C, "REQUESTS_PER_BLOCK", 25)
+    monkeypatch.setattr(C, "CELL_BYTES", 50_000)
+    monkeypatch.setattr(C, "CELL_TASKS", 7)
     assert run(asked) == whole
     alone = asked.filter(F.col("qid") == whole[0][0])
     assert run(alone) == [r for r in whole if r[0] == whole[0][0]]
@@ -96,8 +100,8 @@ def test_filters_hold_before_the_ranking(spark, sf_dir):
 
 def test_top_k_is_limited_before_the_shuffle(spark, sf_dir):
     _, model = W.stored_model(spark, sf_dir)
-    block = cosine_block(np.eye(3, 64))
-    plan = top_k(model.components, block, ["plot"], ["plot_n2"], 5)._jdf.queryExecution().executedPlan().toString()
+    asked = asked_table(spark, np.eye(3, 64), 5)
+    plan = top_k(model.components, asked, ["plot"], ["plot_n2"], 64)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert "ReadSchema: struct<tid:bigint,plot:array<float>,plot_n2:double>" in plan
 
@@ -133,6 +137,51 @@ def test_recommend_resolution(spark):
     assert got[4]["error_code"] == C.ERROR_INVALID_ID and got[1]["source"] == 5
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_does_not_grow_with_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    items, asked = item_table(spark, rng.normal(size=(50, 4)), 2), asked_table(spark, rng.normal(size=(40, 4)), 3)
+    lines = []
+    for size in (100, 4, 1):
+        monkeypatch.setattr(C, "REQUESTS_PER_BLOCK", size)
+        lines.append(len([x for x in plan_of(top_k(items, asked, ["plot"], ["n2"], 4)).splitlines() if "Generate" not in x]))
+    assert max(lines) - min(lines) <= 4  # only the copies of one side appear
+
+
+def test_each_request_has_its_own_number(spark):
+    rng = np.random.default_rng(5)
+    found = top_k(item_table(spark, rng.normal(size=(30, 4)), 3), asked_table(spark, rng.normal(size=(4, 4)), [1, 7, 0, 100]), ["plot"], ["n2"], 4)
+    assert {r["qid"]: r["count"] for r in found.groupBy("qid").count().collect()} == {0: 1, 10: 7, 30: 30}
+
+
+def test_request_without_a_vector_is_answered(spark, sf_dir):
+    from marquee.operators.encoders import JoinEncoder
+
+    films, model = W.stored_model(spark, sf_dir)
+    asked = W.benchmark_requests(spark, sf_dir).select("qid", "query").limit(6)
+    some = W.ENCODER.encode(asked.filter("qid % 2 = 0"), "qid", F.col("query"), "v")
+    found = S.batch_search(asked, films, model, JoinEncoder(some, "qid", "v"))
+    assert {r["qid"] for r in found.select("qid").distinct().collect()} == {r["qid"] for r in asked.collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "lookup_rows": 1}])
+def test_lookup_equals_plain_search(spark, options):
+    import random
+
+    random.seed(1)
+    names = ["".join(random.choice("abcÉ ") for _ in range(random.randrange(12))) for _ in range(150)] + [None, "a" * 30]
+    movies = [(i * 7 % 1000, n) for i, n in enumerate(names)]
+    texts = [n[a:b].swapcase() for n in names if n for a in (0, 2, 5) for b in (3, 6, 12)] + ["", None, "zzz", "abcx", "a" * 10] * 3
+    got = S.titles_by_text(spark.createDataFrame(list(enumerate(texts)), "qid long, title string"), spark.createDataFrame(movies, "tid long, title string"), **options)
+    held = [(t, n.lower()) for t, n in movies if n is not None]
+    want = {i: min((k for k, n in held if t.lower() in n), default=None) for i, t in enumerate(texts) if t is not None}
+    assert {r["qid"]: r["tid"] for r in got.collect()} == {i: k for i, k in want.items() if k is not None}
+    assert S.titles_by_text(spark.createDataFrame([(1, "")], "qid long, title string"), spark.createDataFrame([], "tid long, title string"), **options).collect() == []
+
+
 def test_titles_by_text(spark):
     movies = spark.createDataFrame([(5, "The (Big) One"), (3, "Big+"), (9, "Éclair"), (1, None)], "tid long, title string")
     asked = spark.createDataFrame(
@@ -159,10 +208,10 @@ def test_empty_batch(spark, sf_dir):
 def test_sample_bars_do_not_change_the_result(spark):
     rng = np.random.default_rng(8)
     items = item_table(spark, rng.integers(-1, 2, (300, 4)).astype(float), 5)
-    block = cosine_block(rng.normal(size=(6, 4)))
+    asked = asked_table(spark, rng.normal(size=(6, 4)), [9, 1, 30, 9, 9, 400])
 
     def run(sample):
-        return sorted(map(tuple, top_k(items, block, ["plot"], ["n2"], 9, sample).collect()))
+        return sorted(map(tuple, top_k(items, asked, ["plot"], ["n2"], 4, sample).collect()))
 
     assert run(items.filter("tid % 7 = 0")) == run(None)
     assert run(items.filter("tid < 4")) == run(None)
