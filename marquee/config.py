@@ -48,6 +48,8 @@ RECOMMEND_RESULTS = 10
 YEAR_FROM_DEFAULT = 1900
 YEAR_TO_DEFAULT = 2030
 
+KMEANS_STARTS = 10
+
 ELIGIBLE_TYPES = ["movie", "tvMovie"]
 MIN_YEAR = 1970
 MIN_VOTES = 2500

@@ -18,7 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BLOCK_ROWS
+from ..config import BLOCK_ROWS, KMEANS_STARTS
 from ..session import cut_lineage
 
 MOST_PASSES = 1000  # every pass lowers some group's inertia, so this is an alarm and not a limit
@@ -35,36 +35,43 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _assigned(points: pd.DataFrame, centres: pd.DataFrame) -> Iterator[tuple]:
-    """``(gid, keys, vectors, clusters, centre index, distance)`` of every group of a bucket."""
+    """``(gid, keys, vectors, starts, clusters, label, distance)`` of every group of a bucket; label (a place in ``clusters``) and distance
+    have a row for each start."""
     if points.empty or centres.empty:
         return
     points = points.sort_values(["gid", "tid"], kind="stable")
-    centres = centres.sort_values(["gid", "cluster"], kind="stable")
+    centres = centres.sort_values(["gid", "start", "cluster"], kind="stable")
     vectors = np.vstack(points["v"].to_numpy()).astype(np.float64)
     matrix = np.vstack(centres["centre"].to_numpy())
-    keys, clusters = points["tid"].to_numpy(), centres["cluster"].to_numpy()
+    keys, clusters, starts = points["tid"].to_numpy(), centres["cluster"].to_numpy(), centres["start"].to_numpy()
     of_point, of_centre = points["gid"].to_numpy(), centres["gid"].to_numpy()
-    groups, starts = np.unique(of_point, return_index=True)
-    ends = np.append(starts[1:], len(of_point))
+    groups, begins = np.unique(of_point, return_index=True)
+    ends = np.append(begins[1:], len(of_point))
     first, last = np.searchsorted(of_centre, groups, "left"), np.searchsorted(of_centre, groups, "right")
-    for gid, a, b, c, d in zip(groups, starts, ends, first, last):
-        label, distance = _nearest(vectors[a:b], matrix[c:d])
-        yield gid, keys[a:b], vectors[a:b], clusters[c:d], label, distance
+    for gid, a, b, c, d in zip(groups, begins, ends, first, last):
+        if c == d:
+            continue  # all starts of the group have settled
+        own = np.unique(starts[c:d])
+        runs = [c + np.flatnonzero(starts[c:d] == s) for s in own]
+        found = [_nearest(vectors[a:b], matrix[run]) for run in runs]
+        yield gid, keys[a:b], vectors[a:b], own, [clusters[run] for run in runs], [x[0] for x in found], [x[1] for x in found]
 
 
 def _partial_sums(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for gid, _, vectors, clusters, label, distance in _assigned(points, centres):
-        for i in np.unique(label):
-            mine = label == i
-            rows.append((gid, clusters[i], mine.sum(), vectors[mine].sum(0), distance[mine].sum()))
-    return pd.DataFrame(rows, columns=["gid", "cluster", "n", "total", "inertia"])
+    for gid, _, vectors, starts, clusters, labels, distances in _assigned(points, centres):
+        for start, names, label, distance in zip(starts, clusters, labels, distances):
+            order = np.argsort(label, kind="stable")
+            used, lead, n = np.unique(label[order], return_index=True, return_counts=True)
+            totals, inertia = np.add.reduceat(vectors[order], lead), np.add.reduceat(distance[order], lead)
+            rows += [(gid, start, names[i], *x) for i, *x in zip(used, n, totals, inertia)]
+    return pd.DataFrame(rows, columns=["gid", "start", "cluster", "n", "total", "inertia"])
 
 
 def _labels(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
     parts = [
-        pd.DataFrame({"tid": keys, "gid": gid, "cluster": clusters[label], "distance": distance})
-        for gid, keys, _, clusters, label, distance in _assigned(points, centres)
+        pd.DataFrame({"tid": keys, "gid": gid, "cluster": clusters[0][label[0]], "distance": distance[0]})
+        for gid, keys, _, _, clusters, label, distance in _assigned(points, centres)
     ]
     return pd.concat(parts) if parts else pd.DataFrame(columns=["tid", "gid", "cluster", "distance"])
 
@@ -80,12 +87,15 @@ def grouped_kmeans(
     most_clusters: int,
     passes: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    starts: int = KMEANS_STARTS,
 ) -> DataFrame:
     """Cluster ``points(grp, tid, v)`` within each ``grp``; returns ``(tid, grp, cluster, k, distance)``.
 
-    Groups whose ``clusters`` is 1 or less are left out. Starting centres are the members with the smallest key hashes,
-    so results do not depend on partitioning. A centre that loses all members stays where it is. Without ``passes`` the loop
-    runs until the sizes and inertias of all clusters stay the same.
+    Groups whose ``clusters`` is 1 or less are left out. Each group is clustered from ``starts`` sets of centres, and the one with the
+    smallest inertia (to six digits; the first of equals) gives the labels. The centres of start 0 are the members with the smallest
+    digests of their key, those of start ``s`` by the digest of ``s:key``, so results do not depend on partitioning. All starts of all
+    groups share a pass over the vectors; those that have settled are left out of the next. A centre that loses all members stays where it
+    is. Without ``passes`` the loop runs until the sizes and inertias of all clusters stay the same.
     """
     spark = points.sparkSession
     sized = group_plan(points, clusters).filter(F.col("k") > 1)
@@ -115,20 +125,23 @@ def grouped_kmeans(
     blocks.count()  # a pass planned before the cache exists would shuffle and sort the vectors again
     # The k smallest of n uniform hashes lie below (2k + 128) / n but for a chance under e^-50: whatever the size of a
     # group, only that many members are compared.
-    hashed = F.conv(F.substring(F.md5(F.col("tid").cast("string")), 1, 13), 16, 10).cast("long")
-    near_zero = hashed.cast("double") / 2.0**52 * F.col("members") <= 2 * F.col("k") + 128
-    by_hash = Window.partitionBy("gid").orderBy(hashed, "tid")
+    text = F.when(F.col("start") == 0, F.col("tid").cast("string")).otherwise(F.concat_ws(":", "start", "tid"))
+    hashed = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+    near_zero = F.col("hashed").cast("double") / 2.0**52 * F.col("members") <= 2 * F.col("k") + 128
+    by_hash = Window.partitionBy("gid", "start").orderBy("hashed", "tid")
     seeds = (
-        chosen.filter(near_zero)
+        chosen.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+        .withColumn("hashed", hashed)
+        .filter(near_zero)
         .withColumn("place", F.row_number().over(by_hash))
         .filter((F.col("place") <= most_clusters) & (F.col("place") <= F.col("k")))
-        .select("gid", (F.col("place") - 1).alias("cluster"), F.col("v").cast("array<double>").alias("centre"))
+        .select("gid", "start", (F.col("place") - 1).alias("cluster"), F.col("v").cast("array<double>").alias("centre"))
     )
-    unknown = [F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("inertia")]
+    unknown = [F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("inertia"), F.lit(True).alias("live")]
     centres = cut_lineage(seeds.select("*", *unknown))
     started = centres.groupBy("gid").agg(F.count("*").alias("seeds"))
     wanted = F.least(F.col("k"), F.col("members"), F.lit(most_clusters))
-    if plan.join(started, "gid", "left").filter(F.coalesce("seeds", F.lit(0)) < wanted).limit(1).count():
+    if plan.join(started, "gid", "left").filter(F.coalesce("seeds", F.lit(0)) < wanted * starts).limit(1).count():
         raise RuntimeError("a group has fewer starting centres than clusters")
     where = (
         plan.select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -137,43 +150,47 @@ def grouped_kmeans(
     )
 
     def against_blocks(current: DataFrame, fn, schema: str) -> DataFrame:
-        spread = current.select("gid", "cluster", "centre").join(where, "gid").groupBy("bucket")
+        spread = current.select("gid", "start", "cluster", "centre").join(where, "gid").groupBy("bucket")
         return blocks.groupBy("bucket").cogroup(spread).applyInPandas(fn, schema)
 
     for _ in range(MOST_PASSES if passes is None else passes):
         sums = against_blocks(
-            centres, _partial_sums, "gid long, cluster int, n long, total array<double>, inertia double"
+            centres.filter("live"), _partial_sums, "gid long, start int, cluster int, n long, total array<double>, inertia double"
         )
-        moved = sums.groupBy("gid", "cluster").agg(
+        moved = sums.groupBy("gid", "start", "cluster").agg(
             F.sum("n").alias("n"),
             vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
             F.sum("inertia").alias("inertia"),
         )
-        before = centres.select("gid", "cluster", "centre", F.col("n").alias("n0"), F.col("inertia").alias("inertia0"))
+        before = centres.filter("live").select("gid", "start", "cluster", "centre", F.col("n").alias("n0"), F.col("inertia").alias("inertia0"))
         mean = F.transform("total", lambda x: x / F.col("n"))
         n, inertia = F.coalesce("n", F.lit(0)), F.coalesce("inertia", F.lit(0.0))
         same = (n == F.col("n0")) & (F.abs(inertia - F.col("inertia0")) <= 1e-9 * F.greatest(F.lit(1.0), "inertia0"))
-        centres = cut_lineage(
-            before.join(moved, ["gid", "cluster"], "left").select(
-                "gid",
-                "cluster",
-                F.when(n > 0, mean).otherwise(F.col("centre")).alias("centre"),
-                n.alias("n"),
-                inertia.alias("inertia"),
-                F.coalesce(~same, F.lit(True)).alias("changed"),
-            )
+        after = before.join(moved, ["gid", "start", "cluster"], "left").select(
+            "gid",
+            "start",
+            "cluster",
+            F.when(n > 0, mean).otherwise(F.col("centre")).alias("centre"),
+            n.alias("n"),
+            inertia.alias("inertia"),
+            F.coalesce(~same, F.lit(True)).alias("changed"),
         )
-        if not centres.filter("changed").limit(1).count():
+        live = F.max("changed").over(Window.partitionBy("gid", "start")).alias("live")
+        centres = cut_lineage(centres.filter(~F.col("live")).unionByName(after.select("*", live).drop("changed")))
+        if not centres.filter("live").limit(1).count():
             break
     else:
         if passes is None:
             raise RuntimeError(f"clusters still change after {MOST_PASSES} passes")
+    spread = centres.groupBy("gid", "start").agg(F.round(F.coalesce(F.sum("inertia"), F.lit(0.0)), 6).alias("inertia"))
+    best = spread.groupBy("gid").agg(F.min(F.struct("inertia", "start"))["start"].alias("start"))
+    centres = centres.join(best, ["gid", "start"])
     labels = cut_lineage(against_blocks(centres, _labels, "tid long, gid long, cluster int, distance double"))
     blocks.unpersist()
     return labels.join(plan, "gid").select("tid", "grp", "cluster", "k", "distance")
 
 
-def table_kmeans(points: DataFrame, ids: DataFrame, clusters: int) -> DataFrame | None:
+def table_kmeans(points: DataFrame, ids: DataFrame, clusters: int, starts: int = KMEANS_STARTS) -> DataFrame | None:
     """Labels of ``ids(tid)`` from one K-means over ``points(tid, v)``; keys without a vector get label 0.
 
     The vectors are one group of ``grouped_kmeans``. None when there are no more vectors than clusters.
@@ -182,5 +199,5 @@ def table_kmeans(points: DataFrame, ids: DataFrame, clusters: int) -> DataFrame
     if used.limit(clusters + 1).count() <= clusters:
         return None
     one = used.select(F.array(F.lit(0)).alias("grp"), "tid", "v")
-    labels = grouped_kmeans(one, F.lit(clusters), clusters).select("tid", F.col("cluster").alias("label"))
+    labels = grouped_kmeans(one, F.lit(clusters), clusters, starts=starts).select("tid", F.col("cluster").alias("label"))
     return ids.select("tid").join(labels, "tid", "left").select("tid", F.coalesce("label", F.lit(0)).alias("label"))

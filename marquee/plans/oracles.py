@@ -1,6 +1,6 @@
 """SQL (DuckDB dialect) that gives the same rows as the named queries, written without looking at their plans.
 
-Queries without an entry have no SQL form (learned clusters) and are covered by property tests.
+Learned clusters are found by the same passes as a recursive query: their seeds are chosen by digest, so SQL can choose them too.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def pick(values: list[str], index: str) -> str:
 
 
 def with_(*parts: str, select: str) -> str:
-    return "with " + ",\n".join(parts) + "\n" + select
+    return "with recursive " + ",\n".join(parts) + "\n" + select
 
 
 STRIP = f"trim({{}}, {text(BLANKS)})"
@@ -112,6 +112,48 @@ def hashed(source: str, key: str, column: str, out: str, prefix: str = "") -> st
 {out} as (select {key}, list_transform(range(64), lambda i: coalesce(m[i], 0)::double / size) as p from {out}_maps)"""
 
 
+def kmeans(source: str, out: str) -> str:
+    """``{out}(gid, tid, cluster, k, distance)``: K-means within each group of ``source`` (gid, tid, v, k), ten starts, passes until no
+    centre moves, and the start with the smallest inertia."""
+    far = "list_transform({c}, lambda c: round(list_sum(list_transform(list_zip(c, {v}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9))"
+    return f"""
+{out}_points as materialized ({source}),
+{out}_seeds as (select gid, start, list(v order by place) as centres from (
+         select gid, start, v, k, row_number() over (partition by gid, start
+           order by substr(md5(case when start = 0 then tid::varchar else start || ':' || tid end), 1, 13), tid) as place
+         from {out}_points, range(10) as starts(start)) where place <= k group by gid, start),
+{out}_passes as (
+  select 0 as pass, gid, start, centres from {out}_seeds
+  union all
+  select pass + 1, gid, start, moved from (
+    select pass, gid, start, any_value(centres) as centres, map_from_entries(list((label, mean))) as means,
+      list_transform(range(1, len(any_value(centres)) + 1), lambda j: coalesce(map_from_entries(list((label, mean)))[j], any_value(centres)[j])) as moved
+    from (
+      select pass, gid, start, any_value(centres) as centres, label, list(x order by pos) as mean from (
+        select pass, gid, start, any_value(centres) as centres, label, pos, avg(x) as x from (
+          select pass, gid, start, centres, list_position(far, list_min(far)) as label, unnest(v) as x, generate_subscripts(v, 1) as pos from (
+            select pass, gid, start, centres, v, {far.format(c="centres", v="v")} as far
+            from {out}_passes join {out}_points using (gid)))
+        group by pass, gid, start, label, pos)
+      group by pass, gid, start, label)
+    group by pass, gid, start)
+  where list_max(list_transform(list_zip(moved, centres), lambda z: list_distance(z[1], z[2]))) > 1e-9),
+{out}_scored as (
+  select gid, start, tid, k, {far.format(c="centres", v="v")} as far
+  from (select gid, start, arg_max(centres, pass) as centres from {out}_passes group by gid, start) join {out}_points using (gid)),
+{out}_best as (
+  select gid, start from (select gid, start, sum(list_min(far)) as inertia from {out}_scored group by gid, start)
+  qualify row_number() over (partition by gid order by round(inertia, 6), start) = 1),
+{out} as (
+  select gid, tid, (list_position(far, list_min(far)) - 1)::int as cluster, k, list_min(far) as distance
+  from {out}_scored join {out}_best using (gid, start))"""
+
+
+def clusters(members: str, per_cluster: int, room: str) -> str:
+    """Number of sub-clusters of a group."""
+    return f"(case when {members} <= 1 then 1 else least({members}, greatest(2, {members} // {per_cluster}), greatest(1, {room})) end)::int"
+
+
 # --- sources, selection and parsing ----------------------------------------------------------------------------------
 
 RAW = """
@@ -358,6 +400,23 @@ ORACLES["grouped_kmeans_plan"] = with_(
        greatest(2, count(*) // 5), greatest(1, 128 - (select count(*) from gv))) end)::int as k, true as in_range
        from ga join embeddings on vec_id = tid group by a) where k > 1""",
 )
+GENRE_GROUPS = """
+ks as (select ga.tid, a, embedding::double[] as v, count(*) over (partition by a) as n, dense_rank() over (order by a) as gid
+         from ga join embeddings on vec_id = ga.tid)"""
+ORACLES["grouped_kmeans"] = with_(
+    TITLES,
+    features(),
+    GENRE_GROUPS,
+    kmeans(
+        f"select * from (select gid, tid, v, {clusters('n', 5, '128 - (select count(*) from gv)')} as k from ks) where k > 1", "km"
+    ),
+    select=f"select km.tid, {COMBO} as combo, cluster, k, {fixed('distance')} as distance from km join ks using (gid, tid)",
+)
+ORACLES["plot_kmeans"] = with_(
+    TITLES,
+    kmeans("select 0 as gid, tid, embedding::double[] as v, 16 as k from embeddings join titles on vec_id = tid", "km"),
+    select="select titles.tid, coalesce(cluster, 0)::int as label from titles left join km using (tid)",
+)
 ORACLES["cluster_signature"] = with_(
     TITLES,
     features(),
@@ -451,6 +510,42 @@ ORACLES["components"] = with_(
     "stacked as (select tid, list_concat(p, g, l, [o::float]) as v from items)",
     select=spread("stacked", "v", 225),
 )
+PLAIN_LOC = f"""
+lraw as (select tid, list_transform(range(128), lambda i: {wide_loc("a", "i")}) as w from la),"""
+PLAIN_GENRE = """list_transform(range(32), lambda i: case when list_contains(ga.a, i) then 1 / sqrt(len(list_filter(ga.a, lambda f: f < 32)))
+           else 0 end::float) as g"""
+
+
+def sub_clusters(active: str, out: str, per_cluster: int, room: str) -> str:
+    """``{out}(tid, cluster, k, digest)`` of the titles whose combination is clustered by plot."""
+    grouped = f"select * from (select gid, tid, v, {clusters('n', per_cluster, room)} as k from {out}_groups) where k > 1"
+    return f"""
+{out}_groups as (select tid, a, p as v, count(*) over (partition by a) as n, dense_rank() over (order by a) as gid
+         from {active} join hv using (tid)),
+{kmeans(grouped, out + "_km").strip()},
+{out} as (select tid, cluster, k, md5(md5({COMBO}) || '_' || cluster) as digest from {out}_km join {out}_groups using (gid, tid))"""
+
+
+TAILS = ",".join(
+    [
+        sub_clusters("la", "lt", 3, "128 - (select count(*) from cv) - (select count(*) from lv)"),
+        sub_clusters("ga", "gt", 5, "32 - (select count(*) from gv)"),
+        f"""
+lraw as (select la.tid, list_transform(range(128), lambda i: case when cluster is null or i < 112 then {wide_loc("a", "i")}
+         when i = 112 then cluster / (k - 1.0::double) * 0.3 else {byte("digest", "i - 113")} * (0.2::double / k) end) as w
+         from la left join lt using (tid)),
+graw as (select tid, list_transform(range(32), lambda i: case when i < size then list_contains(a, i)::int::double
+         when cluster is not null and i < size + 8 then {byte("digest", "i - size")} * 0.5 else 0 end) as gw
+         from (select tid, a, cluster, digest, (select count(*) from gv) as size from ga left join gt using (tid))),""",
+    ]
+)
+UNIT_GENRE = "list_transform(gw, lambda x: (x / greatest(sqrt(list_dot_product(gw, gw)), 1e-12))::float) as g"
+CLUSTERED = CATALOGUE.replace(PLAIN_LOC, TAILS).replace(PLAIN_GENRE, UNIT_GENRE).replace("join lraw using (tid)", "join lraw using (tid) join graw using (tid)")
+ORACLES["clustered_components"] = with_(
+    CLUSTERED,
+    "stacked as (select tid, list_concat(p, g, l, [o::float]) as v from items)",
+    select=spread("stacked", "v", 225),
+)
 ORACLES["component_quality"] = with_(
     CATALOGUE,
     select="select count(*) as titles, (select count(*) from items) as components, 0::bigint as missing from films",
@@ -567,6 +662,9 @@ found as (select * from kept where rank <= m)"""
 ORACLES["search_filtered"] = searched(
     BENCH, FILTERED, select=f"select {HIT}, {MATCH} from found join films using (tid)"
 )
+ORACLES["clustered_search"] = with_(
+    CLUSTERED, BENCH, QUERY_VECTORS, RANKED, FILTERED, select=f"select {HIT} from found join films using (tid)"
+)
 ORACLES["search_records"] = searched(
     BENCH,
     FILTERED,

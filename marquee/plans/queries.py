@@ -389,7 +389,7 @@ def join_encode(spark, sf_dir):
 
 @query
 def grouped_kmeans(spark, sf_dir):
-    """Sub-clusters of every genre combination; labels are checked by their properties, not by value."""
+    """Sub-clusters of every genre combination."""
     from ..operators.kmeans import grouped_kmeans as run
 
     active, sizes = _active(spark, sf_dir, {"genre": "genre"})
@@ -534,11 +534,8 @@ def components(spark, sf_dir):
 def clustered_components(spark, sf_dir):
     """Components with plot-driven sub-clusters in the genre and localisation vectors."""
     _, model = W.stored_model(spark, sf_dir, subclusters=True)
-    return model.components.select(
-        "tid",
-        *[fixed(F.col(n)).alias(n) for n in ("plot_n2", "genre_n2", "loc_n2")],
-        fixed(F.col("pop")).alias("pop"),
-    )
+    stacked = F.concat("plot", "genre", "loc", F.array(F.col("pop").cast("float")))
+    return entries(model.components.select("tid", stacked.alias("v")), "v")
 
 
 @query

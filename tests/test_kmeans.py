@@ -26,7 +26,7 @@ def labels(df):
 
 
 def test_contract(points):
-    got = labels(grouped_kmeans(points, K(), 8))
+    got = labels(grouped_kmeans(points, K(), 8, starts=2))
     rows = points.collect()
     sizes = {}
     for r in rows:
@@ -38,48 +38,61 @@ def test_contract(points):
         assert k == min(n, max(2, n // 5), 8) and 0 <= cluster < k
 
 
-def lloyd(rows, k):
-    """Labels at convergence, from the members with the smallest key digests."""
-    rows = sorted(rows, key=lambda r: hashlib.md5(str(r["tid"]).encode()).hexdigest()[:13])
+def lloyd(rows, k, start=0):
+    """Labels and inertia at convergence, from the members with the smallest digests of a start."""
+    digest = lambda r: hashlib.md5((f"{start}:{r['tid']}" if start else str(r["tid"])).encode()).hexdigest()[:13]
+    rows = sorted(rows, key=digest)
     x = np.array([r["v"] for r in rows])
     centres, label = x[:k].copy(), None
     while True:
-        new = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        far = ((x[:, None] - centres[None]) ** 2).sum(2)
+        new = far.argmin(1)
         if label is not None and (new == label).all():
-            return {r["tid"]: int(c) for r, c in zip(rows, label, strict=True)}
+            return {r["tid"]: int(c) for r, c in zip(rows, label, strict=True)}, far.min(1).sum()
         label = new
         for c in set(label.tolist()):
             centres[c] = x[label == c].mean(0)
 
 
-def test_converges_to_what_plain_passes_give(points):
-    found = labels(grouped_kmeans(points, K(), 8))
+def best_of(rows, k, starts):
+    return min((lloyd(rows, k, s) for s in range(starts)), key=lambda x: round(x[1], 6))
+
+
+@pytest.mark.parametrize("starts", [1, 10])
+def test_converges_to_what_plain_passes_give(points, starts):
+    found = labels(grouped_kmeans(points, K(), 8, starts=starts))
     groups = {}
     for r in points.collect():
         groups.setdefault(tuple(r["grp"]), []).append(r)
     for rows in groups.values():
         if len(rows) > 1:
-            expected = lloyd(rows, found[rows[0]["tid"]][2])
+            expected, inertia = best_of(rows, found[rows[0]["tid"]][2], starts)
             assert {r["tid"]: found[r["tid"]][1] for r in rows} == expected
-    whole = table_kmeans(points.select("tid", "v"), points.select("tid"), 5)
-    assert {r["tid"]: r["label"] for r in whole.collect()} == lloyd(points.collect(), 5)
+            assert inertia <= lloyd(rows, found[rows[0]["tid"]][2])[1] + 1e-6
+    whole = table_kmeans(points.select("tid", "v"), points.select("tid"), 5, starts)
+    assert {r["tid"]: r["label"] for r in whole.collect()} == best_of(points.collect(), 5, starts)[0]
+
+
+def test_more_starts_are_never_worse(points):
+    total = [sum(d for *_, d in labels(grouped_kmeans(points, K(), 8, starts=s)).values()) for s in (1, 4, 10)]
+    assert total[0] > total[1] - 1e-6 and total[1] > total[2] - 1e-6 and total[0] > total[2]
 
 
 def test_better_than_seeds(points):
     def inertia(passes):
-        return sum(d for *_, d in labels(grouped_kmeans(points, K(), 8, passes=passes)).values())
+        return sum(d for *_, d in labels(grouped_kmeans(points, K(), 8, passes=passes, starts=1)).values())
 
     assert inertia(None) < inertia(3) < inertia(0)
 
 
 @pytest.mark.parametrize("partitions", [1, 17])
 def test_same_for_any_partitioning(points, partitions):
-    base = labels(grouped_kmeans(points.repartition(4), K(), 8))
-    assert labels(grouped_kmeans(points.repartition(partitions), K(), 8)) == base
+    base = labels(grouped_kmeans(points.repartition(4), K(), 8, starts=2))
+    assert labels(grouped_kmeans(points.repartition(partitions), K(), 8, starts=2)) == base
 
 
 def test_salted_hot_group_gives_the_same(points):
-    assert labels(grouped_kmeans(points, K(), 8, block_rows=16)) == labels(grouped_kmeans(points, K(), 8))
+    assert labels(grouped_kmeans(points, K(), 8, block_rows=16, starts=2)) == labels(grouped_kmeans(points, K(), 8, starts=2))
 
 
 def test_no_group_to_cluster(points):
@@ -89,7 +102,7 @@ def test_no_group_to_cluster(points):
 
 def test_table_kmeans(points):
     ids = points.select("tid").union(points.select(F.col("tid") + 1000))
-    got = table_kmeans(points.select("tid", "v"), ids, 5)
+    got = table_kmeans(points.select("tid", "v"), ids, 5, 2)
     assert got.count() == 800
     assert got.filter("tid >= 1000").select("label").distinct().collect()[0][0] == 0
     assert got.select("label").distinct().count() == 5
