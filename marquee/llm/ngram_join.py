@@ -9,12 +9,18 @@ the same way everywhere, the first ``d + 1`` non-empty parts of each set must sh
 with fewer gives all of them, and its first ``d + 1`` shingles as parts of their own). Parts made only of frequent shingles come
 last in that order, so a passage that many documents share brings no candidates. No link is lost, whatever is frequent.
 
-*Verification.* Candidates of one part are tied to its smallest set first (linear in the part). Pairs that pass the sketch test are
-decided on the sets themselves. Parts that then still hold several components are completed: members outside the largest
-component meet all others of their part in blocks, and their nearest partners that pass the sketch test are verified, in each step
-eight times as many, until no untried pair across components passes. Components are therefore those of all links.
-
-Sets are identified by 128-bit hashes, so copies are one set. Nothing grows with a group in one task or on the driver.
+*Verification.* Candidates of one part are tied to its pivot first (linear in the part). Pairs that pass the sketch test are
+decided on the sets themselves.
+
+*Large parts.* A passage that many documents share makes large parts that are nearly the same, and whose members need not be alike. The
+members of all large parts are therefore dealt again, by their rarest shingles (``by_rarest_shingles``): counted among these
+members, the first ``n - ceil(s * n) + 1`` shingles of two linked sets in the order of their counts share one (``s`` is the similarity),
+also if only ``n - ceil(2 * s / (1 + s) * n) + 1`` of the smaller are taken; documents that have only the passage in common share none. Groups that are still large and hold several components are completed: members
+outside the largest component meet all others of their group in blocks, and their nearest partners that pass the sketch test are verified,
+in each step eight times as many, until no untried pair across components passes. Components are therefore those of all links.
+
+Sets are identified by 128-bit hashes, so copies are one set. Signatures and shingles travel as packed arrays, one row per task and
+slot; a slot is bounded by the number of slots unless very many distinct sets share a part.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ SMALL_RUN = 8
 PIVOT_ROWS = 64
 BROADCAST_ROWS = 200_000
 ASK_ROWS, TELL_ROWS = 256, 4096  # of a block in which members of a large part meet
+CHUNK = 8192  # members of a large part in one row
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MAX_BAND = 200
 STEPS = 24  # completion tries eight times as many partners in each step, so this is never reached
@@ -260,41 +267,143 @@ def candidates(df: DataFrame, text: str, bands: Bands, frequent: np.ndarray) ->
             wide[:, :6] = raw
             keys.append(wide.view("<u8").ravel())
             owner.append(np.repeat(np.frombuffer(s.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)))
-        key, own = np.concatenate(keys), np.concatenate(owner)
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
-        same = key[1:] == key[:-1]
-        keep = np.append(same, False) | np.append(False, same)  # signatures of one row only are most of them
-        key, own = key[keep], own[keep]
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]
-        key, own = key[new], own[new]
-        lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
-        length = np.diff(np.append(lead, len(key)))
-        # a part's pivot is its member that meets most others: the text that near copies were made from
-        known, at, degree = np.unique(own, return_inverse=True, return_counts=True)
-        run = np.repeat(np.arange(len(lead)), length)
-        best = np.lexsort((own, -degree[at], run))[lead] if len(lead) else lead
-        pivot = np.repeat(own[best], length)
-        rest = pivot != own
-        star = np.unique(np.stack([pivot[rest], own[rest]], 1), axis=0)
-        pairs = []
-        for g in range(3, SMALL_RUN + 1):
-            block = own[lead[length == g][:, None] + np.arange(g)]
-            i, j = np.triu_indices(g, 1)
-            pairs.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        large = {own[a : a + n].tobytes() for a, n in zip(lead[length > SMALL_RUN], length[length > SMALL_RUN], strict=True)}
-        large = sorted(large)
-        a = np.concatenate([star[:, 0], pairs[:, 0], np.zeros(len(large), np.int64)])
-        b = np.concatenate([star[:, 1], pairs[:, 1], np.zeros(len(large), np.int64)])
-        kind = np.repeat([0, 1, 2], [len(star), len(pairs), len(large)]).astype(np.int32)
-        members = pa.array([None] * (len(star) + len(pairs)) + large, pa.binary())
-        return pa.table([pa.array(kind), pa.array(a), pa.array(b), members], ["kind", "a", "b", "members"])
+        return runs_of(np.concatenate(keys), np.concatenate(owner), int(table["slot"][0].as_py()))
 
     packed = df.select(text).mapInArrow(sign, "slot int, keys binary, sets binary, counts binary")
-    return packed.groupBy("slot").applyInArrow(meet, "kind int, a long, b long, members binary")
+    return packed.groupBy("slot").applyInArrow(meet, RUNS)
+
+
+RUNS = "kind int, a long, b long, members binary"
+
+
+def runs_of(key: np.ndarray, own: np.ndarray, slot: int) -> pa.Table:
+    """What the sets ``own`` of equal ``key`` have to be compared with: see ``candidates``."""
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], own[order]
+    same = key[1:] == key[:-1]
+    keep = (np.append(same, False) | np.append(False, same))[: len(key)]  # keys of one row only are most of them
+    key, own = key[keep], own[keep]
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]
+    key, own = key[new], own[new]
+    lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    length = np.diff(np.append(lead, len(key)))
+    # a part's pivot is its member that meets most others: the text that near copies were made from
+    known, at, degree = np.unique(own, return_inverse=True, return_counts=True)
+    run = np.repeat(np.arange(len(lead)), length)
+    best = np.lexsort((own, -degree[at], run))[lead] if len(lead) else lead
+    pivot = np.repeat(own[best], length)
+    rest = pivot != own
+    star = np.unique(np.stack([pivot[rest], own[rest]], 1), axis=0)
+    pairs = []
+    for g in range(3, SMALL_RUN + 1):
+        block = own[lead[length == g][:, None] + np.arange(g)]
+        i, j = np.triu_indices(g, 1)
+        pairs.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    seen, large = set(), []
+    for a, n in zip(lead[length > SMALL_RUN], length[length > SMALL_RUN], strict=True):
+        held = own[a : a + n].tobytes()
+        if held in seen:
+            continue  # the same members meet under another key
+        seen.add(held)
+        name = int(mix(key[a : a + 1] ^ mix(np.array([slot + 1], np.uint64))).view(np.int64)[0])
+        large += [(name, own[i : min(i + CHUNK, a + n)].tobytes()) for i in range(a, a + n, CHUNK)]
+    a = np.concatenate([star[:, 0], pairs[:, 0], np.array([x[0] for x in large], np.int64)])
+    b = np.concatenate([star[:, 1], pairs[:, 1], np.zeros(len(large), np.int64)])
+    kind = np.repeat([0, 1, 2], [len(star), len(pairs), len(large)]).astype(np.int32)
+    members = pa.array([None] * (len(star) + len(pairs)) + [x[1] for x in large], pa.binary())
+    return pa.table([pa.array(kind), pa.array(a), pa.array(b), members], ["kind", "a", "b", "members"])
+
+
+def deal(slot: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
+    """One row per slot: its number, and the bytes of each array."""
+    order = np.argsort(slot, kind="stable")
+    slot, arrays = slot[order], [x[order] for x in arrays]
+    lead = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))[: len(slot)]
+    ends = np.append(lead, len(slot))[1:]
+    return [(int(slot[a]), *(x[a:b].tobytes() for x in arrays)) for a, b in zip(lead, ends, strict=True)]
+
+
+def packed_rows(rows: list[tuple], names: list[str]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.table([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names)
+
+
+def unpacked(table: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]]) for name, kind in kinds.items()]
+
+
+def by_rarest_shingles(df: DataFrame, key: str, text: str, sets: DataFrame, found: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Rows as those of ``candidates`` for the members of its large parts, grouped by shingles instead of parts.
+
+    Three steps over packed arrays. Shingles are counted; those of two members or more go back to the members with their counts;
+    each member keeps the first of them in the order of counts that two linked sets must share one of (shingles that no other member has
+    come first and are only counted). Linked members of a part are both in ``found``, so no link is lost.
+    """
+    num, den = similarity
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64))], ["h1"])
+
+    known = found.filter("kind = 2").select("members").mapInArrow(members, "h1 long").distinct()
+    wanted = stored(sets.select("h1", "h2", "k").join(known, "h1"), "large-part-sets")
+    n = wanted.count()
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "k")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
+    bits = max(4, int(size // 6 // SLOT_SIGNATURES).bit_length())
+    slot = lambda x: (mix(x.view(np.uint64) ^ ODD) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_slices(batch.column(0)):
+                value, bounds = shingle_sets(batch.column(0).slice(a, b - a))
+                h1, h2 = set_ids(value, bounds)
+                fit = (h1 == batch.column(1).slice(a, b - a).to_numpy()) & (h2 == batch.column(2).slice(a, b - a).to_numpy())  # or another row of the key
+                length = np.diff(bounds)
+                keep = np.repeat(fit, length)
+                own, number = np.repeat(h1, length)[keep], np.repeat(length, length)[keep].astype(np.uint32)
+                rows = deal(slot(value[keep]), value[keep], own, number)
+                yield from packed_rows(rows, ["slot", "shingles", "sets", "sizes"]).to_batches()
+
+    def count(table: pa.Table) -> pa.Table:
+        value, own, number = unpacked(table, shingles=np.uint64, sets=np.int64, sizes=np.uint32)
+        order = np.lexsort((own, value))  # a key with several rows of one text names its set more than once
+        value, own, number = value[order], own[order], number[order]
+        new = np.append(True, (value[1:] != value[:-1]) | (own[1:] != own[:-1]))[: len(value)]
+        value, own, number = value[new], own[new], number[new]
+        _, at, times = np.unique(value, return_inverse=True, return_counts=True)
+        times = times[at].astype(np.uint32)
+        shared = times > 1
+        rows = deal(slot(own[shared]), value[shared], own[shared], number[shared], times[shared])
+        return packed_rows(rows, ["slot", "shingles", "sets", "sizes", "times"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        value, own, number, times = unpacked(table, shingles=np.uint64, sets=np.int64, sizes=np.uint32, times=np.uint32)
+        order = np.lexsort((value, times, own))
+        value, own, number = value[order], own[order], number[order].astype(np.int64)
+        lead = np.flatnonzero(np.append(True, own[1:] != own[:-1]))[: len(own)]
+        shared = np.diff(np.append(lead, len(own)))
+        place = np.arange(len(own)) - np.repeat(lead, shared)
+        first = number - -(-num * number // den) + 1 - (number - np.repeat(shared, shared))
+        keep = place < first
+        # the smaller of two linked sets shares more than its own part of the similarity: fewer of its shingles will do
+        short = place < first + -(-num * number // den) - -(-2 * num * number // (num + den))
+        return packed_rows(deal(slot(value[keep]), value[keep], own[keep], short[keep]), ["slot", "shingles", "sets", "short"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        value, own, short = unpacked(table, shingles=np.uint64, sets=np.int64, short=np.bool_)
+        _, at = np.unique(value, return_inverse=True)
+        keep = np.bincount(at, weights=short)[at] > 0
+        return runs_of(value[keep], own[keep], int(table["slot"][0].as_py()))
+
+    packed = texts.select("t", "h1", "h2").mapInArrow(shingled, "slot int, shingles binary, sets binary, sizes binary")
+    counted = packed.groupBy("slot").applyInArrow(count, "slot int, shingles binary, sets binary, sizes binary, times binary")
+    chosen = counted.groupBy("slot").applyInArrow(choose, "slot int, shingles binary, sets binary, short binary")
+    return chosen.groupBy("slot").applyInArrow(meet, RUNS)
 
 
 def pass_sketch(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -354,16 +463,15 @@ def verify(df: DataFrame, key: str, text: str, pairs: DataFrame, similarity: tup
 
 
 def part_members(large: DataFrame) -> DataFrame:
-    """``run, h1`` of each distinct large part."""
+    """``run, h1`` of the members of each large group."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(held, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(own)), pa.array(own)], ["run", "h1"])
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(own), pa.int64()), pa.array(own)], ["run", "h1"])
 
-    runs = large.withColumn("run", F.md5("members")).dropDuplicates(["run"])
-    return runs.select("run", "members").mapInArrow(members, "run string, h1 long")
+    return large.select("a", "members").mapInArrow(members, "run long, h1 long")
 
 
 def several_components(listed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -405,7 +513,7 @@ def complete(rows: DataFrame, labels: DataFrame, asking: DataFrame | None, faile
     def meet(table: pa.Table) -> pa.Table:
         side, n, h1, x, y = (table[c].to_numpy() for c in ("side", "n", "h1", "x", "y"))
         held, tried, names = table["sketch"].to_pylist(), table["tried"].to_pylist(), table["run"].to_pylist()
-        run = np.unique(np.array(names, object), return_inverse=True)[1]
+        run = np.array(names, np.int64)
         c = np.unique(np.array(table["c"].to_pylist(), object), return_inverse=True)[1]
         order = np.lexsort((y, x, run))
         cut = np.flatnonzero((np.diff(run[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)) + 1
@@ -432,9 +540,21 @@ def complete(rows: DataFrame, labels: DataFrame, asking: DataFrame | None, faile
                 high.append(np.maximum(h1[i], h1[others[near]]))
         pair = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], 1), axis=0)
         a, b = pa.array(np.append(pair[:, 0], np.array(more[0], np.int64))), pa.array([*pair[:, 1].tolist(), *[None] * len(more[0])], pa.int64())
-        return pa.table([a, b, pa.array([*[None] * len(pair), *more[1]], pa.string())], ["a", "b", "run"])
+        return pa.table([a, b, pa.array([*[None] * len(pair), *more[1]], pa.int64())], ["a", "b", "run"])
+
+    return placed.groupBy("bucket").applyInArrow(meet, "a long, b long, run long")
+
 
-    return placed.groupBy("bucket").applyInArrow(meet, "a long, b long, run string")
+def linked_through(df: DataFrame, key: str, text: str, pairs: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame | None]:
+    """The labels after the pairs ``a, b`` across components have been decided, and those pairs (None if there were none)."""
+    tag = lambda x: labels.select(F.col("node").alias(f"k{x}"), F.col("component").alias(f"c{x}"))
+    open_pairs = pass_sketch(pairs.distinct(), sets, bands).join(tag("a"), "ka", "left").join(tag("b"), "kb", "left")
+    open_pairs = open_pairs.filter(F.coalesce("ca", "ka") != F.coalesce("cb", "kb")).select("ka", "a", "h2a", "kb", "b", "h2b")
+    open_pairs = stored(open_pairs, "open-pairs")
+    if open_pairs.isEmpty():
+        return labels, None
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stars that stand for all links so far
+    return stored(components(known.union(verify(df, key, text, open_pairs, similarity))), "labels"), open_pairs
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -455,25 +575,27 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     ties = pass_sketch(found.filter("kind = 0").select("a", "b").distinct(), sets, bands)
     labels = stored(components(verify(df, key, text, ties, similarity)), "labels")
 
-    large = found.filter("kind = 2")
+    # members of large parts meet again by their rarest shingles, first with the pivots of those groups
     parts = None
-    if large.limit(1).count():
-        parts = stored(several_components(stored(part_members(large), "part-members"), sets, labels), "large-parts")
+    close = found.filter("kind = 1").select("a", "b")
+    if not found.filter("kind = 2").isEmpty():
+        again = stored(by_rarest_shingles(df, key, text, sets, found, similarity), "rare-groups")
+        close = close.union(again.filter("kind < 2").select("a", "b"))
+        if not again.filter("kind = 2").isEmpty():
+            labels = stored(linked_through(df, key, text, close, labels, sets, bands, similarity)[0], "labels")
+            close = None
+            listed = stored(part_members(again.filter("kind = 2")), "group-members")
+            parts = stored(several_components(listed, sets, labels), "large-groups")
     asking, failed = None, df.sparkSession.createDataFrame([], "a long, b long")
     for step in range(STEPS):
-        more = found.filter("kind = 1").select("a", "b").distinct() if step == 0 else None
+        more = close if step == 0 else None
         if parts is not None:
             wider = stored(complete(parts, labels, asking, failed, bands, 4 * 8**step), "partners")
             asking = wider.filter("b is null").select("run", F.col("a").alias("h1")).distinct()
             wider = wider.filter("b is not null").select("a", "b")
-            more = (wider if more is None else more.union(wider)).distinct()
-        tag = lambda x: labels.select(F.col("node").alias(f"k{x}"), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
-        more = pass_sketch(more, sets, bands).join(tag("a"), "ka", "left").join(tag("b"), "kb", "left")
-        more = more.filter(F.coalesce("ca", "ka") != F.coalesce("cb", "kb")).select("ka", "a", "h2a", "kb", "b", "h2b")
-        more = stored(more, "open-pairs")
-        if more.limit(1).count():
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stars that stand for all links so far
-            labels = stored(components(known.union(verify(df, key, text, more, similarity))), "labels")
+            more = wider if more is None else more.union(wider)
+        labels, more = linked_through(df, key, text, more, labels, sets, bands, similarity)
+        if more is not None:
             failed = stored(failed.union(more.select("a", "b")), "tried-pairs")  # linked ones are in one component now
         if parts is None or not asking.limit(1).count():
             break

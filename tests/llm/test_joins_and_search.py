@@ -45,6 +45,34 @@ def edited(words, n):
     return words
 
 
+def passages(n):
+    """Texts that share a passage of 60 words and differ in the rest."""
+    random.seed(9)
+    return [(i, " ".join([f"p{j}" for j in range(60)] + [f"r{random.random()}" for _ in range(random.randint(10, 60))])) for i in range(n)]
+
+
+def test_a_shared_passage_brings_few_candidates(spark, monkeypatch):
+    """Twice the documents around one passage make about twice the rows, and they meet in no group of rare shingles."""
+    made = {}
+    write = ngram_join.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    rows = []
+    for n in (300, 600):
+        made.clear()
+        found = ngram_join.similar_components(spark.createDataFrame(passages(n), "doc_id long, text string").repartition(4))
+        assert found.filter("doc_id <> component_id").isEmpty()
+        rows.append(dict(made))
+    for name, before in rows[0].items():
+        assert rows[1].get(name, 0) <= 2.2 * before + 100, (name, before, rows[1].get(name, 0))
+    assert rows[1]["rare-groups"] == 0
+
+
 def test_join_equals_all_pairs(spark):
     random.seed(2)
     texts, passage = [], [f"p{i}" for i in range(60)]
