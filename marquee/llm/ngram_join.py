@@ -575,22 +575,19 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     ties = pass_sketch(found.filter("kind = 0").select("a", "b").distinct(), sets, bands)
     labels = stored(components(verify(df, key, text, ties, similarity)), "labels")
 
-    # members of large parts meet again by their rarest shingles, first with the pivots of those groups
+    # members of large parts meet again by their rarest shingles
     parts = None
     close = found.filter("kind = 1").select("a", "b")
     if not found.filter("kind = 2").isEmpty():
         again = stored(by_rarest_shingles(df, key, text, sets, found, similarity), "rare-groups")
         close = close.union(again.filter("kind < 2").select("a", "b"))
         if not again.filter("kind = 2").isEmpty():
-            labels = stored(linked_through(df, key, text, close, labels, sets, bands, similarity)[0], "labels")
-            close = None
-            listed = stored(part_members(again.filter("kind = 2")), "group-members")
-            parts = stored(several_components(listed, sets, labels), "large-groups")
+            parts = stored(several_components(stored(part_members(again.filter("kind = 2")), "group-members"), sets, labels), "large-groups")
     asking, failed = None, df.sparkSession.createDataFrame([], "a long, b long")
     for step in range(STEPS):
         more = close if step == 0 else None
         if parts is not None:
-            wider = stored(complete(parts, labels, asking, failed, bands, 4 * 8**step), "partners")
+            wider = stored(complete(parts, labels, asking, failed, bands, 16 * 8**step), "partners")
             asking = wider.filter("b is null").select("run", F.col("a").alias("h1")).distinct()
             wider = wider.filter("b is not null").select("a", "b")
             more = wider if more is None else more.union(wider)

@@ -122,11 +122,14 @@ def test_linked_sets_share_a_signature():
             assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()) or len(a) < 3
 
 
-def test_components(spark):
-    path = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (5, 5)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+@pytest.mark.parametrize("one_task", [0, None])
+def test_components(spark, one_task):
+    path = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (5, 5), (0, 0)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long").repartition(3), one_task).collect()}
     assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
+    named = components(spark.createDataFrame([("c", "b"), ("d", "c"), ("x", "y")], "a string, b string"), one_task)
+    assert {r.node: r.component for r in named.collect()} == {"b": "b", "c": "b", "d": "b", "x": "x", "y": "x"}
 
 
 def vectors(spark, rows):
