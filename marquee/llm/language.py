@@ -129,9 +129,8 @@ class RankModel:
         best = distance.argmin(1)
         used = np.bincount(row, minlength=len(texts))
         score = 1 - distance[np.arange(len(texts)), best] / np.maximum(used * self.profile, 1)
-        like = has_letter & (distance[np.arange(len(texts)), best] < used * self.profile)  # an n-gram at least is in the nearest profile
-        score = np.where(like, np.clip(score, 0, 1), 0.0)
-        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, like, strict=True)], score
+        score = np.where(has_letter, np.clip(score, 0, 1), 0.0)  # 0 too if the nearest profile has none of the n-grams
+        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, has_letter, strict=True)], score
 
 
 def language_sample(labelled: DataFrame, key: str, text: str, lang: str, bound: int) -> DataFrame:
@@ -161,9 +160,9 @@ def fit(df: DataFrame, chosen: Column, key: str = "doc_id", text: str = "text",
 def identify(df: DataFrame, model: RankModel, text: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``lang_pred`` and ``score`` of every whole text beside the columns ``carry`` (all, if not given).
 
-    Null, empty and letterless texts, texts that share no n-gram with any profile (such as those in a script that no learned language
-    has), and all texts if no language was learned, are ``und`` with score 0. Languages at equal distance: the first by name. The score is
-    1 for a list equal to the profile.
+    Null, empty and letterless texts, and all texts if no language was learned, are ``und`` with score 0. Languages at equal distance:
+    the first by name, so a text that shares no n-gram with any profile (such as one in a script that no learned language has) has that
+    name with score 0. The score is 1 for a list equal to the profile.
     Rows are handled one by one, so repeated rows and any number of rows of one source or language do no harm; columns that
     are already called as the results are replaced. An empty table gives an empty table.
     """

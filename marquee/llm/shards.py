@@ -1,8 +1,8 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Every row is hashed into one of ``SLOTS`` virtual slots. Bytes and rows are summed per slot, and a table says which shard owns
-which slot. Rebalancing edits that table and nothing else: shards above the mean release slots, which go to the shards
-with the least bytes; the new map is written as the next version beside the old ones. The map has ``SLOTS`` rows at any size
+which slot. Rebalancing edits the stored table and nothing else: the latest version is loaded, shards above the mean release slots, which
+go to the shards with the least bytes, and the new map is published as the next version beside the old ones. The map has ``SLOTS`` rows at any size
 of the data, which is what bounds the part that passes through the driver and the broadcast.
 """
 
@@ -53,14 +53,32 @@ def rebalanced(owner: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray
 
 
 class SlotMap:
-    """The stored versions of a slot-to-shard map: one Parquet folder per version, never changed once written."""
+    """The stored versions of a slot-to-shard map: one Parquet folder per version, never changed once it is complete.
+
+    The marker that Spark writes last publishes a version; what a failed run has left without one is not a version, and is
+    replaced by the next run.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def latest(self) -> int | None:
+        """The number of the last published version."""
+        jvm = self.spark.sparkContext._jvm
+        marks = jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/_SUCCESS")
+        found = marks.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+        return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=None)
+
+    def owners(self, version: int, slots: int) -> np.ndarray:
+        """Shard of each virtual slot."""
+        rows = self.read(version).select("virtual_slot", "shard").collect()  # ``slots`` rows
+        if sorted(r.virtual_slot for r in rows) != list(range(slots)):
+            raise ValueError(f"the map below {self.path} has {len(rows)} virtual slots, not {slots}")
+        return np.array([r.shard for r in sorted(rows, key=lambda r: r.virtual_slot)], np.int64)
 
     def write(self, version: int, owner: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> DataFrame:
         values = [(version, s, int(owner[s]), int(weight[s]), int(rows[s])) for s in range(len(owner))]
-        self.spark.createDataFrame(values, MAP_SCHEMA).coalesce(1).write.parquet(f"{self.path}/version={version}")
+        self.spark.createDataFrame(values, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
         return self.read(version)
 
     def read(self, version: int) -> DataFrame:
@@ -71,7 +89,8 @@ def shard_rows(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str =
     """Each row's key, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``law``, ``shard``, ``slot`` (gapless from 0 in its shard),
     ``virtual_slot`` and ``map_version``; shards have nearly equal bytes.
 
-    Version 0 of the map deals slots out in turn, version 1 is its edit by the measured bytes; both are stored below ``path``.
+    The latest map below ``path`` is edited by the measured bytes and the number of shards, and the next version is published there. Where
+    there is none, version 0 deals slots out in turn and version 1 is its edit. Only slots that the edit released change their shard.
     A row's virtual slot comes from its key and content, so null keys spread and equal rows stay together. Null text has no
     bytes. Places inside a virtual slot go by key, size and checksum; equal rows take neighbouring places. An empty table
     gives no rows; other columns are not read.
@@ -85,9 +104,13 @@ def shard_rows(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str =
     for r in rows.groupBy("v").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():  # at most ``slots`` rows
         weight[r.v], count[r.v] = r.b, r.n
     store = SlotMap(spark, path or scratch_path(spark, "slot-map"))
-    first = np.arange(slots, dtype=np.int64) % shards
-    store.write(0, first, weight, count)
-    version = store.write(1, rebalanced(first, weight, shards), weight, count)
+    last = store.latest()
+    if last is None:
+        last, owner = 0, np.arange(slots, dtype=np.int64) % shards
+        store.write(0, owner, weight, count)
+    else:
+        owner = store.owners(last, slots)
+    version = store.write(last + 1, rebalanced(owner, weight, shards), weight, count)
     # where each virtual slot begins in its shard: a window over the map, which has ``slots`` rows
     ahead = F.sum("rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
     told = version.withColumn("ahead", F.coalesce(ahead, F.lit(0))).select(F.col("virtual_slot").alias("v"), "shard", "version", "ahead")

@@ -212,3 +212,17 @@ def test_pipeline(spark, sf_dir):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     whole = Counter(p.doc_id for p in pieces if p.start == 0)
     assert whole == after["mixture"]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing, sf_dir):
+    docs, other = awkward, nothing
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = Counter((r.doc_id, r.text) for r in docs.collect())
+        docs, other = stage(spark, docs, sf_dir).cache(), stage(spark, other, sf_dir)
+        assert docs.columns == awkward.columns and {(r.doc_id, r.text) for r in docs.collect()} <= set(before)
+        assert other.columns == awkward.columns and other.isEmpty()
+    assert {r[1] for r in docs.collect()} <= {r.text for r in awkward.collect() if any(c.isalpha() for c in r.text or "")}
+    for given in (awkward, docs):  # as it comes, and what the stages left
+        pieces = corpus_pipeline.STAGES[-1][1](spark, given, sf_dir).collect()
+        assert Counter(p.doc_id for p in pieces if p.start == 0) == Counter(r.doc_id for r in given.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, sf_dir).isEmpty()

@@ -208,6 +208,65 @@ def test_texts_like_no_language_are_rejected(spark, sf_dir):
     assert kept == clean and len({r.lang for r in docs.filter("lang is not null").collect()}) > 1
 
 
+def plain_rank_order(docs, texts, profile=400):
+    """Languages by out-of-place distance, with counters and lists."""
+    def ordered(counts):
+        return sorted(counts, key=lambda g: (-counts[g], g))[:profile]
+
+    total = {}
+    for text, lang in docs:
+        _, gram, count, _ = language.grams([text])
+        own = total.setdefault(lang, Counter())
+        for g, n in zip(gram.tolist(), count.tolist(), strict=True):
+            own[g] += n
+    place = {name: {g: i for i, g in enumerate(ordered(c))} for name, c in total.items()}
+    out = []
+    for text in texts:
+        _, gram, count, letters = language.grams([text])
+        mine = ordered(dict(zip(gram.tolist(), count.tolist(), strict=True)))
+        far = {name: sum(abs(p[g] - i) if g in p else profile for i, g in enumerate(mine)) for name, p in place.items()}
+        out.append(min(sorted(far), key=far.get) if letters[0] else "und")
+    return out
+
+
+def test_languages_equal_a_plain_model(spark, sf_dir):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    extra = [(-1, "漢字漢字", None), (-2, "Ж", None), (-3, "q", None), (-4, "12 !", None), (-5, None, None), (-6, "", None)]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.col("doc_id") % 5 != 0)
+    found = {r.doc_id: r for r in language.identify(docs, model, carry=["doc_id"]).collect()}
+    want = plain_rank_order([(t, g) for i, t, g in rows if i % 5 and g is not None and t is not None], [t for _, t, _ in rows + extra], model.profile)
+    assert [found[i].lang_pred for i, _, _ in rows + extra] == want
+    assert found[-1].lang_pred == model.names[0] and found[-1].score == 0 and {found[i].lang_pred for i in (-4, -5, -6)} == {"und"}
+    assert all(found[i].lang_pred != "und" for i in (-1, -2, -3))
+
+
+def test_slot_map_is_edited(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = str(tmp_path / "map")
+    where = lambda df: {(r.doc_id, r.text_crc32): (r.virtual_slot, r.shard, r.map_version) for r in df.collect()}
+    first = where(shards.shard_rows(docs, path=path))
+    assert {v for _, _, v in first.values()} == {1}
+    same = where(shards.shard_rows(docs, path=path))
+    assert {x[2] for x in same.values()} == {2} and sum(same[k][1] != x[1] for k, x in first.items()) <= 8  # at most one heavy slot a shard
+    (tmp_path / "map" / "version=3").mkdir()  # what a failed run leaves
+    more = docs.union(docs.filter("doc_id < 20").select(F.col("doc_id") + 1_000_000, F.concat("text", F.lit(" again"))))
+    found = shards.shard_rows(more, shards=9, path=path)
+    grown, store = where(found), shards.SlotMap(spark, path)
+    assert store.latest() == 3 and {x[2] for x in grown.values()} == {3}
+    before, after = store.owners(2, shards.SLOTS), store.owners(3, shards.SLOTS)
+    load = {r.virtual_slot: r.bytes for r in store.read(3).collect()}
+    moved = sum(load[s] for s in range(shards.SLOTS) if before[s] != after[s])
+    assert 0 < moved <= 0.25 * sum(load.values())
+    assert all(grown[k][1] == x[1] for k, x in same.items() if before[x[0]] == after[x[0]])
+    sizes = Counter()
+    for r in found.collect():
+        sizes[r.shard] += r.size
+    assert set(sizes) == set(range(9)) and max(sizes.values()) - min(sizes.values()) <= max(r.size for r in found.collect())
+    with pytest.raises(ValueError, match="virtual slots"):
+        shards.shard_rows(docs, path=path, slots=64)
+
+
 def test_profile_distance_by_hand():
     model = language.RankModel({"a": language.grams(["abc"])[1].tolist(), "b": language.grams(["xyz"])[1].tolist()}, 20)
     assert model.predict(["abc", "zyx", None, "12"])[0] == ["a", "b", "und", "und"]
