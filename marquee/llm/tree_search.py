@@ -107,13 +107,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to at least 0.5 and below 1.
+
+    Squares then neither overflow nor vanish. Powers of two do not round, so cosines of ordinary rows keep every bit.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.maximum(np.abs(x).max(1, keepdims=True), np.finfo(float).tiny)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _nearest(query: np.ndarray, query_id: np.ndarray, rows: np.ndarray, row_id: np.ndarray, k: int) -> tuple[list, list, list]:
     """The ``k`` largest cosines of each query, ties to the smaller id. Scores are summed in one order, so equal vectors tie."""
+    query, rows = _scaled(query), _scaled(rows)
     q, r = _unit(query), _unit(rows)
     # rounded products choose, with a margin, what is then scored pair by pair
     rough, out = q @ r.T, ([], [], [])
@@ -149,18 +158,14 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-class TreeIndex:
-    """All usable rows of ``df`` by leaf, stored; ``search`` answers a table of queries."""
+class WidthIndex:
+    """The tree and, by leaf, the stored rows ``vec_id, v`` of one width; there is one row at least."""
 
-    def __init__(self, df: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = SAMPLE_ROWS):
-        self.spark = df.sparkSession
-        width = df.filter(usable(F.col(vector))).groupBy(F.size(vector).alias("w")).count().orderBy(F.desc("count"), "w").first()
-        self.width = width.w if width else 0
-        rows = df.filter(usable(F.col(vector)) & (F.size(vector) == self.width)).select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-        rows = rows.filter("vec_id is not null")
-        sample = sorted(r.v for r in _bounded(rows, "vec_id", "v", sample_rows, "tree").collect())  # bounded by sample_rows
-        self.tree = KMeansTree(_unit(np.array(sample))) if sample else None
-        self.rows = stored(self._dealt(rows), "tree-index") if sample else None
+    def __init__(self, rows: DataFrame, width: int, sample_rows: int):
+        self.spark, self.width = rows.sparkSession, width
+        sample = _matrix(_bounded(rows, "vec_id", "v", sample_rows, "tree").select("v").toArrow()["v"])  # bounded by sample_rows
+        self.tree = KMeansTree(_unit(sample[np.lexsort(sample.T[::-1])]))
+        self.rows = stored(self._dealt(rows), "tree-index")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         tree = self.spark.sparkContext.broadcast(self.tree)
@@ -234,17 +239,9 @@ class TreeIndex:
         reached = np.sort([order[r.query_id][r.leaf] for r in where])
         return int(reached[int(np.ceil(recall * len(reached))) - 1]) + 1
 
-    def search(self, queries: DataFrame, k: int = 5, recall: float = RECALL) -> DataFrame:
-        """``query_id, rank, vec_id, score`` of the ``k`` nearest rows found for each query ``query_id, q``.
-
-        A query's own row is left out; ties go to the smaller id. Fewer than ``k`` found (a small table) leads to more visits, up
-        to all leaves. Unusable vectors (null, zero, or with null or non-finite components), null keys, and vectors of another
-        length than most take no part. Repeated ids count once, with their best score. An empty table gives no rows.
-        """
-        empty = "query_id long, rank int, vec_id long, score double"
-        if self.rows is None:
-            return self.spark.createDataFrame([], empty)
-        queries = stored(queries.filter(usable(F.col("q")) & (F.size("q") == self.width)), "tree-queries")
+    def search(self, queries: DataFrame, k: int, recall: float) -> DataFrame:
+        """As :meth:`TreeIndex.search`, for usable queries of this width."""
+        queries = stored(queries, "tree-queries")
         visits, seen = self.calibrate(queries, k, recall), 0
         total = self.rows.count()
         best = None
@@ -256,3 +253,32 @@ class TreeIndex:
             if visits >= self.tree.leaves or not rest.limit(1).count():
                 return best
             queries, seen, visits = stored(rest, "tree-queries"), visits, visits * 4
+
+
+class TreeIndex:
+    """All usable rows of ``df``, one :class:`WidthIndex` for each length of vector; ``search`` answers a table of queries.
+
+    A cosine needs two vectors of one length, so rows of another length are no candidates; none is left out for being rare. Each
+    width has a sample and a tree of its own, one after the other: made for tables with few widths.
+    """
+
+    def __init__(self, df: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = SAMPLE_ROWS):
+        self.spark = df.sparkSession
+        rows = df.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+        widths = [r.w for r in rows.select(F.size("v").alias("w")).distinct().orderBy("w").collect()]
+        self.widths = [WidthIndex(rows.filter(F.size("v") == w), w, sample_rows) for w in widths]
+
+    def search(self, queries: DataFrame, k: int = 5, recall: float = RECALL) -> DataFrame:
+        """``query_id, rank, vec_id, score`` of the ``k`` nearest rows found for each query ``query_id, q``.
+
+        A query's own row is left out; ties go to the smaller id. Fewer than ``k`` found (a small table) leads to more visits, up
+        to all leaves. Unusable vectors (null, zero, or with null or non-finite components) and null keys take no part; a query
+        meets the rows of its own width. Very large and very small components are scaled first, so scores are finite. Repeated
+        ids count once, with their best score; an id whose vectors differ in width has an answer for each. An empty table gives
+        no rows.
+        """
+        found = self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        queries = queries.filter(usable(F.col("q")))
+        for index in self.widths:
+            found = found.union(index.search(queries.filter(F.size("q") == index.width), k, recall))
+        return found

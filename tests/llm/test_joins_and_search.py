@@ -166,7 +166,7 @@ def test_sample_of_a_hot_id_stays_bounded(spark, monkeypatch):
     seen, init = [], tree_search.KMeansTree.__init__
     monkeypatch.setattr(tree_search.KMeansTree, "__init__", lambda self, sample: seen.append(len(sample)) or init(self, sample))
     index = tree_search.TreeIndex(vectors(spark, rows), sample_rows=bound)
-    assert 30 < seen[0] < 2 * bound and index.rows.count() == n
+    assert 30 < seen[0] < 2 * bound and [w.rows.count() for w in index.widths] == [n]
 
 
 def test_search_awkward(spark):
@@ -180,6 +180,32 @@ def test_search_awkward(spark):
     assert tree_search.TreeIndex(empty).search(queries).count() == 0
 
 
+def test_search_of_large_and_tiny_components(spark):
+    """Cosines are those of the vectors at an ordinary scale, whatever the scale of each row."""
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    scale = [2.0**900, 2.0**-900, 1.0, 2.0**-1000]
+    rows = [(i, [float(c * scale[i % 4]) for c in v]) for i, v in enumerate(x)] + [(300, [5e-324, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    plain = np.concatenate([x, [[1.0, 0, 0, 0, 0, 0]]])
+    norm = np.sqrt((plain**2).sum(1))
+    found = tree_search.TreeIndex(df).search(queries).collect()
+    assert len(found) == 7 * 5
+    for r in found:
+        assert r.score == pytest.approx((plain[r.vec_id] * plain[r.query_id]).sum() / (norm[r.vec_id] * norm[r.query_id]), abs=1e-9)
+    for q in range(0, 301, 50):
+        score = (plain @ plain[q]) / (norm * norm[q])
+        true = {i for i in np.argsort(-score) if i != q and score[i] >= np.sort(np.delete(score, q))[-5]}
+        assert len(true & {r.vec_id for r in found if r.query_id == q}) >= 4
+
+
+def test_search_of_every_width(spark):
+    df = vectors(spark, [*[(i, [1.0, float(i)]) for i in range(40)], (50, [1.0, 0.0, 2.0]), (51, [2.0, 0.0, 4.0]), (100, [1.0])])
+    queries = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    found = sorted((r.query_id, r["rank"], r.vec_id) for r in tree_search.TreeIndex(df).search(queries).collect())
+    assert found == [*[(0, i, i) for i in range(1, 6)], (50, 1, 51)]  # the only row of its width finds none
+
+
 def test_best_bins_visits_every_leaf_once():
     tree = tree_search.KMeansTree(np.random.default_rng(2).normal(size=(2000, 8)))
     assert sorted(tree.best_bins(np.ones(8), tree.leaves)) == list(range(tree.leaves))
