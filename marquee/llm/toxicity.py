@@ -2,13 +2,14 @@
 
 The lexicon (words, and word beginnings for inflected languages) is learned from labelled rows by log-odds. A training row's own
 label is taken out of the counts before its features are computed, so the trees see the same kind of evidence there as on new
-rows. Features: lexicon densities, nearness of a second-person word to a lexicon word, capitals, punctuation, and obfuscation.
+rows. How often and how clearly an entry must be toxic is chosen by cross-validation among the training rows. Features: lexicon densities, nearness of a second-person word to a lexicon word, capitals, punctuation, and obfuscation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from .common import bounded_batches, flat, hash_words, sampled, stored, text_sli
 
 TRAIN_ROWS = 20_000  # bound of the labelled rows that lexicon, trees and calibration are learned from
 LEXICON = 20_000  # entries kept, by log-odds
-MIN_TOXIC = 3  # toxic rows that must hold an entry
-MIN_ODDS = 2.0
+MIN_TOXIC = (2, 3, 5, 8)  # choices: toxic rows that must hold an entry
+MIN_ODDS = (1.0, 1.5, 2.0, 2.5, 3.0)  # choices: log-odds that an entry must have
+CV_FOLDS = 3
+ROWS_PER_TASK = 2500  # feature rows of the sample; each pass of the trees is short
 PREFIXES = (4, 5, 6)
 WINDOW = 5
 SECOND_PERSON = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "tus", "usted", "ustedes", "vosotros"]
@@ -56,6 +59,7 @@ class Lexicon:
     clean: np.ndarray
     n_toxic: int
     n_clean: int
+    min_odds: float  # of a hit in a text
 
     def weight(self, at: np.ndarray, own_toxic: np.ndarray, own_clean: np.ndarray) -> np.ndarray:
         """Log-odds of entries without the row's own label."""
@@ -63,45 +67,112 @@ class Lexicon:
         return np.log((toxic + 0.5) / (self.n_toxic + 1)) - np.log((clean + 0.5) / (self.n_clean + 1))
 
 
-def learn_lexicon(train: DataFrame) -> Lexicon:
-    """From ``text, label`` rows, a bounded sample."""
+    def words(self, kinds: np.ndarray, own_toxic: np.ndarray, own_clean: np.ndarray) -> np.ndarray:
+        """The largest weight among each word's entries, 0 without one; ``own_*`` by word."""
+        weight = np.zeros(kinds.shape[1])
+        if len(self.entry):
+            for hashed in kinds:
+                at = np.minimum(np.searchsorted(self.entry, hashed), len(self.entry) - 1)
+                hit = np.flatnonzero(self.entry[at] == hashed)
+                weight[hit] = np.maximum(weight[hit], self.weight(at[hit], own_toxic[hit], own_clean[hit]))
+        return weight
+
+
+def count_entries(train: DataFrame) -> DataFrame:
+    """``entry, toxic_f, clean_f``: rows of each kind that hold an entry, by fold f. From ``text, label, fold`` rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = np.array(batch.column(1).to_pylist(), np.int64)
+            label, fold = np.array(batch.column(1).to_pylist(), np.int64), np.array(batch.column(2).to_pylist(), np.int64)
             for a, b in text_slices(batch.column(0)):
                 kinds, rows, _, _ = _entries(batch.column(0).slice(a, b - a))
                 pair = np.unique(np.stack([np.tile(rows, len(kinds)), kinds.ravel()], 1), axis=0)
                 pair = pair[pair[:, 1] != 0]
                 entry, at = np.unique(pair[:, 1], return_inverse=True)
-                toxic = np.bincount(at, label[a:b][pair[:, 0]], len(entry)).astype(np.int64)
-                clean = np.bincount(at, minlength=len(entry)) - toxic
-                yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(toxic), pa.array(clean)], ["entry", "toxic", "clean"])
+                held = np.bincount(at * 2 * CV_FOLDS + 2 * fold[a:b][pair[:, 0]] + label[a:b][pair[:, 0]], minlength=len(entry) * 2 * CV_FOLDS)
+                held = held.reshape(-1, 2 * CV_FOLDS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(entry), *[pa.array(held[:, c]) for c in range(2 * CV_FOLDS)]], ["entry", *columns])
+
+    columns = [f"{kind}_{f}" for f in range(CV_FOLDS) for kind in ("clean", "toxic")]
+    counted = train.select("text", "label", "fold").mapInArrow(count, ", ".join(["entry long", *[f"{c} long" for c in columns]]))
+    return counted.groupBy("entry").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def learn_lexicons(counted: DataFrame, rows: dict[tuple[int, int], int], wanted: list[tuple[int | None, int, float]]) -> list[Lexicon]:
+    """A lexicon for each wanted (fold left out or None, ``MIN_TOXIC``, ``MIN_ODDS``). ``rows``: their number by fold and label."""
+    parts, totals = [], []
+    for i, (without, min_toxic, min_odds) in enumerate(wanted):
+        folds = [f for f in range(CV_FOLDS) if f != without]
+        n_clean, n_toxic = (sum(rows.get((f, y), 0) for f in folds) for y in (0, 1))
+        toxic, clean = (sum((F.col(f"{kind}_{f}") for f in folds), F.lit(0)) for kind in ("toxic", "clean"))
+        odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
+        found = counted.select(F.lit(i).alias("i"), "entry", toxic.alias("toxic"), clean.alias("clean"), odds.alias("odds"))
+        parts.append(found.filter((F.col("toxic") >= min_toxic) & (F.col("odds") >= min_odds)).orderBy(F.desc("odds"), F.desc("toxic"), "entry").limit(LEXICON))
+        totals.append((n_toxic, n_clean, min_odds))
+    table = reduce(DataFrame.union, parts).select("i", "entry", "toxic", "clean").toArrow()  # at most LEXICON rows for each wanted
+    i, entry, toxic, clean = (np.asarray(table[c].to_numpy(), np.int64) for c in ("i", "entry", "toxic", "clean"))
+    out = []
+    for j, total in enumerate(totals):
+        at = np.flatnonzero(i == j)
+        at = at[np.argsort(entry[at])]
+        out.append(Lexicon(entry[at], toxic[at], clean[at], *total))
+    return out
+
+
+def average_precision(score: np.ndarray, toxic: np.ndarray) -> float:
+    """Precision at each score that occurs, averaged over the toxic rows; equal scores count together."""
+    if not len(score):
+        return 0.0
+    order = np.argsort(-score, kind="stable")
+    found, last = np.cumsum(toxic[order]), np.flatnonzero(np.append(np.diff(score[order]) != 0, True))
+    gained = np.diff(np.append(0, found[last]))
+    return float((gained * found[last] / (last + 1)).sum() / max(found[-1], 1))
+
+
+def choose_bounds(train: DataFrame, counted: DataFrame, rows: dict[tuple[int, int], int]) -> tuple[int, float]:
+    """``MIN_TOXIC`` and ``MIN_ODDS`` by cross-validation: each fold is scored by lexicons learned from the others.
+
+    A text's score is the sum of its weights over the root of its number of words, by which chance hits vary. The choice of
+    the largest average precision wins, ties go to the stricter one.
+    """
+    spark = train.sparkSession
+    wanted = [(f, t, MIN_ODDS[0]) for f in range(CV_FOLDS) for t in MIN_TOXIC]
+    lexicons = spark.sparkContext.broadcast(dict(zip([w[:2] for w in wanted], learn_lexicons(counted, rows, wanted), strict=True)))
+    choices = [(t, o) for t in MIN_TOXIC for o in MIN_ODDS]
+    names = ["label", *[f"s{j}" for j in range(len(choices))]]
 
-    n = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
-    n_toxic, n_clean = int(n.t), int(n.n - n.t)
-    counted = train.select("text", "label").mapInArrow(count, "entry long, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    best = counted.withColumn("odds", odds).filter((F.col("toxic") >= MIN_TOXIC) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("odds"), F.desc("toxic"), "entry").limit(LEXICON)
-    rows = sorted((r.entry, r.toxic, r.clean) for r in best.collect())  # at most LEXICON rows
-    table = np.array(rows, np.int64).reshape(-1, 3)
-    return Lexicon(table[:, 0], table[:, 1], table[:, 2], n_toxic, n_clean)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = np.array(batch.column(2).to_pylist(), np.int64)
+            for a, b in text_slices(batch.column(0)):
+                kinds, of, _, _ = _entries(batch.column(0).slice(a, b - a))
+                root = np.sqrt(np.maximum(np.bincount(of, minlength=b - a), 1))
+                sums = np.zeros((len(choices), b - a))
+                for f in np.unique(fold[a:b]):
+                    here = np.flatnonzero(fold[a:b][of] == f)
+                    none = np.zeros(len(here), np.int64)
+                    for i, t in enumerate(MIN_TOXIC):
+                        weight = lexicons.value[f, t].words(kinds[:, here], none, none)
+                        for j, o in enumerate(MIN_ODDS):
+                            sums[i * len(MIN_ODDS) + j] += np.bincount(of[here], weight * (weight >= o), b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *[pa.array(s / root) for s in sums]], names)
+
+    schema = ", ".join(["label long", *[f"{c} double" for c in names[1:]]])
+    table = train.select("text", "label", "fold").mapInArrow(score, schema).toArrow()  # numbers of the bounded sample
+    toxic = table["label"].to_numpy()
+    worth = [(average_precision(table[f"s{j}"].to_numpy(), toxic), choice) for j, choice in enumerate(choices)]
+    return max(worth)[1]
 
 
 def features_of(texts: pa.Array, lexicon: Lexicon, label: np.ndarray | None = None) -> np.ndarray:
     """One row of ``FEATURES`` per text; empty texts have zeros. ``label``: of training rows, to be left out."""
     kinds, rows, data, offsets = _entries(texts)
-    n, m = len(texts), len(rows)
+    n = len(texts)
     own_toxic = np.zeros(n, np.int64) if label is None else label
     own_clean = np.zeros(n, np.int64) if label is None else 1 - label
-    weight = np.zeros(m)
-    if len(lexicon.entry):
-        for hashed in kinds:
-            at = np.minimum(np.searchsorted(lexicon.entry, hashed), len(lexicon.entry) - 1)
-            hit = np.flatnonzero(lexicon.entry[at] == hashed)
-            weight[hit] = np.maximum(weight[hit], lexicon.weight(at[hit], own_toxic[rows[hit]], own_clean[rows[hit]]))
+    weight = lexicon.words(kinds, own_toxic[rows], own_clean[rows])
     words = np.bincount(rows, minlength=n)
-    hit = np.flatnonzero(weight >= MIN_ODDS)
+    hit = np.flatnonzero(weight >= lexicon.min_odds)
     of = rows[hit]
     hits = np.bincount(of, minlength=n)
     order = np.lexsort((-weight[hit], of))
@@ -168,7 +239,7 @@ def with_features(df: DataFrame, lexicon: Lexicon, text: str, carry: list[str],
 class ToxicityModel:
     """Lexicon, trees and calibration; without both kinds of labels, the constant share of toxic rows."""
 
-    def __init__(self, lexicon: Lexicon, trees, calibration, share: float):
+    def __init__(self, lexicon: Lexicon | None, trees, calibration, share: float):
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
 
     def score(self, df: DataFrame, text: str, carry: list[str]) -> DataFrame:
@@ -184,19 +255,22 @@ class ToxicityModel:
 
 def fit(df: DataFrame, labels: DataFrame, chosen: Column, calibrates: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """A model from at most about ``train_rows`` labelled rows that ``chosen`` selects; those where ``calibrates`` holds fit
-    the calibration, the others the trees. Labels of one key are merged to the largest; null labels are left out."""
+    the calibration, the others the trees, and all of them the lexicon and its bounds. Labels of one key are merged to the largest; null labels are left out."""
     spark = df.sparkSession
     bounded_batches(spark)
     known = labels.filter(chosen & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("long").alias("label"))
     known = sampled(stored(known, "toxicity-labels"), F.col(key), train_rows, "toxicity")
     train = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), key)
-    train = stored(train, "toxicity-train")  # a bounded sample of rows
-    lexicon = learn_lexicon(train)
-    share = lexicon.n_toxic / max(lexicon.n_toxic + lexicon.n_clean, 1)
-    if not lexicon.n_toxic or not lexicon.n_clean:
-        return ToxicityModel(lexicon, None, None, share)
+    train = stored(train.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fold")), F.lit(CV_FOLDS)).cast("int")), "toxicity-train")  # a bounded sample of rows
+    held = {(r.fold, int(r.label)): r["count"] for r in train.groupBy("fold", "label").count().collect()}
+    n_clean, n_toxic = (sum(n for (_, y), n in held.items() if y == label) for label in (0, 1))
+    share = n_toxic / max(n_toxic + n_clean, 1)
+    if not n_toxic or not n_clean:
+        return ToxicityModel(None, None, None, share)
+    counted = stored(count_entries(train), "toxicity-entries")
+    (lexicon,) = learn_lexicons(counted, held, [(None, *choose_bounds(train, counted, held))])
     rows = with_features(train.withColumn("calibrates", calibrates), lexicon, "text", ["calibrates"], "label")
-    rows = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("calibrates", "features", F.col("label").cast("double").alias("label")).coalesce(8), "toxicity-features")
+    rows = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("calibrates", "features", F.col("label").cast("double").alias("label")).coalesce(-(-(n_clean + n_toxic) // ROWS_PER_TASK)), "toxicity-features")
     kinds = {(r.calibrates, r.label): r["count"] for r in rows.groupBy("calibrates", "label").count().collect()}
     apart = all(kinds.get((c, y), 0) >= 5 for c in (True, False) for y in (0.0, 1.0))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, subsamplingRate=0.9, seed=11, cacheNodeIds=False).fit(rows.filter(~F.col("calibrates")) if apart else rows)

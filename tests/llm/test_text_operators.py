@@ -292,6 +292,43 @@ def test_secrets(spark, awkward, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_average_precision():
+    assert toxicity.average_precision(np.array([0.9, 0.8, 0.1]), np.array([1, 0, 1])) == pytest.approx((1 + 2 / 3) / 2)
+    assert toxicity.average_precision(np.array([0.5, 0.5, 0.5, 0.5]), np.array([1, 0, 0, 0])) == 0.25
+    assert toxicity.average_precision(np.zeros(0), np.zeros(0)) == 0.0
+
+
+def test_toxicity_bounds_by_cross_validation(spark):
+    """Words of one toxic row alone are chance; the bounds that leave them out are found from training rows, as plain Python finds them."""
+    random.seed(3)
+    rows = []
+    for i in range(240):
+        words = [random.choice(["river", "stone", "garden", "winter"]) for _ in range(20)] + [f"odd{random.randrange(60)}x" for _ in range(6)]
+        rows.append((i, " ".join(words + (["scumbag"] if i % 6 == 0 else [])), int(i % 6 == 0), i % 3))
+    train = spark.createDataFrame(rows, "doc_id long, text string, label long, fold int")
+    held = defaultdict(int)
+    for _, _, y, f in rows:
+        held[f, y] += 1
+    counted = toxicity.count_entries(train)
+    got = {r.entry: tuple(r)[1:] for r in counted.collect()}
+    scum = got[int(toxicity._hash(["scumbag"]).view(np.int64)[0])]
+    assert sum(scum) == 40 and sum(scum[1::2]) == 40  # in toxic rows only
+    bounds = toxicity.choose_bounds(train, counted, held)
+    worth = {}
+    for t in toxicity.MIN_TOXIC:
+        for o in toxicity.MIN_ODDS:
+            score = np.zeros(len(rows))
+            for f in range(3):
+                (lexicon,) = toxicity.learn_lexicons(counted, held, [(f, t, o)])
+                for i, text, _, fold in rows:
+                    if fold == f:
+                        kinds, at, _, _ = toxicity._entries(pa.array([text]))
+                        none = np.zeros(len(at), np.int64)
+                        score[i] = lexicon.words(kinds, none, none).sum() / np.sqrt(len(at))
+            worth[t, o] = toxicity.average_precision(score, np.array([r[2] for r in rows]))
+    assert worth[bounds] == pytest.approx(max(worth.values()))
+
+
 def test_toxicity(spark, awkward, nothing):
     random.seed(9)
     calm = ["river", "stone", "garden", "winter", "letter", "music", "paper", "window"]
