@@ -1,8 +1,8 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon (words, and word beginnings for inflected languages) is learned from labelled rows by log-odds. A training row's own
-label is taken out of the counts before its features are computed, so the trees see the same kind of evidence there as on new
-rows. How often and how clearly an entry must be toxic is chosen by cross-validation among the training rows. Features: lexicon densities, nearness of a second-person word to a lexicon word, capitals, punctuation, and obfuscation.
+The lexicon (words, and word beginnings for inflected languages) is learned from labelled rows by log-odds. The features of a
+training row come from a lexicon of the other folds, entries chosen without it, so the trees see the same kind of evidence there as
+on new rows. How often and how clearly an entry must be toxic is chosen by cross-validation among the training rows. Features: lexicon densities, nearness of a second-person word to a lexicon word, capitals, punctuation, and obfuscation.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ TRAIN_ROWS = 20_000  # bound of the labelled rows that lexicon, trees and calibr
 LEXICON = 20_000  # entries kept, by log-odds
 MIN_TOXIC = (2, 3, 5, 8)  # choices: toxic rows that must hold an entry
 MIN_ODDS = (1.0, 1.5, 2.0, 2.5, 3.0)  # choices: log-odds that an entry must have
-CV_FOLDS = 3
+CV_FOLDS = 4
 ROWS_PER_TASK = 2500  # feature rows of the sample; each pass of the trees is short
 PREFIXES = (4, 5, 6)
 WINDOW = 5
@@ -55,26 +55,16 @@ def _entries(texts: pa.Array):
 @dataclass
 class Lexicon:
     entry: np.ndarray  # sorted hashes
-    toxic: np.ndarray  # labelled rows of each kind that hold the entry
-    clean: np.ndarray
-    n_toxic: int
-    n_clean: int
+    weight: np.ndarray  # log-odds of each entry
     min_odds: float  # of a hit in a text
 
-    def weight(self, at: np.ndarray, own_toxic: np.ndarray, own_clean: np.ndarray) -> np.ndarray:
-        """Log-odds of entries without the row's own label."""
-        toxic, clean = self.toxic[at] - own_toxic, self.clean[at] - own_clean
-        return np.log((toxic + 0.5) / (self.n_toxic + 1)) - np.log((clean + 0.5) / (self.n_clean + 1))
-
-
-    def words(self, kinds: np.ndarray, own_toxic: np.ndarray, own_clean: np.ndarray) -> np.ndarray:
-        """The largest weight among each word's entries, 0 without one; ``own_*`` by word."""
+    def words(self, kinds: np.ndarray) -> np.ndarray:
+        """The largest weight among each word's entries, 0 without one."""
         weight = np.zeros(kinds.shape[1])
         if len(self.entry):
             for hashed in kinds:
                 at = np.minimum(np.searchsorted(self.entry, hashed), len(self.entry) - 1)
-                hit = np.flatnonzero(self.entry[at] == hashed)
-                weight[hit] = np.maximum(weight[hit], self.weight(at[hit], own_toxic[hit], own_clean[hit]))
+                weight = np.maximum(weight, np.where(self.entry[at] == hashed, self.weight[at], 0.0))
         return weight
 
 
@@ -100,7 +90,7 @@ def count_entries(train: DataFrame) -> DataFrame:
 
 def learn_lexicons(counted: DataFrame, rows: dict[tuple[int, int], int], wanted: list[tuple[int | None, int, float]]) -> list[Lexicon]:
     """A lexicon for each wanted (fold left out or None, ``MIN_TOXIC``, ``MIN_ODDS``). ``rows``: their number by fold and label."""
-    parts, totals = [], []
+    parts = []
     for i, (without, min_toxic, min_odds) in enumerate(wanted):
         folds = [f for f in range(CV_FOLDS) if f != without]
         n_clean, n_toxic = (sum(rows.get((f, y), 0) for f in folds) for y in (0, 1))
@@ -108,14 +98,13 @@ def learn_lexicons(counted: DataFrame, rows: dict[tuple[int, int], int], wanted:
         odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
         found = counted.select(F.lit(i).alias("i"), "entry", toxic.alias("toxic"), clean.alias("clean"), odds.alias("odds"))
         parts.append(found.filter((F.col("toxic") >= min_toxic) & (F.col("odds") >= min_odds)).orderBy(F.desc("odds"), F.desc("toxic"), "entry").limit(LEXICON))
-        totals.append((n_toxic, n_clean, min_odds))
-    table = reduce(DataFrame.union, parts).select("i", "entry", "toxic", "clean").toArrow()  # at most LEXICON rows for each wanted
-    i, entry, toxic, clean = (np.asarray(table[c].to_numpy(), np.int64) for c in ("i", "entry", "toxic", "clean"))
+    table = reduce(DataFrame.union, parts).select("i", "entry", "odds").toArrow()  # at most LEXICON rows for each wanted
+    i, entry, odds = (table[c].to_numpy() for c in ("i", "entry", "odds"))
     out = []
-    for j, total in enumerate(totals):
+    for j, (_, _, min_odds) in enumerate(wanted):
         at = np.flatnonzero(i == j)
         at = at[np.argsort(entry[at])]
-        out.append(Lexicon(entry[at], toxic[at], clean[at], *total))
+        out.append(Lexicon(entry[at], odds[at], min_odds))
     return out
 
 
@@ -150,9 +139,8 @@ def choose_bounds(train: DataFrame, counted: DataFrame, rows: dict[tuple[int, in
                 sums = np.zeros((len(choices), b - a))
                 for f in np.unique(fold[a:b]):
                     here = np.flatnonzero(fold[a:b][of] == f)
-                    none = np.zeros(len(here), np.int64)
                     for i, t in enumerate(MIN_TOXIC):
-                        weight = lexicons.value[f, t].words(kinds[:, here], none, none)
+                        weight = lexicons.value[f, t].words(kinds[:, here])
                         for j, o in enumerate(MIN_ODDS):
                             sums[i * len(MIN_ODDS) + j] += np.bincount(of[here], weight * (weight >= o), b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *[pa.array(s / root) for s in sums]], names)
@@ -164,13 +152,11 @@ def choose_bounds(train: DataFrame, counted: DataFrame, rows: dict[tuple[int, in
     return max(worth)[1]
 
 
-def features_of(texts: pa.Array, lexicon: Lexicon, label: np.ndarray | None = None) -> np.ndarray:
-    """One row of ``FEATURES`` per text; empty texts have zeros. ``label``: of training rows, to be left out."""
+def features_of(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """One row of ``FEATURES`` per text; empty texts have zeros."""
     kinds, rows, data, offsets = _entries(texts)
     n = len(texts)
-    own_toxic = np.zeros(n, np.int64) if label is None else label
-    own_clean = np.zeros(n, np.int64) if label is None else 1 - label
-    weight = lexicon.words(kinds, own_toxic[rows], own_clean[rows])
+    weight = lexicon.words(kinds)
     words = np.bincount(rows, minlength=n)
     hit = np.flatnonzero(weight >= lexicon.min_odds)
     of = rows[hit]
@@ -219,21 +205,23 @@ def features_of(texts: pa.Array, lexicon: Lexicon, label: np.ndarray | None = No
     return np.stack([np.asarray(c, float) for c in columns], 1)
 
 
-def with_features(df: DataFrame, lexicon: Lexicon, text: str, carry: list[str], label: str | None = None) -> DataFrame:
+def with_features(df: DataFrame, lexicons: list[Lexicon], text: str, carry: list[str], fold: str | None = None) -> DataFrame:
+    """``carry`` and the features; with ``fold``, an integer column, a row's features come from the lexicon of that number."""
     bounded_batches(df.sparkSession)
-    rest = [*carry, *([label] if label else [])]
-    schema = df.select(*rest).withColumns({f: F.lit(0.0) for f in FEATURES}).schema
+    schema = df.select(*carry).withColumns({f: F.lit(0.0) for f in FEATURES}).schema
+    held = df.sparkSession.sparkContext.broadcast(lexicons)  # at most LEXICON entries each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts = batch.column(len(rest)), [np.zeros((0, len(FEATURES)))]
-            known = np.array(batch.column(len(rest) - 1).to_pylist(), np.int64) if label else None
+            texts, of = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_numpy()
+            values = np.zeros((len(texts), len(FEATURES)))
             for a, b in text_slices(texts):
-                parts.append(features_of(texts.slice(a, b - a), lexicon, known[a:b] if label else None))
-            values = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(values[:, j]) for j in range(len(FEATURES))]], [*rest, *FEATURES])
+                for f in np.unique(of[a:b]):
+                    at = a + np.flatnonzero(of[a:b] == f)
+                    values[at] = features_of(texts.take(pa.array(at)), held.value[f])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *[pa.array(values[:, j]) for j in range(len(FEATURES))]], [*carry, *FEATURES])
 
-    return df.select(*rest, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*carry, F.col(text).alias("__text"), (F.col(fold) if fold else F.lit(0)).alias("__fold")).mapInArrow(run, schema)
 
 
 class ToxicityModel:
@@ -245,7 +233,7 @@ class ToxicityModel:
     def score(self, df: DataFrame, text: str, carry: list[str]) -> DataFrame:
         if self.trees is None:
             return df.select(*carry, F.lit(self.share).alias("score"))
-        found = with_features(df, self.lexicon, text, carry)
+        found = with_features(df, [self.lexicon], text, carry)
         found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
         found = self.trees.transform(found).withColumn("raw_score", vector_to_array("probability")[1])
         if self.calibration is not None:
@@ -268,8 +256,9 @@ def fit(df: DataFrame, labels: DataFrame, chosen: Column, calibrates: Column, ke
     if not n_toxic or not n_clean:
         return ToxicityModel(None, None, None, share)
     counted = stored(count_entries(train), "toxicity-entries")
-    (lexicon,) = learn_lexicons(counted, held, [(None, *choose_bounds(train, counted, held))])
-    rows = with_features(train.withColumn("calibrates", calibrates), lexicon, "text", ["calibrates"], "label")
+    bounds = choose_bounds(train, counted, held)
+    *others, lexicon = learn_lexicons(counted, held, [(f, *bounds) for f in [*range(CV_FOLDS), None]])
+    rows = with_features(train.withColumn("calibrates", calibrates), others, "text", ["calibrates", "label"], "fold")
     rows = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("calibrates", "features", F.col("label").cast("double").alias("label")).coalesce(-(-(n_clean + n_toxic) // ROWS_PER_TASK)), "toxicity-features")
     kinds = {(r.calibrates, r.label): r["count"] for r in rows.groupBy("calibrates", "label").count().collect()}
     apart = all(kinds.get((c, y), 0) >= 5 for c in (True, False) for y in (0.0, 1.0))
