@@ -37,13 +37,38 @@ def with_genre(movies: DataFrame) -> DataFrame:
     return movies.filter(F.col("genre").isNotNull())
 
 
-def require_columns(movies: DataFrame) -> None:
-    """Fail unless the table can be encoded: a key and at least one of plot and genre."""
-    present = set(movies.columns)
+def column_errors(movies: DataFrame) -> dict[str, str]:
+    """What the columns lack for encoding: a key, and at least one of plot and genre. Empty if nothing."""
+    present, errors = set(movies.columns), {}
     if "tid" not in present:
-        raise ValueError("missing required column: tid")
+        errors["tid"] = "missing required column: tid"
     if not present & {"plot", "genre"}:
-        raise ValueError("at least one of the columns plot and genre is required")
+        errors["plot, genre"] = "at least one of the columns plot and genre is required"
+    return errors
+
+
+def require_columns(movies: DataFrame) -> None:
+    """Fail unless the table can be encoded."""
+    for message in column_errors(movies).values():
+        raise ValueError(message)
+
+
+def encoding_report(movies: DataFrame) -> DataFrame:
+    """What :func:`require_columns` and an encoding run would fail on, as rows ``(field, n, error)``.
+
+    A missing column has no number of rows. For a present plot or genre, ``n`` is the number of rows that can be encoded, and
+    none of them is an error. One aggregated scan; an error in the columns does not hide one in the rows.
+    """
+    spark, errors = movies.sparkSession, column_errors(movies)
+    rows = [(field, message) for field, message in errors.items()]
+    report = spark.createDataFrame(rows, "field string, error string").select("field", F.lit(None).cast("long").alias("n"), "error")
+    present = [c for c in ("plot", "genre") if c in movies.columns]
+    if not present:
+        return report
+    counts = movies.agg(*[F.count(c).alias(c) for c in present])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in present])).alias("r")
+    nothing = F.when(F.col("n") == 0, F.concat(F.lit("no titles with a "), F.col("field")))
+    return report.unionByName(counts.select(each).select("r.*").withColumn("error", nothing))
 
 
 def first_keys(ids: DataFrame, count: int) -> DataFrame:

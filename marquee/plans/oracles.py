@@ -172,7 +172,12 @@ loose as (select tid, year, votes,
          ' ' || array_to_string(genre, ' & ') || ' &  & ' as awards_text,
          case tid % 10 when 0 then 'N/A' when 1 then 'nan' when 2 then 'ten' else rating::varchar end as rating_text,
          case when tid % 6 = 0 then 'N/A' else (votes % 9 + 1)::varchar || ',' || lpad((tid % 1000)::varchar, 3, '0') end as votes_text,
-         coalesce(metascore::varchar, 'N/A') as metascore_text, genre, plot from titles)"""
+         coalesce(metascore::varchar, 'N/A') as metascore_text, genre, plot,
+         ['PG-13', ' R ', 'N/A', '', 'TV-14'][tid % 5 + 1] as rated_text,
+         case when tid % 4 = 0 then 'N/A' else array_to_string(genre[2:3], ', ') end as director_text,
+         array_to_string(genre[3:11], ' , ,') as actors_text, coalesce(array_to_string(language, ', '), '') as language_text,
+         case when tid % 12 = 0 then 'N/A' else coalesce(array_to_string(country, ', '), '') end as country_text,
+         case when tid % 5 = 0 then 'N/A' else 'posters/' || tid || '.jpg' end as poster_text from titles)"""
 
 
 def as_list(column: str, sep: str) -> str:
@@ -231,11 +236,13 @@ GOOD = "tid % 13 <> 0 and tid % 17 <> 0"
 ORACLES["payload_parse"] = with_(
     TITLES,
     LOOSE,
-    select=f"""select tid, {as_text("title_text")} as title, ({as_int("year_text")})::int as year,
-       ({as_minutes("runtime_text")})::int as runtime, array_to_string({as_list("genre_text", ",")}, '|') as genre,
+    select=f"""select tid, {as_text("title_text")} as title, {as_int("year_text")} as year, {as_text("rated_text")} as rated,
+       {as_minutes("runtime_text")} as runtime, array_to_string({as_list("genre_text", ",")}, '|') as genre,
+       array_to_string({as_list("director_text", ",")}, '|') as director, array_to_string({as_list("actors_text", ",")}, '|') as actors,
+       array_to_string({as_list("language_text", ",")}, '|') as language, array_to_string({as_list("country_text", ",")}, '|') as country,
        array_to_string({as_list("awards_text", "&")}, '|') as awards,
        md5({as_text("plot")}) as plot_md5, {fixed(as_float("rating_text"))} as rating, {as_int("votes_text")} as votes,
-       ({as_int("metascore_text")})::int as metascore, 0 as directors, null::varchar as poster
+       {as_int("metascore_text")} as metascore, {as_text("poster_text")} as poster
        from loose where {GOOD}""",
 )
 ORACLES["payload_quarantine"] = with_(
@@ -269,6 +276,19 @@ ORACLES["encodable_counts"] = with_(
     TITLES, select="select count(plot) as with_plot, count(genre) as with_genre from titles"
 )
 
+ORACLES["encoding_report"] = with_(
+    TITLES,
+    "held as (select count(plot) as plots, count(genre) as genres from titles)",
+    select="""select 'titles' as source, 'plot' as field, plots as n, case when plots = 0 then 'no titles with a plot' end as error from held
+       union all select 'titles', 'genre', genres, case when genres = 0 then 'no titles with a genre' end from held
+       union all select 'unplotted', 'plot', 0, 'no titles with a plot'
+       union all select 'unplotted', 'genre', genres, case when genres = 0 then 'no titles with a genre' end from held
+       union all select 'keyless', 'tid', null, 'missing required column: tid'
+       union all select 'keyless', 'plot', plots, case when plots = 0 then 'no titles with a plot' end from held
+       union all select 'bare', 'tid', null, 'missing required column: tid'
+       union all select 'bare', 'plot, genre', null, 'at least one of the columns plot and genre is required'""",
+)
+
 # --- ratings and scaling ---------------------------------------------------------------------------------------------
 
 ORACLES["rating_means"] = with_(
@@ -358,7 +378,7 @@ ORACLES["genre_vectors"] = with_(
 ORACLES["full_join_embeddings"] = with_(
     TITLES,
     select="""select coalesce(tid, vec_id)::bigint as tid, vec_id is not null as has_plot, tid is not null as has_genre
-       from embeddings full join (select tid from titles where country is not null) on tid = vec_id""",
+       from embeddings full join (select tid from titles) on tid = vec_id""",
 )
 ORACLES["merge_weighted"] = with_(
     TITLES,
@@ -510,6 +530,22 @@ ORACLES["components"] = with_(
     "stacked as (select tid, list_concat(p, g, l, [o::float]) as v from items)",
     select=spread("stacked", "v", 225),
 )
+BUILT = f"""
+titles as (select tid, {as_text("title_text")} as title, {as_list("genre_text", ",")} as genre, {as_list("country_text", ",")} as country,
+         {as_list("language_text", ",")} as language, {as_text("plot")} as plot, {as_float("rating_text")} as rating,
+         {as_int("votes_text")} as votes, {as_int("metascore_text")} as metascore
+         from loose where {GOOD} and tid in (select tid from raw where "titleType" in ('movie', 'tvMovie') and "startYear" >= 1970
+           and "numVotes" >= 2500 and "averageRating" >= 1.0))"""
+GENRES_OF = "(select distinct unnest(genre) as val from {})"
+ORACLES["build_catalogue"] = with_(
+    TITLES.replace("titles as", "given as"),
+    RAW.replace("from titles)", "from given)"),
+    LOOSE.replace("from titles)", "from given)"),
+    BUILT,
+    CATALOGUE.removeprefix(TITLES + ",\n").replace(GENRES_OF.format("films"), GENRES_OF.format("fused")),  # genres of all rated titles
+    "stacked as (select tid, list_concat(p, g, l, [o::float]) as v from items)",
+    select=spread("stacked", "v", 225),
+)
 PLAIN_LOC = f"""
 lraw as (select tid, list_transform(range(128), lambda i: {wide_loc("a", "i")}) as w from la),"""
 PLAIN_GENRE = """list_transform(range(32), lambda i: case when list_contains(ga.a, i) then 1 / sqrt(len(list_filter(ga.a, lambda f: f < 32)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators import locale as L
 from ..operators import ratings as R
 from ..operators import search as S
 from ..operators.eligibility import eligible_ids, first_keys, not_done, searchable, with_genre, with_plot
+from ..operators.eligibility import encoding_report as report_of
 from ..operators.encoders import HashEncoder, JoinEncoder
 from ..operators.kmeans import table_kmeans
 from ..operators.requests import resolve_recommend, resolve_search, validate_recommend, validate_search
@@ -29,7 +31,7 @@ from ..sources import payloads as Y
 from ..sources.tables import RAW_RATINGS, RAW_TITLES, VersionedTable, read_delimited
 from ..streaming.jobs import encode_titles, ingest_payloads
 from . import views as W
-from .build import new_plot_embeddings, plot_embeddings
+from .build import build_catalogue, ingest, new_plot_embeddings, plot_embeddings
 from .views import rounded, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,11 +99,11 @@ def first_ids(spark, sf_dir):
 @query
 def payload_parse(spark, sf_dir):
     rows = Y.good_rows(Y.parse_payloads(W.payloads(spark, sf_dir)))
-    texts = ["genre", "awards"]
+    texts = ["genre", "director", "actors", "language", "country", "awards"]
     return rows.select(
-        "tid", "title", "year", "runtime", *[joined(F.col(c)).alias(c) for c in texts],
+        "tid", "title", "year", "rated", "runtime", *[joined(F.col(c)).alias(c) for c in texts],
         F.md5(F.col("plot").cast("binary")).alias("plot_md5"), fixed(F.col("rating")).alias("rating"),
-        "votes", "metascore", F.size("director").alias("directors"), "poster",
+        "votes", "metascore", "poster",
     )
 
 
@@ -169,6 +171,20 @@ def encodable_counts(spark, sf_dir):
     return plots.withColumn("with_genre", with_genre(movies).agg(F.count("*")).scalar())
 
 
+@query
+def encoding_report(spark, sf_dir):
+    """What can be encoded and what is missing, for titles, titles whose plots are all unknown, keyless and bare ones."""
+    movies = W.titles(spark, sf_dir, locale=False, ratings=False)
+    given = {
+        "titles": movies,
+        "unplotted": movies.withColumn("plot", F.lit(None).cast("string")),
+        "keyless": movies.drop("tid", "genre"),
+        "bare": movies.select("title", "runtime"),
+    }
+    reports = [report_of(df).withColumn("source", F.lit(name)) for name, df in given.items()]
+    return reduce(DataFrame.unionByName, reports)
+
+
 # --- ratings and scaling ---------------------------------------------------------------------------------------------
 
 
@@ -310,7 +326,8 @@ def genre_vectors(spark, sf_dir):
 @query
 def full_join_embeddings(spark, sf_dir):
     plots = W.given_vectors(spark, sf_dir).select("tid", "plot_embedding")
-    genres = _light(spark, sf_dir).filter("country is not null").select("tid", F.col("genre").alias("genre_embedding"))
+    movies = W.titles(spark, sf_dir, ratings=False, locale=False, plots=False)
+    genres = movies.select("tid", F.col("genre").alias("genre_embedding"))
     both = A.join_embeddings(plots, genres)
     return both.select(
         "tid", F.col("plot_embedding").isNotNull().alias("has_plot"), F.col("genre_embedding").isNotNull().alias("has_genre")
@@ -491,6 +508,20 @@ def resume_union(spark, sf_dir):
     return labels.unionByName(not_done(ids, labels).withColumn("label", F.lit(-1)))
 
 
+@query
+def build_catalogue_(spark, sf_dir):
+    """Every stage from raw dumps and whole payloads to stored components, taken up where a run had stopped.
+
+    The first run has parsed and stored about half of the eligible titles.
+    """
+    out, raw, payloads = scratch_path(spark, "build"), W.raw_titles(spark, sf_dir), W.payloads(spark, sf_dir)
+    some = eligible_ids(raw, raw).filter("tid % 2 = 0")
+    ingest(some, payloads, VersionedTable(spark, f"{out}/movies"))
+    _, model = build_catalogue(spark, raw, raw, payloads, W.ENCODER, out, W.SEARCH_CONFIG, subclusters=False)
+    stacked = F.concat("plot", "genre", "loc", F.array(F.col("pop").cast("float")))
+    return entries(model.components.select("tid", stacked.alias("v")), "v")
+
+
 @query
 def incremental_ingest(spark, sf_dir):
     """Payloads landed as files, taken in by a stream that runs twice."""

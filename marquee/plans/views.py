@@ -141,11 +141,15 @@ def loose_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat((F.col("votes") % 9 + 1).cast("string"), F.lit(","), F.lpad((key % 1000).cast("string"), 3, "0")))
         .alias("votes_text"),
         F.coalesce(F.col("metascore").cast("string"), F.lit("N/A")).alias("metascore_text"),
+        _pick(["PG-13", " R ", "N/A", "", "TV-14"], key).alias("rated_text"),
+        F.when(key % 4 == 0, "N/A").otherwise(F.array_join(F.slice("genre", 2, 2), ", ")).alias("director_text"),
+        F.array_join(F.slice("genre", 3, 9), " , ,").alias("actors_text"),
+        F.when(key % 5 == 0, "N/A").otherwise(F.concat(F.lit("posters/"), key.cast("string"), F.lit(".jpg"))).alias("poster_text"),
     )
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One payload per title: mostly good, some reporting an error, some broken."""
+    """One payload per title, with every key: mostly good, some reporting an error, some broken."""
     key = F.col("tid")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), "text")
     record = F.to_json(
@@ -154,17 +158,24 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(key % 26 == 0, "Incorrect id.").alias("Error"),
             F.col("title_text").alias("Title"),
             F.col("year_text").alias("Year"),
+            F.col("rated_text").alias("Rated"),
             F.col("runtime_text").alias("Runtime"),
             F.col("genre_text").alias("Genre"),
+            F.col("director_text").alias("Director"),
+            F.col("actors_text").alias("Actors"),
             F.coalesce("text", F.lit("N/A")).alias("Plot"),
+            F.concat_ws(", ", "language").alias("Language"),
+            F.when(key % 12 == 0, "N/A").otherwise(F.concat_ws(", ", "country")).alias("Country"),
             F.col("awards_text").alias("Awards"),
+            F.col("poster_text").alias("Poster"),
             F.col("rating_text").alias("imdbRating"),
             F.col("votes_text").alias("imdbVotes"),
             F.col("metascore_text").alias("Metascore"),
         )
     )
     raw = F.when(key % 17 == 0, F.concat(F.lit("{"), F.substring(F.col("title_text"), 1, 3))).otherwise(record)
-    return loose_texts(spark, sf_dir).join(texts, "tid", "left").select("tid", raw.alias("raw"))
+    whole = loose_texts(spark, sf_dir).join(texts, "tid", "left").join(_places(spark, sf_dir), "tid", "left")
+    return whole.select("tid", raw.alias("raw"))
 
 
 def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.core import compute_once
 from ..functions.parsing import parse_float, parse_int, parse_list, parse_minutes, parse_text
 
-# The keys of a payload, and the upper limits of the typed columns.
+# The keys of a payload.
 KEYS = [
     "Response", "Error", "Title", "Year", "Rated", "Runtime", "Genre", "Director", "Actors", "Plot", "Language",
     "Country", "Awards", "Poster", "imdbRating", "imdbVotes", "Metascore",
 ]
-SMALL_MAX = 65535
-LARGE_MAX = 4294967295
 
 SCHEMA = ", ".join(f"`{key}` string" for key in KEYS) + ", _corrupt_record string"
 MOVIE_COLUMNS = [
@@ -43,31 +41,26 @@ def _typed(p: Column) -> dict[str, Column]:
     }
 
 
-def _outside(name: str, most: int) -> Column:
-    return F.coalesce(~F.col(name).between(0, most), F.lit(False))
-
-
 def parse_payloads(payloads: DataFrame) -> DataFrame:
-    """``(tid, raw)`` -> typed columns plus ``raw`` and ``error`` (null for a good row)."""
+    """``(tid, raw)`` -> typed columns plus ``raw`` and ``error`` (null for a good row).
+
+    Whole numbers are 64 bits wide, so no size of a number rejects a title; one that does not fit is null, as other unreadable
+    numbers are.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = compute_once(payloads, "_p", F.from_json("raw", SCHEMA, options))
     p = F.col("_p")
     typed = parsed.withColumns(_typed(p))
-    too_large = _outside("votes", LARGE_MAX) | _outside("tid", LARGE_MAX)
-    for name in ("year", "runtime", "metascore"):
-        too_large = too_large | _outside(name, SMALL_MAX)
     error = (
         F.when(p.isNull() | p["_corrupt_record"].isNotNull(), F.lit("malformed payload"))
         .when(~p["Response"].eqNullSafe(F.lit("True")), F.coalesce(p["Error"], F.lit("Unknown error")))
-        .when(too_large, F.lit("value out of range"))
     )
     return typed.withColumn("error", error).drop("_p")
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:
     """The typed movies table."""
-    small = {name: F.col(name).cast("int") for name in ("year", "runtime", "metascore")}
-    return parsed.filter(F.col("error").isNull()).withColumns(small).select(*MOVIE_COLUMNS)
+    return parsed.filter(F.col("error").isNull()).select(*MOVIE_COLUMNS)
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def test_whole_build(spark, sf_dir):
     )
     assert films.count() == model.components.count() > 0
     norms = model.components.select("plot_n2", "genre_n2", "loc_n2").toPandas()
-    assert (((norms - 1).abs() < 1e-6) | (norms == 0)).all().all()
+    assert (((norms - 1).abs() < 1e-6) | (norms == 0)).all().all() and (norms > 0).any().all()
     asked = W.benchmark_requests(spark, sf_dir)
     assert batch_search(asked, films, model, HashEncoder(32)).count() > 0
 
