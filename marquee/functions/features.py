@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
 from .core import bind
-from .vectors import fit, multi_hot, zeros
+from .vectors import dense, fit, multi_hot, zeros
 
 
 def combo_text(active: Column) -> Column:
@@ -72,28 +72,30 @@ def loc_vector(active: Column, dim: int, cfg: FeatureConfig = FeatureConfig()) -
 
     half, quarter = dim // 2, dim // 4
 
-    def positions(features: Column, spec: tuple, width: int, start: int) -> Column:
-        factor, offset, _ = spec
-        return F.transform(features, lambda f: (F.pmod(f * factor + offset, F.lit(width)) + start).cast("int"))
-
-    first = positions(active, cfg.first_hash, half, 0)
-    second = positions(active, cfg.second_hash, half, half)
-    third = positions(F.slice(active, 1, cfg.third_hash_features), cfg.third_hash, quarter, 0)
-
-    def strength(places: Column, i: Column, spec: tuple) -> Column:
-        return F.when(F.array_contains(places, i), F.lit(float(spec[2]))).otherwise(0.0)
-
-    return bind(
-        F.struct(first.alias("a"), second.alias("b"), third.alias("c")),
-        lambda p: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.greatest(
-                strength(p["a"], i, cfg.first_hash),
-                strength(p["b"], i, cfg.second_hash),
-                strength(p["c"], i, cfg.third_hash),
-            ),
-        ),
+    specs = [cfg.first_hash, cfg.second_hash, cfg.third_hash]
+    levels = sorted({max(0.0, float(strength)) for _, _, strength in specs})
+
+    def signals(features: Column, spec: tuple, width: int, start: int) -> Column:
+        """Position and rank of the strength in one number, so that sorting puts the strongest of a position last."""
+        factor, offset, strength = spec
+        rank = levels.index(max(0.0, float(strength)))
+        place = lambda f: F.pmod(f * factor + offset, F.lit(width)) + start
+        return F.transform(features, lambda f: (place(f) * len(specs) + rank).cast("int"))
+
+    def strongest(codes: Column) -> Column:
+        place = lambda x: F.floor(x / len(specs)).cast("int")
+        kept = F.filter(codes, lambda x, i: F.coalesce(place(F.get(codes, i + 1)) != place(x), F.lit(True)))
+        strength = F.array(*[F.lit(level) for level in levels])
+        return bind(
+            kept,
+            lambda k: dense(F.transform(k, place), F.transform(k, lambda x: F.get(strength, F.pmod(x, F.lit(len(specs))))), dim),
+        )
+
+    few = F.slice(active, 1, cfg.third_hash_features)
+    every = F.concat(
+        signals(active, cfg.first_hash, half, 0), signals(active, cfg.second_hash, half, half), signals(few, cfg.third_hash, quarter, 0)
     )
+    return bind(F.sort_array(F.coalesce(every, F.array().cast("array<int>"))), strongest)
 
 
 def clustered_loc_vector(

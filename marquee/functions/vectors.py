@@ -60,11 +60,30 @@ def combine_components(plot: Column, genre: Column, loc: Column, pop: Column, we
     )
 
 
+def dense(places: Column, values: Column, dim: int) -> Column:
+    """Vector of length ``dim`` with ``values`` at the strictly ascending ``places`` and zeros between them.
+
+    The zeros come in runs, so the work of a row grows with its entries and not with entries times dimensions.
+    """
+
+    def spread(s: Column) -> Column:
+        at, value = s["at"], s["value"]
+        runs = F.transform(
+            at,
+            lambda p, i: F.concat(
+                F.array_repeat(F.lit(0.0), p - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1), F.array(F.get(value, i))
+            ),
+        )
+        last = F.coalesce(F.get(at, F.size(at) - 1), F.lit(-1))
+        return F.concat(F.flatten(runs), F.array_repeat(F.lit(0.0), F.lit(dim - 1) - last))
+
+    return bind(F.struct(places.cast("array<int>").alias("at"), values.cast("array<double>").alias("value")), spread)
+
+
 def multi_hot(active: Column, size: int) -> Column:
-    """0/1 vector of length ``size`` with ones at the ``active`` ordinals."""
+    """0/1 vector of length ``size`` with ones at the ``active`` ordinals, in any order; null counts as none."""
     if size == 0:
         return F.array().cast("array<double>")
-    return bind(
-        active,
-        lambda a: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(a, i).cast("double")),
-    )
+    known = F.filter(F.coalesce(active, F.array().cast("array<int>")), lambda i: (i >= 0) & (i < size))
+    places = F.sort_array(F.array_distinct(known))
+    return bind(places, lambda p: dense(p, F.array_repeat(F.lit(1.0), F.size(p)), size))

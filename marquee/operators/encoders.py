@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import bind
 from ..functions.text import words
-from ..functions.vectors import l2_normalize
+from ..functions.vectors import dense, l2_normalize
 
 
 class Encoder(Protocol):
@@ -24,17 +24,27 @@ class Encoder(Protocol):
 
 
 def hashed_counts(text: Column, dim: int) -> Column:
-    """Number of words of the text that fall into each of ``dim`` hash buckets."""
+    """The hash buckets below ``dim`` that words of the text fall into, ascending, and how many fall into each.
+
+    A struct ``(at, n)``; each word is hashed once, and a bucket's count is the length of its run in the sorted buckets.
+    Null counts as empty.
+    """
     buckets = F.transform(
-        words(text),
+        F.coalesce(words(text), F.array().cast("array<string>")),
         lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 7), 16, 10).cast("int") % dim).cast("int"),
     )
-    return bind(
-        buckets,
-        lambda b: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(b) - F.size(F.array_remove(b, i))
-        ),
-    )
+
+    def runs(b: Column) -> Column:
+        ends = F.array_compact(F.transform(b, lambda x, i: F.when(F.coalesce(F.get(b, i + 1) != x, F.lit(True)), i)))
+        return bind(
+            ends,
+            lambda e: F.struct(
+                F.transform(e, lambda i: F.get(b, i)).alias("at"),
+                F.transform(e, lambda i, k: i - F.coalesce(F.get(e, k - 1), F.lit(-1))).alias("n"),
+            ),
+        )
+
+    return bind(F.sort_array(buckets), runs)
 
 
 class HashEncoder:
@@ -44,7 +54,10 @@ class HashEncoder:
         self.dim = dim
 
     def encode(self, df: DataFrame, key: str, text: Column, out: str) -> DataFrame:
-        return df.select(key, l2_normalize(hashed_counts(text, self.dim)).alias(out))
+        def vector(c: Column) -> Column:
+            return dense(c["at"], l2_normalize(c["n"]), self.dim)
+
+        return df.select(key, bind(hashed_counts(text, self.dim), vector).alias(out))
 
 
 class JoinEncoder:

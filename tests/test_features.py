@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import features as V
-from marquee.functions.vectors import fit, l2_normalize, merge_weighted
+from marquee.functions.vectors import dense, fit, l2_normalize, merge_weighted, multi_hot
 from marquee.operators.encoders import HashEncoder, ModelEncoder
 from marquee.operators.vocab import SPLITTERS, active_features, build_vocab, with_ordinals
 
@@ -122,3 +122,34 @@ def test_model_encoder(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "")], "tid long, t string")
     got = {r["tid"]: r["v"] for r in ModelEncoder(load).encode(df, "tid", F.col("t"), "v").collect()}
     assert np.allclose(got[1], np.array([3, 1]) / np.sqrt(10)) and got[2] == [0.0, 1.0]
+
+
+def test_zeros_come_in_runs(spark):
+    rows = [(0, [], []), (1, [0], [2.0]), (2, [5], [3.0]), (3, [0, 1, 4], [1.0, -1.0, 0.5]), (4, list(range(6)), [1.0] * 6)]
+    df = spark.createDataFrame(rows, "tid long, p array<int>, v array<double>")
+    got = vectors(df, dense(F.col("p"), F.col("v"), 6))
+    for (_, places, values), vector in zip(rows, got):
+        expected = np.zeros(6)
+        expected[places] = values
+        assert vector == expected.tolist()
+
+
+def test_vectors_of_nulls_repeats_and_ordinals_beyond_the_end(spark):
+    df = spark.createDataFrame([(0, None), (1, []), (2, [4, 1, 4, 9, -1])], "tid long, a array<int>")
+    assert vectors(df, multi_hot(F.col("a"), 5)) == [[0.0] * 5, [0.0] * 5, [0.0, 1.0, 0.0, 0.0, 1.0]]
+    wide = vectors(df.filter("tid < 2"), V.loc_vector(F.col("a"), 64))
+    assert wide == [[0.0] * 64] * 2
+
+
+def test_hashed_words_equal_counting_by_hand(spark):
+    rng = random.Random(8)
+    texts = [None, "", "  ..", "one"] + [" ".join(rng.choice(["Ab", "cd", "é", "x1", "漢"]) for _ in range(n)) for n in (2, 9, 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "tid long, t string")
+    for dim in (1, 7, 64):
+        got = {r.tid: r.v for r in HashEncoder(dim).encode(df, "tid", F.col("t"), "v").collect()}
+        for i, text in enumerate(texts):
+            expected = np.zeros(dim)
+            for word in (text or "").lower().split():
+                if word.strip("."):
+                    expected[int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dim] += 1
+            assert np.allclose(got[i], expected / max(np.linalg.norm(expected), 1e-12))
