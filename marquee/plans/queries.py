@@ -29,7 +29,7 @@ from ..operators.vocab import active_features, build_vocab, feature_combos, list
 from ..session import cut_lineage, scratch_path
 from ..sources import payloads as Y
 from ..sources.tables import RAW_RATINGS, RAW_TITLES, VersionedTable, read_delimited
-from ..streaming.jobs import encode_titles, ingest_payloads
+from ..streaming.jobs import encode_titles, ingest_payloads, read_stored
 from . import views as W
 from .build import build_catalogue, ingest, new_plot_embeddings, plot_embeddings
 from .views import rounded, table
@@ -532,7 +532,8 @@ def incremental_ingest(spark, sf_dir):
         stream = spark.readStream.schema("tid long, raw string").parquet(f"{root}/landed")
         job = ingest_payloads(stream, f"{root}/movies", f"{root}/rejected", f"{root}/checkpoint")
         job.awaitTermination()
-    movies, rejected = spark.read.parquet(f"{root}/movies"), spark.read.parquet(f"{root}/rejected")
+    movies = read_stored(spark, f"{root}/movies", "tid long, title string, votes long")
+    rejected = read_stored(spark, f"{root}/rejected", "tid long, error string, raw string")
     return movies.select("tid", "title", "votes", F.lit(None).cast("string").alias("error")).unionByName(
         rejected.select("tid", F.lit(None).cast("string").alias("title"), F.lit(None).cast("long").alias("votes"), "error")
     )
@@ -547,7 +548,7 @@ def incremental_encode(spark, sf_dir):
     movies = stream.select(F.col("doc_id").alias("tid"), F.col("text").alias("plot"))
     for _ in range(2):
         encode_titles(movies, W.ENCODER, f"{root}/vectors", f"{root}/checkpoint").awaitTermination()
-    return entries(spark.read.parquet(f"{root}/vectors"), "plot_embedding")
+    return entries(read_stored(spark, f"{root}/vectors", "tid long, plot_embedding array<double>"), "plot_embedding")
 
 
 # --- components and request vectors ----------------------------------------------------------------------------------

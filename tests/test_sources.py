@@ -11,7 +11,7 @@ from marquee.plans.build import build_catalogue, ingest
 from marquee.operators.search import batch_search
 from marquee.session import cut_lineage, scratch_path, shared_dir
 from marquee.sources.tables import RAW_TITLES, VersionedTable, read_delimited
-from marquee.streaming.jobs import encode_titles, ingest_payloads
+from marquee.streaming.jobs import KEY_CLASSES, encode_titles, ingest_payloads, key_classes, read_stored
 
 
 def test_delimited(spark, tmp_path):
@@ -94,6 +94,39 @@ def test_streams_keep_every_payload_of_a_title(spark):
     assert len(titles) == 1
 
 
+def test_a_small_batch_reads_few_folders_of_the_stored_table(spark):
+    root = scratch_path(spark, "seen")
+    plots = spark.range(3000).select(F.col("id").alias("tid"), F.concat(F.lit("plot "), "id").alias("plot"))
+    plots.write.parquet(f"{root}/texts")
+
+    def encode(checkpoint):
+        stream = spark.readStream.schema("tid long, plot string").parquet(f"{root}/texts")
+        encode_titles(stream, HashEncoder(4), f"{root}/vectors", f"{root}/{checkpoint}").awaitTermination()
+
+    encode("first")
+    few = spark.createDataFrame([(5,), (1700,), (90001,), (None,)], "tid long")
+    classes = key_classes(few)
+    seen = read_stored(spark, f"{root}/vectors", "tid long", classes)
+    files = seen.select(F.input_file_name()).distinct().count()
+    assert len(classes) <= 4 and files <= 4 and 0 < seen.count() < 3000 * 20 / KEY_CLASSES
+    assert {5, 1700} <= {r.tid for r in seen.collect()}
+    assert "key_class" in seen._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    few.withColumn("plot", F.lit("other")).write.mode("append").parquet(f"{root}/texts")
+    encode("first")  # two stored keys, a new one and a null one
+    encode("second")  # all again, after a lost checkpoint
+    stored = read_stored(spark, f"{root}/vectors", "tid long, plot_embedding array<double>")
+    assert stored.count() == 3002 and stored.select("tid").distinct().count() == 3002
+    assert read_stored(spark, f"{root}/nothing", "tid long").count() == 0
+
+
+def test_a_stream_of_no_payloads_leaves_empty_tables(spark):
+    root = scratch_path(spark, "empty")
+    spark.createDataFrame([], "tid long, raw string").write.parquet(f"{root}/landed")
+    stream = spark.readStream.schema("tid long, raw string").parquet(f"{root}/landed")
+    ingest_payloads(stream, f"{root}/movies", f"{root}/bad", f"{root}/cp").awaitTermination()
+    assert read_stored(spark, f"{root}/movies", "tid long").count() == read_stored(spark, f"{root}/bad", "tid long").count() == 0
+
+
 def test_whole_build(spark, sf_dir):
     raw = W.raw_titles(spark, sf_dir)
     out = scratch_path(spark, "build")
