@@ -24,7 +24,7 @@ from ..operators.encoders import Encoder
 from ..sources.payloads import MOVIE_COLUMNS, good_rows, parse_payloads, quarantine
 
 NOT_STORED = "another payload of this title is stored"
-KEY_CLASSES = 512  # part of the stored layout: a table must be rewritten to change it
+KEY_CLASSES = 256  # part of the stored layout: a table must be rewritten to change it
 
 
 def _key_class() -> Column:
