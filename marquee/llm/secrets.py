@@ -6,8 +6,10 @@ about the middle of the alphabet, and lag-1 serial correlation. One that fails a
 
 Passing is no evidence by itself: a short word also looks random. So each survivor is tested against ordinary writing too. Under
 that null its symbols follow the frequencies of the whole corpus; the chi-squared statistic, which counts equal symbol pairs, then
-has a known mean and variance for each length, and the p-value is the chance of so few equal pairs. Discoveries are chosen by the
-Benjamini-Hochberg rule within each encoding and length class, so that the many short words do not decide over long keys.
+has a known mean and variance for each length, and the p-value is the chance of so few equal pairs. A candidate that fails the
+battery gets the p-value 1, which keeps every p-value valid under the null. So one rule decides over one p-value each, and its rate
+is that of the result: discoveries are chosen by Benjamini-Hochberg within each encoding and length class, so that the many short
+words do not decide over long keys.
 """
 
 from __future__ import annotations
@@ -143,9 +145,11 @@ def scan(df: DataFrame, counts: list[int], key: str, text: str) -> DataFrame:
             value = places[encoding][np.frombuffer(token.encode(), np.uint8)]
             # a hexadecimal token of digits and six letters may be ordinary only by its length: all are tested alike
             level = min(LEVELS - 1, int(ordinary(value, frequencies[encoding]) / STEP))
+            if level * STEP > 1 and randomness(value, len(ENCODINGS[encoding][1])) < RANDOM_LEVEL:
+                level = 0
             of = encoding * (len(LENGTHS) + 1) + length_class(len(token))
             tested.append({"class": of, "level": level})
-            if level * STEP > 1 and randomness(value, len(ENCODINGS[encoding][1])) >= RANDOM_LEVEL:
+            if level * STEP > 1:
                 good.append({"start": m.start(), "kind": 3, "end": m.end(), "class": of, "level": level})
         return good, tested
 

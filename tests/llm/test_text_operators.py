@@ -1,6 +1,8 @@
 """Dedup, mixing, shards, tokens, packing, languages, secrets and toxicity on awkward rows and against plain Python."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import string
@@ -292,6 +294,72 @@ def test_secrets(spark, awkward, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def plain_p_value(token, alphabet, frequency):
+    """The two p-values of a candidate by plain loops: of the battery, and as -log10 that against ordinary writing."""
+    n, k, symbols = len(token), len(alphabet), [alphabet.index(c) for c in token]
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((symbols.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+    battery = [upper((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    high = [v >= k / 2 for v in symbols]
+    a, b = high.count(True), high.count(False)
+    if a and b:
+        expected = 2 * a * b / n + 1
+        var = (expected - 1) * (expected - 2) / (n - 1)
+        battery.append(2 * upper(abs(len(list(itertools.groupby(high))) - expected) / math.sqrt(var)) if var > 0 else 1.0)
+    else:
+        battery.append(2 * 0.5**n)
+    mean = sum(symbols) / n
+    spread = sum((v - mean) ** 2 for v in symbols)
+    serial = sum((v - mean) * (w - mean) for v, w in zip(symbols, symbols[1:])) / spread if spread else 0
+    battery.append(2 * upper(abs(serial + 1 / n) * math.sqrt(n)) if spread else 0.0)
+    equal = sum(symbols[i] == symbols[j] for i in range(n) for j in range(i))
+    s2, s3 = sum(f**2 for f in frequency), sum(f**3 for f in frequency)
+    var = math.comb(n, 2) * (s2 - s2**2) + 6 * math.comb(n, 3) * max(s3 - s2**2, 0)
+    z = (math.comb(n, 2) * s2 - equal - 0.5) / math.sqrt(var) if var > 0 else 0.0
+    return min(1, 3 * min(battery)), -math.log10(upper(z)) if upper(z) > 0 else z * z / 2 / math.log(10)
+
+
+def test_secrets_of_a_whole_table_equal_plain_python(spark, awkward, sf_dir):
+    """All texts of the table with planted keys of every length class, against loops over one text at a time."""
+    rng = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
+    alphabets = {"base62": string.ascii_letters + string.digits, "upper": string.ascii_uppercase, "hex": "0123456789ABCDEF"}
+    for name, alphabet in alphabets.items():
+        for n in (20, 24, 32, 40, 48, 64, 96, 128):
+            rows += [(len(rows), f"the {name} is " + "".join(rng.choice(alphabet) for _ in range(n)) + " here") for _ in range(3)]
+    rows += [(len(rows), "Aa" * 30 + " and " + string.ascii_letters + " are in order"), (len(rows), "internationalisationalism-of-everything")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+    counts = Counter("".join(t or "" for _, t in rows))
+    patterns = {0: r"(?ai:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))", 1: r"AKIA[A-Z0-9]+", 2: r"[0-9a-f]+"}
+    expected_base, tested, classes = [], [], defaultdict(list)
+    for at, (_, text) in enumerate(rows):
+        spans = [(m.start(), k, m.end(), m) for k, p in patterns.items() for m in re.finditer(p, text or "")]
+        base = sorted((s, k, e) for s, k, e, m in spans if (len(m[2]) >= 6 if k == 0 else e - s >= {1: 20, 2: 24}[k]))
+        expected_base.append(base)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+            kind, alphabet = next((i, a) for i, (_, a) in enumerate(secrets.ENCODINGS) if set(m[0]) <= set(a))
+            total = sum(counts[c] + 1 for c in alphabet)
+            battery, level = plain_p_value(m[0], alphabet, [(counts[c] + 1) / total for c in alphabet])
+            level = 0 if battery < secrets.RANDOM_LEVEL else min(int(level / secrets.STEP), secrets.LEVELS - 1) * secrets.STEP
+            of = (kind, sum(len(m[0]) >= limit for limit in secrets.LENGTHS))
+            classes[of].append(10**-level)
+            tested.append((at, m.span(), of, 10**-level, any(s < m.end() and m.start() < e for s, _, e in base)))
+    limit = {}
+    for of, values in classes.items():
+        values.sort()
+        limit[of] = max((p for i, p in enumerate(values, 1) if p * len(values) <= secrets.FALSE_DISCOVERIES * i), default=0.0)
+    expected = [
+        (row_id, tuple(base), tuple((s, 3, e) for at, (s, e), of, p, taken in tested if at == i and p <= limit[of] and not taken))
+        for i, ((row_id, _), base) in enumerate(zip(rows, expected_base))
+    ]
+    found = [(r.doc_id, tuple(tuple(s) for s in r.base), tuple(tuple(s) for s in r.random)) for r in secrets.find_secrets(df).collect()]
+    assert Counter(found) == Counter(expected)
+    planted = {rows[i][1] for i in range(len(rows)) if expected[i][2]}
+    assert sum(t.startswith("the base62") for t in planted) >= 12 and not any(t.startswith(("Aa", "inter")) for t in planted)
+
+
 def test_average_precision():
     assert toxicity.average_precision(np.array([0.9, 0.8, 0.1]), np.array([1, 0, 1])) == pytest.approx((1 + 2 / 3) / 2)
     assert toxicity.average_precision(np.array([0.5, 0.5, 0.5, 0.5]), np.array([1, 0, 0, 0])) == 0.25
