@@ -544,7 +544,7 @@ def incremental_encode(spark, sf_dir):
     """Plots encoded by a stream over the documents table."""
     root = scratch_path(spark, "encode")
     schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")  # one file, or a folder of them
     movies = stream.select(F.col("doc_id").alias("tid"), F.col("text").alias("plot"))
     for _ in range(2):
         encode_titles(movies, W.ENCODER, f"{root}/vectors", f"{root}/checkpoint").awaitTermination()
