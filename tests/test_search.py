@@ -228,3 +228,15 @@ def test_search_with_sample_is_the_same(spark, sf_dir):
         return sorted((r["qid"], r["rank"], r["tid"]) for r in S.batch_search(asked, films, m, W.ENCODER).collect())
 
     assert run(bounded) == run(model)
+
+
+def test_items_are_not_shuffled_and_rounds_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    items, asked = item_table(spark, rng.integers(-1, 2, (200, 4)).astype(float), 5), asked_table(spark, rng.normal(size=(30, 4)), 7)
+    monkeypatch.setattr(C, "REQUESTS_PER_BLOCK", 4)
+    whole = top_k(items, asked, ["plot"], ["n2"], 4)
+    plan = plan_of(whole)
+    assert "FlatMapCoGroupsInArrow" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(C, "ROUND_BYTES", 4 * 8 * 10)  # ten requests
+    rounds = top_k(items, asked, ["plot"], ["n2"], 4)
+    assert sorted(map(tuple, rounds.collect())) == sorted(map(tuple, whole.collect()))
