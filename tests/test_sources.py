@@ -153,3 +153,14 @@ def test_language_order(spark):
     assert row[0] == ["Latin", "Breton", "English", "French", "Dutch"]
     assert row[1] == ["Latin", "French", "Breton"]
     assert row[2] == ["x"] and row[3] == ["x"]
+
+
+def test_a_batch_of_many_payloads_is_dealt_into_bounded_parts(spark, monkeypatch):
+    from marquee.streaming import jobs
+
+    batch = spark.range(200).selectExpr("id as tid", "repeat('x', 1000) as raw").coalesce(1)
+    assert jobs._spread(batch).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(jobs, "PART_BYTES", 10_000)
+    dealt = jobs._spread(batch)
+    assert dealt.rdd.getNumPartitions() == 20
+    assert dealt.count() == 200
