@@ -107,3 +107,11 @@ def test_table_kmeans(points):
     assert got.filter("tid >= 1000").select("label").distinct().collect()[0][0] == 0
     assert got.select("label").distinct().count() == 5
     assert table_kmeans(points.select("tid", "v"), points.limit(5).select("tid"), 5) is None
+
+
+def test_groups_of_one_block_need_no_passes_over_the_cluster(points, monkeypatch):
+    from marquee.operators import kmeans
+
+    wanted = labels(grouped_kmeans(points, K(), 8, block_rows=16, starts=2))
+    monkeypatch.setattr(kmeans, "_partial_sums", None)
+    assert labels(grouped_kmeans(points, K(), 8, starts=2)) == wanted
