@@ -1,10 +1,11 @@
 """Packing by lexical retrieval: windows of a fixed number of tokens, filled with the lexical neighbours of a seed document.
 
 Texts are encoded once into a stored table, together with each task's document frequencies, so inverse document frequencies are
-those of the whole corpus (the vocabulary bounds that table and its broadcast). Each row is stored with a content key: the leaf of its
-weighted terms, projected to ``ROUTE_WIDTH`` numbers, in a k-means tree of a bounded sample, then the term that a weighted minimum
-hash draws from it (near copies draw the same one), then a number of its own. Rows are dealt by ranges of that key, so a shard is a lexical
-neighbourhood of the whole table wherever its rows came from, and a hot leaf or a hot set of copies goes on through several tasks.
+those of the whole corpus (the vocabulary bounds that table and its broadcast). Each row is then stored with a content key: the signs of
+its terms, weighted by those frequencies and projected to ``ROUTE_BITS`` numbers, then the term that a weighted minimum hash draws from
+it (near copies draw the same one), then a number of its own. Nothing in that key is learned from a sample. Rows are dealt by ranges of
+it, so a shard is a lexical neighbourhood of the whole table wherever its rows came from, and a hot leaf or a hot set of copies goes on
+through several tasks.
 
 Each task cuts its rows into shards of at most ``shard_tokens`` tokens. A shard holds a BM25 inverted index over token ids. The first
 unused document is the seed of a window; all its distinct ids ask the index, and its unused neighbours, best first, fill the window: the
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix, stored, text_slices, worker_cache
 from .tokens import ENCODE_BYTES, codec, encode_rows
-from .tree_search import KMeansTree
 
 WINDOW = 2048
 END_ID = 1
@@ -32,8 +32,7 @@ SHARD_TOKENS = 4_000_000
 SHARD_DOCUMENTS = 8192
 K1, B = 1.2, 0.75
 DENSE_BYTES = 64 << 20  # frequent terms of a shard as plain rows; the others are lists
-ROUTE_WIDTH = 64
-ROUTE_SAMPLE = 20_000  # bound of the rows that the tree of the content key is learned from
+ROUTE_BITS = 16  # signs of the content key
 
 
 def _route_tables(ids: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +40,7 @@ def _route_tables(ids: int) -> tuple[np.ndarray, np.ndarray]:
 
     def make():
         random = np.random.default_rng(11)
-        return random.standard_normal((ids, ROUTE_WIDTH), np.float32), random.exponential(size=ids)
+        return random.standard_normal((ids, ROUTE_BITS), np.float32), random.exponential(size=ids)
 
     return worker_cache(f"routes-{ids}", make)
 
@@ -52,21 +51,22 @@ def id_type(ids: int) -> str:
 
 
 def content_keys(distinct: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each document's distinct ids: a unit vector, and the id that a minimum hash draws, both weighted by ``idf``."""
+    """Of each document's distinct ids: the signs of their projection as a number, and the id that a minimum hash draws, both weighted
+    by ``idf``."""
     direction, draw = _route_tables(len(idf))
     draw = draw / idf
-    vectors, drawn = np.zeros((len(distinct), ROUTE_WIDTH)), np.zeros(len(distinct), np.int32)
+    vectors, drawn = np.zeros((len(distinct), ROUTE_BITS)), np.zeros(len(distinct), np.int32)
     for i, term in enumerate(distinct):
         vectors[i] = idf[term] @ direction[term]
         drawn[i] = term[draw[term].argmin()]
-    return vectors / np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), np.finfo(float).tiny), drawn
+    return ((vectors > 0) @ (1 << np.arange(ROUTE_BITS)[::-1])).astype(np.int32), drawn
 
 
-def encoded(df: DataFrame, key: str, text: str, json_path: str, rank_path: str | None, end_id: int, route: tuple[np.ndarray, KMeansTree] | None = None) -> DataFrame:
-    """Rows ``k, ids`` (ids of ``id_type`` with ``end_id`` last) with their content key ``leaf, term, place`` if there is a
-    ``route``, and one row of document frequencies ``df`` per task."""
+def encoded(df: DataFrame, key: str, text: str, json_path: str, rank_path: str | None, end_id: int) -> DataFrame:
+    """Rows ``k, ids, place`` (ids of ``id_type`` with ``end_id`` last, and a number of its own), and one row of document frequencies
+    ``df`` per task."""
     kind = df.schema[key].dataType.simpleString()
-    names = ["k", "ids", "df", "leaf", "term", "place"]
+    names = ["k", "ids", "df", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,36 +82,29 @@ def encoded(df: DataFrame, key: str, text: str, json_path: str, rank_path: str |
                 with_end = np.insert(ids, end, end_id).astype(id_type(len(coder.width)))
                 bounds = np.concatenate([[0], end + np.arange(1, len(end) + 1)])
                 documents = [with_end[bounds[i] : bounds[i + 1]] for i in range(b - a)]
-                distinct = [np.unique(own) for own in documents]
-                for own in distinct:
-                    frequency[own] += 1
-                leaf = term = np.zeros(b - a, np.int32)
-                if route is not None:
-                    vectors, term = content_keys(distinct, route[0])
-                    leaf = route[1].leaf_of(vectors)
+                for own in documents:
+                    frequency[np.unique(own)] += 1
                 place = mix(np.arange(number, number + b - a, dtype=np.uint64)).view(np.int64)
                 number += b - a
                 out = pa.array([own.tobytes() for own in documents], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), out, pa.nulls(b - a, pa.list_(pa.int32())), pa.array(leaf), pa.array(term), pa.array(place)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), out, pa.nulls(b - a, pa.list_(pa.int32())), pa.array(place)], names)
         if type_ is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), pa.nulls(1, pa.binary()), pa.array([frequency], pa.list_(pa.int32())), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), pa.nulls(1, pa.binary()), pa.array([frequency], pa.list_(pa.int32())), pa.nulls(1, pa.int64())], names)
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary, df array<int>, leaf int, term int, place long")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary, df array<int>, place long")
 
 
-def content_route(df: DataFrame, key: str, text: str, json_path: str, rank_path: str | None, end_id: int, rows: int = ROUTE_SAMPLE) -> tuple[np.ndarray, KMeansTree] | None:
-    """Inverse document frequencies and the k-means tree of about ``rows`` rows, drawn row by row; none for an empty table."""
-    n = df.count()
-    sample = stored(encoded(df if n <= rows else df.sample(rows / n, seed=3), key, text, json_path, rank_path, end_id), "route-sample")
-    idf = inverse_frequencies(sample)
+def routed(held: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Rows ``k, ids, place`` with their content key ``leaf, term, place``; ``idf`` are the weights of the whole corpus."""
+    names = ["k", "ids", "place", "leaf", "term"]
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, _ = content_keys([np.unique(np.frombuffer(ids, id_type(len(idf)))) for ids in batch.column(0).to_pylist()], idf)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary())], ["v"])
+            leaf, term = content_keys([np.unique(np.frombuffer(ids, id_type(len(idf)))) for ids in batch.column(1).to_pylist()], idf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(term)], names)
 
-    found = [r.v for r in sample.filter("ids is not null").select("ids").mapInArrow(project, "v binary").collect()]  # bounded by rows
-    return (idf, KMeansTree(np.frombuffer(b"".join(sorted(found)), np.float64).reshape(len(found), -1))) if found else None
+    rows = held.select("k", "ids", "place")
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, ids binary, place long, leaf int, term int")
 
 
 def inverse_frequencies(table: DataFrame) -> np.ndarray:
@@ -229,10 +222,9 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, key: str =
     several. Of neighbours with equal scores the first by content key comes first. Other columns are not read; an empty table gives no rows.
     """
     bounded_batches(df.sparkSession, 250)  # long documents are neighbours of each other, so a batch may hold only such
-    route = content_route(df, key, text, json_path, rank_path, end_id)
-    table = stored(encoded(df, key, text, json_path, rank_path, end_id, route), "token-ids")
+    table = stored(encoded(df, key, text, json_path, rank_path, end_id), "token-ids")
     idf = inverse_frequencies(table)
-    held = table.filter("ids is not null")
+    held = stored(routed(table.filter("ids is not null"), idf), "routed-ids")  # ranges are drawn from it before it is dealt
     n = held.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("bytes")).first()
     parts = int(1.2 * max(n.bytes / np.dtype(id_type(len(idf))).itemsize / shard_tokens, n.rows / SHARD_DOCUMENTS)) + 1  # a task's rows are one shard, seldom two
     order = ["leaf", "term", "place"]

@@ -411,3 +411,16 @@ def test_toxicity(spark, awkward, nothing):
     assert toxicity.score_toxicity(nothing, model).count() == 0
     bare = toxicity.fit(nothing, labels.limit(0), F.lit(True), F.lit(False))
     assert {r.score for r in toxicity.score_toxicity(awkward, bare).collect()} == {0.0}
+
+
+def test_packing_routes_by_the_frequencies_of_all_documents(spark, sf_dir, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common words and number {i} of many" if i else "one rare zebra") for i in range(60)], "doc_id long, text string")
+    seen, route = [], packing.routed
+    monkeypatch.setattr(packing, "routed", lambda held, idf: (seen.append((held.count(), idf)), route(held, idf))[1])
+    pieces = packing.pack(docs.repartition(7), *vocabulary()).toPandas()
+    held = [set(np.concatenate([np.frombuffer(x, "<u4") for x in own])) for _, own in pieces.groupby("doc_id")["ids"]]
+    n, idf = seen[0]
+    assert n == len(held) == 60
+    for term in set().union(*held):
+        count = sum(term in own for own in held)
+        assert np.isclose(idf[term], np.log1p((n - count + 0.5) / (count + 0.5)))
