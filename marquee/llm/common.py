@@ -17,10 +17,10 @@ CHUNK_BYTES = 2 << 20  # text handled at a time by the vectorised kernels; a lon
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

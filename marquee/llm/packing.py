@@ -222,9 +222,9 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, key: str =
     several. Of neighbours with equal scores the first by content key comes first. Other columns are not read; an empty table gives no rows.
     """
     bounded_batches(df.sparkSession, 250)  # long documents are neighbours of each other, so a batch may hold only such
-    table = stored(encoded(df, key, text, json_path, rank_path, end_id), "token-ids")
+    table = stored(encoded(df, key, text, json_path, rank_path, end_id), "token-ids", "zstd")
     idf = inverse_frequencies(table)
-    held = stored(routed(table.filter("ids is not null"), idf), "routed-ids")  # ranges are drawn from it before it is dealt
+    held = stored(routed(table.filter("ids is not null"), idf), "routed-ids", "zstd")  # ranges are drawn from it before it is dealt
     n = held.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("bytes")).first()
     parts = int(1.2 * max(n.bytes / np.dtype(id_type(len(idf))).itemsize / shard_tokens, n.rows / SHARD_DOCUMENTS)) + 1  # a task's rows are one shard, seldom two
     order = ["leaf", "term", "place"]
