@@ -20,7 +20,8 @@ outside the largest component meet all others of their group in blocks, and thei
 in each step eight times as many, until no untried pair across components passes. Components are therefore those of all links.
 
 Sets are identified by 128-bit hashes, so copies are one set. Signatures and shingles travel as packed arrays, one row per task and
-slot; a slot is bounded by the number of slots unless very many distinct sets share a part.
+slot; a slot is bounded by the number of slots unless very many distinct sets share a part. Frequent shingles are found among those of all rows,
+each of which is counted the same way.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat, hash_words, lowered, mix, sampled, stored, text_slices, words_of
+from .common import bounded_batches, flat, hash_words, lowered, mix, stored, text_slices, words_of
 from .components import components
 
 WORDS = 5
 SIMILARITY = (75, 100)  # a link needs 100 * intersection >= 75 * union
 SALTS = 16
-SAMPLE_ROWS = 20_000  # rows searched for frequent shingles; they only decide the order of the parts
-FREQUENT_IN, FREQUENT_MAX = 4, 500_000
+FREQUENT_IN, FREQUENT_ONE_IN = 4, 5000  # a shingle is frequent if so many rows hold it, and one in so many
+FREQUENT_MAX = 2_000_000  # shingles that can be frequent at most: each is at least such a part of all
 SLOT_SIGNATURES = 1_500_000
 FLUSH = 500_000
 SMALL_RUN = 8
@@ -183,20 +184,47 @@ def signatures(value: np.ndarray, bounds: np.ndarray, bands: Bands, frequent: np
     return np.concatenate(found), np.concatenate(owner)
 
 
-def frequent_shingles(df: DataFrame, key: str, text: str) -> np.ndarray:
-    """Shingles of at least ``FREQUENT_IN`` of about ``SAMPLE_ROWS`` rows: at most ``FREQUENT_MAX`` numbers."""
+def frequent_shingles(df: DataFrame, text: str, rows: int, held: int) -> np.ndarray:
+    """The shingles that many of the rows hold; ``rows`` is the number of rows and ``held`` the sum of the sizes of their sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every shingle of every row is counted, in slots of packed arrays as signatures are. Many is a number of rows that at most
+    ``FREQUENT_MAX`` shingles can reach, so none of those that do is left out. They only decide the order of the parts.
+    """
+    least = max(FREQUENT_IN, -(-rows // FREQUENT_ONE_IN), -(-held // FREQUENT_MAX))
+    bits = max(4, int(held // SLOT_SIGNATURES).bit_length())
+
+    def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        value, n = np.unique(np.concatenate(held), return_counts=True)
+        slot = (value >> np.uint64(64 - bits)).astype(np.int64)
+        once = n == 1
+        made = [(s, v, b"") for s, v in deal(slot[once], value[once])] + deal(slot[~once], value[~once], n[~once].astype(np.uint32))
+        # the first bytes of a slot's numbers are alike: side by side they take no room in a shuffle
+        made = [(s, np.frombuffer(v, np.uint8).reshape(-1, 8).T.tobytes(), times) for s, v, times in made]
+        yield from packed_rows(made, ["slot", "shingles", "times"]).to_batches()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for batch in batches:
             for a, b in text_slices(batch.column(0)):
-                value, _ = shingle_sets(batch.column(0).slice(a, b - a))
-                value, n = np.unique(value, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["s", "n"])
+                held.append(shingle_sets(batch.column(0).slice(a, b - a))[0])
+                total += len(held[-1])
+                if total > FLUSH:
+                    yield from pack(held)
+                    held, total = [], 0
+        if total:
+            yield from pack(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        value, n = [], []
+        for v, times in zip(table["shingles"].to_pylist(), table["times"].to_pylist(), strict=True):
+            value.append(np.ascontiguousarray(np.frombuffer(v, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+            n.append(np.frombuffer(times, np.uint32) if times else np.ones(len(value[-1]), np.uint32))
+        value, at = np.unique(np.concatenate(value), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(n))
+        return pa.table([pa.array(value[n >= least].view(np.int64))], ["s"])
 
-    part = sampled(df, F.col(key), SAMPLE_ROWS, "shingles")
-    counts = part.select(text).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    hot = counts.filter(F.col("n") >= FREQUENT_IN).orderBy(F.desc("n"), "s").limit(FREQUENT_MAX).select("s").toPandas()
-    return np.sort(hot["s"].to_numpy(np.int64).view(np.uint64))
+    counted = df.select(text).mapInArrow(shingled, "slot int, shingles binary, times binary").groupBy("slot").applyInArrow(count, "s long")
+    return np.sort(counted.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
 
 
 def describe(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -571,7 +599,9 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     per_salt = rows.filter("n > 0 and k is not null").groupBy("h1", "h2", "n", "salt").agg(F.min("k").alias("k"), F.min_by("sketch", "k").alias("sketch"))
     sets = stored(per_salt.groupBy("h1", "h2", "n").agg(F.min_by("sketch", "k").alias("sketch"), F.min("k").alias("k")), "distinct-sets")
 
-    found = stored(candidates(df.filter(F.col(key).isNotNull()), text, bands, frequent_shingles(df, key, text)), "parts")
+    keyed = df.filter(F.col(key).isNotNull())
+    size = rows.filter("k is not null").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("held")).first()
+    found = stored(candidates(keyed, text, bands, frequent_shingles(keyed, text, size.rows, size.held)), "parts")
     ties = pass_sketch(found.filter("kind = 0").select("a", "b").distinct(), sets, bands)
     labels = stored(components(verify(df, key, text, ties, similarity)), "labels")
 

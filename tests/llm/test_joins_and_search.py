@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import connect, differences
 from pyspark.sql import functions as F
@@ -122,6 +123,25 @@ def test_linked_sets_share_a_signature():
             assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()) or len(a) < 3
 
 
+def test_every_row_is_searched_for_frequent_shingles(spark, monkeypatch):
+    """Of 30 000 rows the shingles of 6 rows are frequent, each of them, and those of 5 are not."""
+
+    class Seen(Exception):
+        pass
+
+    def taken(df, text, bands, frequent):
+        raise Seen(set(frequent.tolist()))
+
+    passage = lambda kind, i: " ".join(f"{kind}{i}{c}" for c in "abcde")
+    texts = [passage("six", i) for i in range(200) for _ in range(6)] + [passage("five", i) for i in range(200) for _ in range(5)]
+    texts += [passage("one", i) for i in range(30_000 - len(texts))]
+    monkeypatch.setattr(ngram_join, "candidates", taken)
+    with pytest.raises(Seen) as seen:
+        ngram_join.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    wanted, _ = ngram_join.shingle_sets(pa.array(sorted({x for x in texts if x.startswith("six")})))
+    assert len(wanted) == 200 and seen.value.args[0] == set(wanted.tolist())
+
+
 @pytest.mark.parametrize("one_task", [0, None])
 def test_components(spark, one_task):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (5, 5), (0, 0)]
