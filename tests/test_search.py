@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +242,33 @@ def test_items_are_not_shuffled_and_rounds_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(C, "ROUND_BYTES", 4 * 8 * 10)  # ten requests
     rounds = top_k(items, asked, ["plot"], ["n2"], 4)
     assert sorted(map(tuple, rounds.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_light_scores_are_close_and_shared():
+    """Scores in single precision stay within their bound; requests of equal weights share the items' lengths and equal parts."""
+    from marquee.operators import scoring
+
+    rng = np.random.default_rng(8)
+    dims, weights = [6, 5, 1], np.array([[0.25, 0.1, 0.02], [0.5, 0.0, 0.3]])[np.arange(64) % 2]
+    parts = [rng.normal(size=(64, 6)), np.repeat(rng.normal(size=(1, 5)), 64, axis=0), np.full((64, 1), 1.5)]
+    parts[0][3], items = 0.0, [rng.normal(size=(900, d)) * rng.choice([0.0, 1.0, 40.0], (900, 1)) for d in dims]
+    squares = np.column_stack([(x**2).sum(1) for x in items])
+    vectors, norms = np.hstack([x * weights[:, i : i + 1] for i, x in enumerate(parts)]), np.sqrt(sum((x**2).sum(1) * weights[:, i] for i, x in enumerate(parts)))
+    wanted, bars = np.full(64, 7), np.full(64, -np.inf)
+    block = scoring.RequestBlock(np.arange(64), vectors, weights, norms, wanted, bars, None, np.cumsum([0, *dims]))
+    exact = vectors @ np.hstack(items).T / np.maximum(np.sqrt(weights @ squares.T) * norms[:, None], scoring.TINY)
+    light = scoring.LightScores(block)
+    made = light.items(np.hstack(items), squares)
+    assert len(made) == 2 and all(shown.shape[1] == 8 for _, shown, _ in made)  # 12 dimensions, five of them as one number
+    for rows, shown, theirs in made:
+        assert shown.dtype == theirs.dtype == np.float32 and np.abs(shown @ theirs.T - exact[rows]).max() < light.slack / 2
+    best = scoring.BestOfBlock(block)
+    for a in range(0, 900, 250):
+        best.add(np.arange(a, min(900, a + 250)), np.hstack(items)[a : a + 250], squares[a : a + 250], None)
+    found = best.rows()
+    for q in range(64):
+        order = sorted(range(900), key=lambda i: (-np.round(exact[q, i], 9), i))[:7]
+        assert found.filter(pa.compute.equal(found["qid"], q))["tid"].to_pylist() == order
+    assert light.items(np.hstack(items) * 1e30, squares * 1e60) is not None
+    assert light.items(np.hstack(items) * 1e-9, squares * 1e-18) is None  # lengths that may be the least ones are left to double precision
+    assert not scoring.LightScores(scoring.RequestBlock(np.arange(64), vectors * np.nan, weights, norms * np.nan, wanted, bars, None, np.cumsum([0, *dims]))).usable
