@@ -115,3 +115,20 @@ def test_groups_of_one_block_need_no_passes_over_the_cluster(points, monkeypatch
     wanted = labels(grouped_kmeans(points, K(), 8, block_rows=16, starts=2))
     monkeypatch.setattr(kmeans, "_partial_sums", None)
     assert labels(grouped_kmeans(points, K(), 8, starts=2)) == wanted
+
+
+def test_few_centres_stay_in_the_driver(points, monkeypatch):
+    """Passes over groups of several blocks write no table as long as their centres are few, and give what tables of centres give."""
+    from marquee.operators import kmeans
+
+    made = []
+    write = kmeans.cut_lineage
+    monkeypatch.setattr(kmeans, "cut_lineage", lambda df: made.append(1) or write(df))
+    sent = labels(grouped_kmeans(points, K(), 8, block_rows=16, starts=3))
+    few, made[:] = len(made), []
+    monkeypatch.setattr(kmeans, "CENTRE_BYTES", -1)
+    assert labels(grouped_kmeans(points, K(), 8, block_rows=16, starts=3)) == sent
+    assert few == 5 < len(made)
+    monkeypatch.undo()
+    for passes in (1, 2):
+        assert labels(grouped_kmeans(points, K(), 8, passes, 16, 3)) == labels(grouped_kmeans(points, K(), 8, passes, starts=3))
